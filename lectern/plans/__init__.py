@@ -1 +1,4 @@
+"""Registered queries over the star-schema tables, and the SQL that states the same results."""
 
+QUERIES: dict = {}
+ORACLES: dict = {}
