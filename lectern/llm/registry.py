@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_count", "decontaminate", "urls", "mixture", "secrets")
+MODULES = ("quality", "language", "licenses", "token_count", "decontaminate", "urls", "mixture", "secrets")
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
     _module = import_module(f"lectern.llm.{_name}")
