@@ -1,15 +1,73 @@
-"""Training-corpus pipeline: quality, near duplicates, benchmark passages, secrets, mixture."""
+"""Training-corpus pipeline over the documents table: quality, near duplicates, benchmark passages, secrets, mixture.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns
+of documents; the last one returns the mixture's schedule with the texts. Nulls, empty texts and empty tables pass
+through as the operators define them; a document is dropped only for the reason its stage names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import decontaminate, jaccard, mixture, quality, secrets
+from lectern.session import broadcast_if_small, materialise, table
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without those whose doc_id is in ids; rows without an id stay."""
+    ids = materialise(ids.select("doc_id").distinct())
+    return docs.join(broadcast_if_small(ids, ids.count()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from the labelled ones among docs, does not reject."""
+    model = quality.learned_from(docs, table(spark, sf_dir, "labels"))
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    return quality.score(docs, model, keep=others).where("score >= 0.5").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group whose 5-word shingle sets are linked at a Jaccard similarity of 0.8."""
+    found = materialise(jaccard.jaccard_components(docs, k=5, similarity=(80, 100)))
+    kept = _without(docs, found.where("doc_id <> component_id"))
+    rows, ids = found.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if rows > ids:  # rows that repeat an id are one document
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret in their texts replaced by a mark; n_chars follows the new text."""
+    scanned = secrets.scan_secrets(docs)
+    text = F.when(F.col("text").isNotNull(), secrets.redacted(F.col("text"), F.col("secrets")))
+    masked = scanned.withColumn("_new", text)
+    size = F.when(F.size("secrets") > 0, F.length("_new").cast("long")).otherwise(F.col("n_chars"))
+    return masked.withColumns({"n_chars": size, "text": F.col("_new")}).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every scheduled copy of every document under temperature-mixed source weights; mix_order is the training order."""
+    return mixture.mix_sources(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("one_of_each_group", one_of_each_group),
+    ("without_benchmark", without_benchmark),
+    ("without_secrets", without_secrets),
+    ("mixed", mixed),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

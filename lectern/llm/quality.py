@@ -142,15 +142,18 @@ def _score(batches: Iterator[pa.RecordBatch], shared, slope: float) -> Iterator[
             owner = np.repeat(np.arange(b - a), np.diff(before))
             size = np.sqrt(np.bincount(owner, square[index], b - a)) + 1e-12
             out[a:b] = np.bincount(owner, weight[index], b - a) / size + bias
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1.0 / (1.0 + np.exp(-slope * np.clip(out, -50, 50))))], ["id", "score"])
+        scores = pa.array(1.0 / (1.0 + np.exp(-slope * np.clip(out, -50, 50))))
+        kept = [batch.column(i) for i in range(2, batch.num_columns)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *kept, scores], ["id", *batch.schema.names[2:], "score"])
 
 
-def score(documents: DataFrame, model: np.ndarray, slope: float = 2.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id and score: the logistic function of slope times the margin, so 0.5 is the separating plane."""
+def score(documents: DataFrame, model: np.ndarray, slope: float = 2.0, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns to keep, and score: the logistic function of slope times the margin, so 0.5 is the separating plane."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    schema = T.StructType([rows.schema["id"], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(partial(_score, shared=shared, slope=slope), schema).withColumnRenamed("id", doc_id)
+    rows = documents.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
+    fields = [rows.schema["id"], *[rows.schema[f"k{i}"] for i in range(len(keep))]]
+    scored = rows.mapInArrow(partial(_score, shared=shared, slope=slope), T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+    return scored.toDF(doc_id, *keep, "score")
 
 
 def learned_from(documents: DataFrame, labels: DataFrame, **options) -> np.ndarray:
