@@ -51,10 +51,10 @@ def assessment_features(submissions: DataFrame, definitions: DataFrame, cutoff:
     return summed.withColumn("weighted_avg", F.when(F.col("w") > 0, F.col("ws") / F.col("w"))).drop("ws", "w")
 
 
-def at_risk_features(info: DataFrame, registration: DataFrame, clicks: DataFrame, submissions: DataFrame, definitions: DataFrame, cutoff: int = 30) -> DataFrame:
+def at_risk_features(info: DataFrame, registration: DataFrame, clicks: DataFrame, submissions: DataFrame, definitions: DataFrame, cutoff: int = 30, due_cutoff: int = 30) -> DataFrame:
     """The feature table: each side is one row a key before it joins, so no join multiplies rows."""
     registered = registration.select(*KEYS, "date_registration", "date_unregistration")
-    out = info.join(registered, KEYS, "left").join(vle_features(clicks, cutoff), KEYS, "left").join(assessment_features(submissions, definitions, cutoff), KEYS, "left")
+    out = info.join(registered, KEYS, "left").join(vle_features(clicks, cutoff), KEYS, "left").join(assessment_features(submissions, definitions, due_cutoff), KEYS, "left")
     out = out.withColumn("target_class", target_class(F.col("final_result")))
     out = out.withColumn("is_at_risk", at_risk(F.col("target_class")))
     return fill_defaults(out, NUMBERS, LABELS)

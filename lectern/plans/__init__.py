@@ -1,4 +1,11 @@
 """Registered queries over the star-schema tables, and the SQL that states the same results."""
 
+from __future__ import annotations
+
+from lectern.plans import learning, marts, online, tables
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (tables, learning, marts, online):
+    QUERIES |= _module.book.queries
+    ORACLES |= _module.book.oracles
