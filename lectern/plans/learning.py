@@ -164,14 +164,14 @@ def _(spark, root):
     return R.top_k(users, items, 3, exclude=seen).select("user", "item", "rank")
 
 
-@q("M19_recall_ndcg", """with r as (select u "user", i item, row_number() over (partition by u order by c desc, i) rank from (select id_student u, id_site i, sum(sum_click) c from clicks group by 1, 2)), h as (select distinct id_student u, id_site i from clicks where event_id % 10 = 0)
+@q("M19_recall_ndcg", """with r as (select u "user", i item, row_number() over (partition by u order by c desc, i) rank from (select id_student u, id_site i, sum(sum_click) c from clicks group by 1, 2)), h as (select distinct id_student u, id_site i from clicks where code_module = 'purchase')
 select round(avg((rank is not null)::int), 6) recall, round(avg(case when rank is not null then 1 / log2(rank + 1) else 0 end), 6) ndcg, count(*) pairs from h left join (select * from r where rank <= 10) r on r."user" = h.u and r.item = h.i""")
 def _(spark, root):
     from pyspark.sql import Window as W
 
     c = S.clicks(spark, root)
     ranked = R.interactions(c).withColumn("rank", F.row_number().over(W.partitionBy("user").orderBy(F.desc("clicks"), "item")))
-    held = c.where("event_id % 10 = 0").select(F.col("id_student").alias("user"), F.col("id_site").alias("item")).distinct()
+    held = c.where("code_module = 'purchase'").select(F.col("id_student").alias("user"), F.col("id_site").alias("item")).distinct()
     return rounded(R.recall_ndcg(ranked, held), "recall", "ndcg")
 
 
@@ -210,10 +210,10 @@ def _(spark, root):
     return M.merged(i.select(*FT.KEYS, "risk", "source_key"), i.select(*FT.KEYS, (F.col("source_key") % 7).alias("source_key")), FT.KEYS)
 
 
-@q("J08_with_metadata", """select id_site item, coalesce(max(case when p_partkey % 2 = 0 then lower(p_type) end), 'resource') "type" from (select distinct id_site from clicks) left join part on p_partkey = id_site group by 1""")
+@q("J08_with_metadata", """select id_site item, coalesce(max(case when p_size > 25 then lower(p_type) end), 'resource') "type" from (select distinct id_site from clicks) left join part on p_partkey = id_site group by 1""")
 def _(spark, root):
     items = S.clicks(spark, root).select(F.col("id_site").cast("long").alias("item")).distinct()
-    meta = table(spark, root, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("item"), F.lower("p_type").alias("type"))
+    meta = table(spark, root, "part").where("p_size > 25").select(F.col("p_partkey").alias("item"), F.lower("p_type").alias("type"))
     return M.with_metadata(items, meta, "item").select(F.col("item").cast("int").alias("item"), "type")
 
 

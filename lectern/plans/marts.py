@@ -72,9 +72,9 @@ def _(spark, root):
     return rounded(M.correlations(S.info(spark, root), ["risk", "studied_credits", "source_key"]), "r")
 
 
-@q("A16_histogram", "select least(floor(risk * 100 / 5)::int + 1, 20) bin, count(*) \"count\" from (select round(risk, 2) risk from info where source_key % 2 = 0) group by 1")
+@q("A16_histogram", "select least(floor(risk * 100 / 5)::int + 1, 20) bin, count(*) \"count\" from (select round(risk, 2) risk from info) group by 1")
 def _(spark, root):
-    return M.histogram(S.info(spark, root).where("source_key % 2 = 0").withColumn("percent", F.round("risk", 2) * 100), "percent", 0.0, 100.0)
+    return M.histogram(S.info(spark, root).withColumn("percent", F.round("risk", 2) * 100), "percent", 0.0, 100.0)
 
 
 @q("A17_density", "select least(floor(value / 50)::int + 1, 10) x_bin, least(floor(event_id % 1000 / 100)::int + 1, 10) y_bin, count(*) \"count\" from events where value <= 500 group by 1, 2", plain=True)

@@ -96,11 +96,11 @@ def _(spark, root):
 
 def _scored(spark, root):
     """Submissions of learners to chapters made of events: score = value capped to 100."""
-    e = table(spark, root, "events").where("event_id % 3 = 0")
+    e = table(spark, root, "events").where("event_type in ('purchase', 'signup')")
     return e.select(F.col("user_id").alias("id_student"), F.concat(F.lit("C"), (F.col("event_id") % 6 + 1).cast("string")).alias("chapter"), F.least(F.col("value"), F.lit(100.0)).alias("score"), "ts", "event_id")
 
 
-_SCORED = "sc as (select user_id id_student, 'C' || (event_id % 6 + 1) chapter, least(value, 100.0::double) score, ts, event_id from events where event_id % 3 = 0)"
+_SCORED = "sc as (select user_id id_student, 'C' || (event_id % 6 + 1) chapter, least(value, 100.0::double) score, ts, event_id from events where event_type in ('purchase', 'signup'))"
 _R, _W = "(p * 0.9::double / (p * 0.9::double + (1 - p) * 0.2::double))", "(p * 0.1::double / (p * 0.1::double + (1 - p) * 0.8::double))"
 
 
@@ -133,9 +133,9 @@ def _(spark, root):
     return rounded(O.online_clicks(c), "active_days", "avg_daily_clicks", "recent_weekly_rate", "engagement_momentum")
 
 
-@q("O03_W07_running_scores", f"""with {_SCORED} select event_id, count(*) over w submission_count, round(avg(score) over w, 6) avg_score, min(score) over w min_score from sc window w as (partition by id_student order by ts, event_id rows unbounded preceding)""", plain=True)
+@q("O03_W07_running_scores", f"""with {_SCORED} select event_id, count(*) over w submission_count, round(avg(score) over w, 9) avg_score, min(score) over w min_score from sc window w as (partition by id_student order by ts, event_id rows unbounded preceding)""", plain=True)
 def _(spark, root):
-    return rounded(O.online_scores(_scored(spark, root)), "avg_score").select("event_id", "submission_count", "avg_score", "min_score")
+    return O.online_scores(_scored(spark, root)).select("event_id", "submission_count", F.round("avg_score", 9).alias("avg_score"), "min_score")
 
 
 @q("O04_risk_shift", f"""with {_SCORED}, b as (select id_student, min(risk) risk from info group by 1), s as (select id_student, sum(case when score >= 50 then 0.05::double else -0.1::double end) s from sc group by 1) select id_student, round(least(greatest(risk - coalesce(s, 0), 0), 1), 6) risk, round(coalesce(s, 0), 6) shift from b left join s using (id_student)""")
@@ -165,11 +165,11 @@ def _(spark, root):
     return O.recent_sessions(u).select("user_id", "kind", "label", "event_id", "place")
 
 
-@q("W06_session_minutes", """select event_id, case when event_id % 4 = 0 then greatest(1, ceil(event_id % 400 / 60.0::double)) when event_type = 'purchase' then 15 else least(20, greatest(1, event_id % 10 * 3)) end::bigint as minutes from events where event_id % 400 <> 0""", plain=True)
+@q("W06_session_minutes", """select event_id, case when event_id % 4 = 0 and event_id % 400 > 0 then greatest(1, ceil(event_id % 400 / 60.0::double)) when event_type = 'purchase' then 15 else least(20, greatest(1, event_id % 10 * 3)) end::bigint as minutes from events""", plain=True)
 def _(spark, root):
     kind = F.when(F.col("event_type") == "purchase", "assessment").otherwise("material")
     seconds = F.when(F.col("event_id") % 4 == 0, (F.col("event_id") % 400).cast("double"))
-    return table(spark, root, "events").where("event_id % 400 <> 0").select("event_id", O.session_minutes(kind, seconds, F.col("event_id") % 10).alias("minutes"))
+    return table(spark, root, "events").select("event_id", O.session_minutes(kind, seconds, F.col("event_id") % 10).alias("minutes"))
 
 
 @q("O07_O08_titles_and_labels", """with e as (select event_id, ts, regexp_extract(props, '[0-9]+')::int item, case when event_id % 6 = 0 then 'Title ' || event_id when event_id % 6 = 1 then ' ' end title from events), o as (select item, arg_max(title, (ts, event_id)) t from e where length(trim(title)) > 0 and item % 2 = 0 group by 1), m as (select p_partkey item, p_name t from part where p_partkey % 3 = 0)
@@ -184,7 +184,7 @@ def _(spark, root):
 def _(spark, root):
     # interactions name items by their vec_id
     n = F.col("event_id") % 400
-    e = table(spark, root, "events").where("event_id % 20 = 1").select((F.col("user_id") * 5 % 500).alias("user"), F.when(n % 5 == 0, n + 1).otherwise(n).alias("item"), "ts", "event_id")
+    e = table(spark, root, "events").where("event_type = 'click'").select((F.col("user_id") * 5 % 500).alias("user"), F.when(n % 5 == 0, n + 1).otherwise(n).alias("item"), "ts", "event_id")
     moved = O.shifted_user(S.vectors(spark, root, True), e, S.vectors(spark, root, False), unit=True)
     return moved.select("user", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 4).alias("square"))
 

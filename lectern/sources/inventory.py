@@ -25,7 +25,11 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     Files are listed by Spark, so any file system it reads will do; contents are not read. Of content banks with one name
     only the one nearest to the root is kept.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+    return routed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length"), root)
+
+
+def routed(files: DataFrame, root: str) -> DataFrame:
+    """The routes of listed files (path, length)."""
     # what comes after the root's own last component
     tail = root.rstrip("/").rsplit("/", 1)[-1]
     relative = F.regexp_replace("path", f"^.*?/{tail}/", "")
@@ -37,10 +41,10 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
         named = F.lit(table) if not table.endswith("_") else F.concat(F.lit(table), stem, F.lit("_events") if "kt[1-4]" in pattern else F.lit(""))
         dataset, table_ = F.when(hit, name).otherwise(dataset), F.when(hit, named).otherwise(table_)
         kind, hint = F.when(hit, file_type).otherwise(kind), F.when(hit, F.lit(partition).cast("string")).otherwise(hint)
-    routed = out.select("path", "relative_path", dataset.alias("dataset"), table_.alias("table_name"), kind.alias("file_type"), hint.alias("partition_hint"), "length").where("dataset is not null")
+    found = out.select("path", "relative_path", dataset.alias("dataset"), table_.alias("table_name"), kind.alias("file_type"), hint.alias("partition_hint"), "length").where("dataset is not null")
     depth = F.size(F.split("relative_path", "/"))
     nearest = F.row_number().over(W.partitionBy("table_name", F.when(F.col("file_type") == "json", F.lit("")).otherwise(F.col("path"))).orderBy(depth, "relative_path"))
-    return routed.withColumn("_rn", nearest).where("_rn = 1").drop("_rn")
+    return found.withColumn("_rn", nearest).where("_rn = 1").drop("_rn")
 
 
 def write_manifest(records: DataFrame, path: str) -> None:
