@@ -1,9 +1,8 @@
 """N-gram Jaccard join by token-combination prefixes, and the components that its links form.
 
-A document's tokens are its distinct word shingles. Tokens have one global order: those whose frequency was counted (half
-of all, by hash), rarest class first, then the rest; within a class by hash. Of two documents that link, the one whose
-prefix ends first misses at most `spare` of its own tokens in the other, so a prefix that cannot lose all its signatures
-with that many tokens gone meets the other's prefix in one. Signatures are
+A document's tokens are its distinct word shingles. Tokens have one global order: rarest class first, within a class by
+hash. Of two documents that link, the one whose prefix ends first misses at most `spare` of its own tokens in the other,
+so a prefix that cannot lose all its signatures with that many tokens gone meets the other's prefix in one. Signatures are
 
 * nothing for tokens that no other document has (they only use up what may be missing),
 * the token itself for rare ones (in up to `rare` documents),
@@ -14,10 +13,12 @@ The number of classes follows a document's size; a document signs for its own si
 may be there, and a pair meets in the band of its larger member. Documents too small to be covered by pairs also sign
 with their frequent tokens alone, and meet each other so.
 
-Candidates are verified on whole token sets. To find components not all pairs of a signature's list are compared: first
-each member with the smallest one; then, in lists that hold more than one component, every member outside the largest
-with every member of another component. So each candidate pair is compared or already connected, and no link between
-components is lost, while lists of one component (groups of copies) cost what their length is.
+Candidates are verified on whole token sets. Each signature's list has a hub, the member with the smallest share of tokens
+of its own; all members of the lists of one hub are its cluster. To find components not all pairs are rows: first each
+member is compared with its hub; then, in clusters that still hold more than one component, members of different
+components are compared in blocks of at most `block_rows` a side inside tasks, which emit the links that join components
+and nothing else. A pair whose shared tokens cannot suffice, by their sizes less their own tokens, is not compared. So each
+candidate pair is ruled out by a bound, compared, or already connected, and no link between components is lost.
 
 Frequencies are exact, over all texts, up to a chance of about 1 in 4,000 that a token counts another's documents as its
 own, which moves it to a more frequent class and loses nothing. Blocks of documents send their distinct tokens, with counts,
@@ -38,8 +39,6 @@ from lectern.llm.components import connected_components
 from lectern.llm.ragged import MULTIPLIER, blocks, buffers, mix, shingles, words
 from lectern.session import materialise, table
 
-RANKED = 63  # tokens below 2 ** 63 have their frequency counted
-
 
 def spare(n: int, similarity: tuple[int, int]) -> int:
     """How many of its n tokens a document may miss in one that it links with."""
@@ -67,12 +66,12 @@ def first_copies(docs: pa.Table, side: pa.Table) -> pa.Table:
 
 
 def ranked(tokens: np.ndarray, bits: int) -> np.ndarray:
-    """Bucket and 32 bits more of the tokens that are counted."""
-    return tokens[tokens < np.uint64(1 << RANKED)] >> np.uint64(RANKED - bits - 32)
+    """Bucket and 32 bits more of tokens: what their frequency is counted by."""
+    return tokens >> np.uint64(32 - bits)
 
 
 def signatures(tokens: np.ndarray, kind: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
-    """Signatures of one document: its tokens, sorted, and for each 0 (its own), 1 (rare), 2 (frequent or not counted)."""
+    """Signatures of one document: its tokens, sorted, and for each 0 (its own), 1 (rare) or 2 (frequent)."""
     n = len(tokens)
     need = spare(n, similarity) + 1
     own, rare, often = int((kind == 0).sum()), tokens[kind == 1], tokens[kind == 2]
@@ -121,12 +120,11 @@ def _classes(group: pa.Table, rare: int) -> pa.Table:
 def _signed(docs: pa.Table, side: pa.Table, k: int, similarity: tuple[int, int], bits: int) -> pa.Table:
     docs = first_copies(docs, side)
     tokens, before = token_sets(docs["text"], k)
-    counted = tokens < np.uint64(1 << RANKED)
-    distinct = np.unique(ranked(tokens, bits))
+    short = ranked(tokens, bits)
+    distinct = np.unique(short)
     got = side.filter(pc.is_valid(side["bucket"])).sort_by("bucket")
     classes = np.frombuffer(b"".join(got["classes"].to_pylist()), np.uint8)
-    kind = np.full(len(tokens), 2, np.uint8)
-    kind[counted] = classes[np.searchsorted(distinct, ranked(tokens, bits))]
+    kind = classes[np.searchsorted(distinct, short)]
     own = np.r_[0, np.cumsum(kind == 0)]
     own = own[before[1:]] - own[before[:-1]]
     sizes = np.diff(before)
@@ -137,7 +135,7 @@ def _signed(docs: pa.Table, side: pa.Table, k: int, similarity: tuple[int, int],
             found = signatures(tokens[a:b], kind[a:b], similarity)
             if len(found):
                 signed[i], sets[i] = found.view(np.int64), tokens[a:b].tobytes()
-    return pa.table({"doc_id": docs["doc_id"], "n": pa.array(sizes), "signatures": pa.array(signed, pa.list_(pa.int64())), "tokens": pa.array(sets, pa.binary())})
+    return pa.table({"doc_id": docs["doc_id"], "n": pa.array(sizes), "common": pa.array(sizes - own), "signatures": pa.array(signed, pa.list_(pa.int64())), "tokens": pa.array(sets, pa.binary())})
 
 
 def _sent(docs: pa.Table, side: pa.Table, k: int, bits: int) -> pa.Table:
@@ -177,7 +175,52 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
 
 
-def jaccard_components(documents: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), rare: int = 32, block_docs: int = 4000, bucket_tokens: int = 1 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _compare(cell: pa.Table, similarity: tuple[int, int]) -> pa.Table:
+    """Links that join the components of one block of a cluster: rows in, at most one link less than components out."""
+    num, den = similarity
+    cell = cell.sort_by("doc_id")
+    ids, part, n, common = (cell[c].to_numpy() for c in ("doc_id", "part", "n", "common"))
+    second, split = cell["second"].to_numpy(zero_copy_only=False), bool(cell["split"][0].as_py())
+    data, offsets, _ = buffers(cell["tokens"].cast(pa.large_binary()))
+    tokens, bounds = np.frombuffer(data.tobytes(), np.uint64), offsets // 8
+    left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if split else (np.arange(len(ids)),) * 2
+    most = np.minimum(common[left, None], common[None, right])
+    may = (part[left, None] != part[None, right]) & (den * most >= num * (n[left, None] + n[None, right] - most))
+    if not split:
+        may &= np.arange(len(ids))[:, None] < np.arange(len(ids))[None]
+    root = {p: p for p in part.tolist()}
+
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    out = []
+    rows = left[may.any(1)]
+    if len(rows):
+        # one side's tokens as a 0/1 vector over all tokens here; the other side's sets are summed through it
+        distinct, place = np.unique(tokens, return_inverse=True)
+        mark = np.zeros(len(distinct), np.int64)
+        sizes = np.diff(bounds)
+        at = np.concatenate([place[bounds[j] : bounds[j + 1]] for j in right])
+        starts = np.cumsum(sizes[right]) - sizes[right]
+        position = {int(i): k for k, i in enumerate(left)}
+        for i in rows.tolist():
+            mine = place[bounds[i] : bounds[i + 1]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[at], starts)
+            mark[mine] = 0
+            good = may[position[i]] & (den * both >= num * (n[i] + n[right] - both))
+            for j in right[good].tolist():
+                p, q = find(int(part[i])), find(int(part[j]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((int(ids[i]), int(ids[j])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def jaccard_components(documents: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), rare: int = 32, block_docs: int = 4000, bucket_tokens: int = 1 << 20, block_rows: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) for every row.
 
     Documents link when den * |intersection| >= num * |union| of their shingle sets. Null and wordless texts have an
@@ -189,7 +232,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, similarity: tuple[int,
     members = materialise(rows.select("doc_id", F.unhex(F.md5("text")).alias("same"), F.octet_length("text").alias("bytes")))
     n_docs, n_bytes = members.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     n_blocks = max(1, math.ceil(n_docs / block_docs))
-    bits = max(0, math.ceil(math.log2(max(1, n_bytes / 12 / bucket_tokens))))  # about twelve bytes of text a counted token
+    bits = max(0, math.ceil(math.log2(max(1, n_bytes / 6 / bucket_tokens))))  # about six bytes of text a token
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int").alias("block")
 
     firsts = members.groupBy("same").agg(F.min("doc_id").alias("rep"))
@@ -210,28 +253,34 @@ def jaccard_components(documents: DataFrame, k: int = 5, similarity: tuple[int,
     tokens = blocked.cogroup(copies.groupBy("block")).applyInArrow(sent, "bucket int, block int, tokens binary, counts binary")
     kinds = materialise(tokens.groupBy("bucket").applyInArrow(classes, "block int, bucket int, doc_id long, classes binary"))
     side = copies.unionByName(kinds)
-    table_ = materialise(blocked.cogroup(side.groupBy("block")).applyInArrow(signed, "doc_id long, n long, signatures array<long>, tokens binary"))
+    table_ = materialise(blocked.cogroup(side.groupBy("block")).applyInArrow(signed, "doc_id long, n long, common long, signatures array<long>, tokens binary"))
 
     num, den = similarity
-    near = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
-    sets = table_.where("signatures is not null").select("doc_id", "tokens")
-    posts = table_.where("signatures is not null").select("doc_id", "n", F.explode("signatures").alias("sig"))
-    lists = posts.groupBy("sig").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.max("doc_id").alias("last")).where("hub.doc_id < last")
-    shared = materialise(posts.join(lists.select("sig", "hub"), "sig"))
-    pairs = shared.where((F.col("doc_id") > F.col("hub.doc_id")) & near(F.col("n"), F.col("hub.n"))).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    pairs = materialise(pairs)
-    links = materialise(verified(pairs, sets, similarity))
+    bound = lambda an, ac, bn, bc: F.least(ac, bc) * den >= (an + bn - F.least(ac, bc)) * num
+    sets = table_.where("signatures is not null").select("doc_id", "n", "common", "tokens")
+    posts = table_.where("signatures is not null").select("doc_id", "n", "common", F.explode("signatures").alias("sig"))
+    central = F.struct((F.col("n") - F.col("common")).cast("double") / F.col("n"), "doc_id", "n", "common")
+    lists = posts.groupBy("sig").agg(F.min(central).alias("hub"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    hubs = lists.select("sig", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.common").alias("hub_common"))
+    clusters = materialise(posts.join(hubs, "sig").drop("sig").distinct())
+    pairs = clusters.where((F.col("doc_id") != F.col("hub")) & bound(F.col("n"), F.col("common"), F.col("hub_n"), F.col("hub_common")))
+    links = materialise(verified(pairs.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), sets, similarity))
     parts = connected_components(links)
 
-    # lists with more than one component: what is outside the largest meets what is in another component
-    placed = shared.join(parts, shared["doc_id"] == parts["node"], "left").select("sig", "doc_id", "n", F.coalesce("component", "doc_id").alias("part"))
-    sizes = placed.groupBy("sig", "part").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("sig").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("most.part").alias("most"))
-    mixed = placed.join(largest, "sig")
-    outside = mixed.where("part <> most").select("sig", F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xpart"))
-    met = outside.join(mixed, "sig").where((F.col("xpart") != F.col("part")) & near(F.col("n"), F.col("xn")))
-    more = met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = materialise(links.unionByName(verified(more, sets, similarity)))
+    # a member whose shared tokens suffice for no partner as large as the smallest member is out; then mixed clusters remain
+    least = clusters.groupBy("hub").agg(F.min("n").alias("least"))
+    placed = clusters.join(least, "hub").where(F.col("common") * (den + num) >= (F.col("n") + F.col("least")) * num)
+    placed = placed.join(parts, placed["doc_id"] == parts["node"], "left").select("hub", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    mixed = placed.groupBy("hub").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p < q").select("hub", "size")
+    rows_ = placed.join(mixed, "hub").withColumn("slices", F.ceil(F.col("size") / block_rows).cast("int"))
+    rows_ = rows_.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows_ = rows_.select("doc_id", "part", F.xxhash64("hub", F.least("slice", "other"), F.greatest("slice", "other")).alias("cell"), (F.col("slice") > F.col("other")).alias("second"), (F.col("slice") != F.col("other")).alias("split"))
+
+    def compare(cell: pa.Table) -> pa.Table:
+        return _compare(cell, similarity)
+
+    more = rows_.join(sets, "doc_id").groupBy("cell").applyInArrow(compare, "a long, b long")
+    links = materialise(links.unionByName(more))
     parts = connected_components(links)
 
     found = firsts.join(table_.select(F.col("doc_id").alias("rep"), "n"), "rep").groupBy("same", "rep").agg(F.max("n").alias("n"))
