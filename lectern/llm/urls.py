@@ -16,7 +16,7 @@ from lectern.session import table
 
 # Fixed values: (verdict, rule); a rule is a host and a path prefix.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-FEATURES = ("url_length", "host_length", "path_length", "depth", "digit_ratio", "host_digits", "hyphens", "entropy", "parameters", "has_fragment", "has_extension", "labels", "suffix_share", "suffix_blocked")
+FEATURES = ("url_length", "host_length", "path_length", "depth", "digit_ratio", "host_digits", "hyphens", "entropy", "parameters", "has_fragment", "has_extension", "labels", "suffix_share", "suffix_blocked", "zone_share", "zone_blocked")
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._~:/?#[]@!$&'()*+,;=%"
 
 
@@ -59,18 +59,18 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
         "hyphens": times(F.col("host"), "-").cast("double"), "entropy": entropy,
         "parameters": (times(text, "&") + F.when(text.contains("?"), 1).otherwise(0)).cast("double"),
         "has_fragment": text.contains("#").cast("double"), "has_extension": F.col("path").rlike(r"\.[a-z0-9]{1,5}$").cast("double"),
-        "labels": times(F.col("host"), ".").cast("double"), "suffix": F.regexp_extract("host", r"[^.]+\.[^.]+$|^[^.]*$", 0),
+        "labels": times(F.col("host"), ".").cast("double"), "suffix": F.regexp_extract("host", r"[^.]+\.[^.]+$|^[^.]*$", 0), "zone": F.regexp_extract("host", r"[^.]*$", 0),
     })
 
 
-def suffix_statistics(df: DataFrame) -> DataFrame:
-    """For each host suffix: its share of all URLs, and the share of block among its labelled URLs, drawn towards the mean."""
-    by = df.groupBy("suffix").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("blocked"))
+def suffix_statistics(df: DataFrame, suffix: str) -> DataFrame:
+    """For each host suffix (the last label, or the last two): its share of all URLs, and the share of block among its labelled URLs, drawn towards the mean."""
+    by = df.groupBy(suffix).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("blocked"))
     total = by.agg(F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
     mean = F.coalesce(F.try_divide("all_blocked", "all_labelled"), F.lit(0.5))
     return by.crossJoin(F.broadcast(total)).select(  # total is one row
-        "suffix", (F.col("n") / F.col("all_n")).alias("suffix_share"),
-        ((F.coalesce("blocked", F.lit(0.0)) + 10 * mean) / (F.col("labelled") + 10)).alias("suffix_blocked"),
+        suffix, (F.col("n") / F.col("all_n")).alias(f"{suffix}_share"),
+        ((F.coalesce("blocked", F.lit(0.0)) + 10 * mean) / (F.col("labelled") + 10)).alias(f"{suffix}_blocked"),
     )
 
 
@@ -87,8 +87,8 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: tuple = RULES, max_la
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     ruled = parts.withColumns({"rule": rule, "_said": verdict}).withColumn("label", F.when(F.col("_said") == "block", 1.0).when(F.col("_said") == "allow", 0.0))
     seen = lexical(ruled)
-    suffixes = suffix_statistics(seen)
-    seen = seen.join(suffixes, "suffix", "left")
+    for suffix in ("suffix", "zone"):
+        seen = seen.join(suffix_statistics(seen, suffix), suffix, "left")
     sample = seen.where("label is not null").groupBy("url").agg(F.max("label").alias("label"), *[F.max(c).alias(c) for c in FEATURES])
     sample = sample.orderBy(F.xxhash64("url"), "url").limit(max_labelled).select("label", *FEATURES)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features", handleInvalid="keep")
