@@ -63,15 +63,21 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     })
 
 
-def suffix_statistics(df: DataFrame, suffix: str) -> DataFrame:
-    """For each host suffix (the last label, or the last two): its share of all URLs, and the share of block among its labelled URLs, drawn towards the mean."""
-    by = df.groupBy(suffix).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("blocked"))
+def with_suffix_statistics(df: DataFrame, suffix: str) -> DataFrame:
+    """df with <suffix>_share, the suffix's share of URLs, and <suffix>_blocked, the share of block among its labelled ones.
+
+    URLs fall in two halves by hash and each takes the numbers of the other half, so no label tells of itself; the share of
+    block is drawn towards the mean of all labels, and 0.5 for a suffix that the other half lacks.
+    """
+    halved = df.withColumn("_half", F.pmod(F.xxhash64("url"), F.lit(2)))
+    by = halved.groupBy(suffix, "_half").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("blocked"))
     total = by.agg(F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
     mean = F.coalesce(F.try_divide("all_blocked", "all_labelled"), F.lit(0.5))
-    return by.crossJoin(F.broadcast(total)).select(  # total is one row
-        suffix, (F.col("n") / F.col("all_n")).alias(f"{suffix}_share"),
+    found = by.crossJoin(F.broadcast(total)).select(  # total is one row
+        suffix, (1 - F.col("_half")).alias("_half"), (F.col("n") / F.col("all_n")).alias(f"{suffix}_share"),
         ((F.coalesce("blocked", F.lit(0.0)) + 10 * mean) / (F.col("labelled") + 10)).alias(f"{suffix}_blocked"),
     )
+    return halved.join(found, [suffix, "_half"], "left").drop("_half").fillna(0.0, [f"{suffix}_share"]).fillna(0.5, [f"{suffix}_blocked"])
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules: tuple = RULES, max_labelled: int = 20_000, trees: int = 12, depth: int = 4, threshold: float = 0.5, seed: int = 7) -> DataFrame:
@@ -88,7 +94,7 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: tuple = RULES, max_la
     ruled = parts.withColumns({"rule": rule, "_said": verdict}).withColumn("label", F.when(F.col("_said") == "block", 1.0).when(F.col("_said") == "allow", 0.0))
     seen = lexical(ruled)
     for suffix in ("suffix", "zone"):
-        seen = seen.join(suffix_statistics(seen, suffix), suffix, "left")
+        seen = with_suffix_statistics(seen, suffix)
     sample = seen.where("label is not null").groupBy("url").agg(F.max("label").alias("label"), *[F.max(c).alias(c) for c in FEATURES])
     sample = sample.orderBy(F.xxhash64("url"), "url").limit(max_labelled).select("label", *FEATURES)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features", handleInvalid="keep")
