@@ -7,7 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from lectern.functions.text import pseudonym
 
@@ -52,9 +51,10 @@ def deduplicate(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return df.dropDuplicates(keys or [c for c in df.columns if not c.startswith("_")])
 
 
-def first_by_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key in a stated order."""
-    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+def first_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in a stated order (P09), as an aggregate that combines on the map side."""
+    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(*order)).alias("_row"))
+    return kept.select(*keys, "_row.*").select(*df.columns)
 
 
 def until(df: DataFrame, column: str, cut: int) -> DataFrame:

@@ -60,20 +60,22 @@ def at_risk_features(info: DataFrame, registration: DataFrame, clicks: DataFrame
     return fill_defaults(out, NUMBERS, LABELS)
 
 
-def feature_as_of(queries: DataFrame, features: DataFrame, keys: list[str], at: str = "event_time", ttl: str = "365 days", created: str = "created") -> DataFrame:
-    """Each query row with the newest feature row of its key that is not after it and not older than ttl.
+def feature_as_of(queries: DataFrame, features: DataFrame, keys: list[str], at: str = "event_time", ttl_days: int = 365, created: str = "created") -> DataFrame:
+    """Each query row with the newest feature row of its key that is not after it and not older than ttl_days.
 
-    One union and one window: no range join. Ties on time go to the row created last. queries need a unique `query_id`;
-    features need `value`.
+    One union and one window, no range join: time is cut into spans of the time to live, a feature stands in its own span
+    and the next, and a query looks in its own, so a key with most of the rows is split by time. Ties on time go to the row
+    created last. queries need a unique `query_id`; features need `value`.
     """
     from pyspark.sql import Window as W
 
+    span = F.floor(F.unix_timestamp(at) / (ttl_days * 86400)).cast("long")
     row = F.struct(F.col(at).alias("feature_time"), F.col("value"))
-    both = features.select(*keys, F.col(at), F.lit(0).alias("is_query"), F.col(created), F.lit(None).cast("long").alias("query_id"), row.alias("feature")).unionByName(
-        queries.select(*keys, F.col(at), F.lit(1).alias("is_query"), F.lit(None).cast(features.schema[created].dataType).alias(created), F.col("query_id"), F.lit(None).cast(features.select(row.alias("f")).schema["f"].dataType).alias("feature"))
-    )
-    order = W.partitionBy(*keys).orderBy(at, "is_query", F.col(created).asc_nulls_first())
+    kind = features.select(row.alias("f")).schema["f"].dataType
+    left = features.select(*keys, F.col(at), F.lit(0).alias("is_query"), F.col(created).alias("_made"), F.lit(None).cast("long").alias("query_id"), row.alias("feature"), F.explode(F.array(span, span + 1)).alias("_span"))
+    right = queries.select(*keys, F.col(at), F.lit(1).alias("is_query"), F.lit(None).cast(features.schema[created].dataType).alias("_made"), F.col("query_id").cast("long").alias("query_id"), F.lit(None).cast(kind).alias("feature"), span.alias("_span"))
+    order = W.partitionBy(*keys, "_span").orderBy(at, "is_query", F.col("_made").asc_nulls_first())
     last = F.last("feature", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    found = both.withColumn("feature", last).where("is_query = 1")
-    fresh = F.col("feature.feature_time") >= F.col(at) - F.expr(f"interval {ttl}")
+    found = left.unionByName(right).withColumn("feature", last).where("is_query = 1")
+    fresh = F.col("feature.feature_time") >= F.col(at) - F.expr(f"interval {ttl_days} days")
     return found.select("query_id", *keys, at, F.when(fresh, F.col("feature.feature_time")).alias("feature_time"), F.when(fresh, F.col("feature.value")).alias("value"))

@@ -90,9 +90,9 @@ def value_counts(df: DataFrame, column: str, mapping: dict[str, str], other: str
 
 def fold_small(counts: DataFrame, share: float = 0.02, others: str = "Others") -> DataFrame:
     """Categories below a share of the total as one (A20, J13). counts has a row a category."""
-    total = F.sum("count").over(W.partitionBy(F.lit(0)))
+    total = counts.agg(F.sum("count").alias("_total"))
     label = F.when(F.col("count") < share * F.col("_total"), others).otherwise(F.col("category"))
-    return counts.withColumn("_total", total).groupBy(label.alias("category")).agg(F.sum("count").alias("count"))
+    return counts.crossJoin(F.broadcast(total)).groupBy(label.alias("category")).agg(F.sum("count").alias("count"))  # total is one row
 
 
 def kpis(risk: DataFrame, mastery: DataFrame) -> DataFrame:

@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lectern.operators.recsys import numbering
+from lectern.session import materialise
+
 
 def temporal_split(df: DataFrame, column: str = "code_presentation", test: str = "2014", label: str = "target_class", key: str = "id_student", seed: int = 42) -> DataFrame:
-    """df with is_test: presentations of the test year, or, where there are none, a fifth of each class by hash."""
+    """df with is_test: presentations of the test year, or, where there are none, about a fifth of each class by hash."""
     named = F.col(column).contains(test)
     if df.where(named).limit(1).count():
         return df.withColumn("is_test", F.coalesce(named, F.lit(False)))
-    share = F.percent_rank().over(W.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key)))
-    return df.withColumn("is_test", share >= 0.8)
+    return df.withColumn("is_test", F.pmod(F.xxhash64(F.lit(seed), label, key), F.lit(5)) == 0)
 
 
 def group_split(df: DataFrame, user: str = "user_id", group: str = "course", share: int = 80, least: int = 5, seed: int = 42) -> DataFrame:
@@ -47,9 +49,9 @@ def impute(df: DataFrame, numbers: list[str], labels: list[str]) -> DataFrame:
 
 
 def encode(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Codes by alphabetical order from 0; NULL is -1 (M04). Each column's values are few and numbered by a window over them."""
+    """Codes by alphabetical order from 0; NULL is -1 (M04). Values are numbered by range partitions and offsets."""
     for c in columns:
-        codes = df.select(c).where(F.col(c).isNotNull()).distinct().withColumn(f"{c}_code", F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy(c)) - 1)
+        codes = numbering(df.select(c).where(F.col(c).isNotNull()).distinct(), c).select(c, F.col("index").cast("int").alias(f"{c}_code"))
         df = df.join(codes, c, "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)))
     return df
 
@@ -78,15 +80,20 @@ def scored(model: PipelineModel, df: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, *[p[i].alias(f"prob_{n}") for i, n in enumerate(names)], best.alias("predicted_class"), risk.alias("at_risk_probability"))
 
 
-def _by_score(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
+def _by_score(df: DataFrame, group: list[str], score: str, label: str, ranges: int = 64) -> DataFrame:
     """Positives and rows at each distinct score, with running counts from the highest score down; ties are one step.
 
-    Grouping by score comes first, so a window holds distinct scores of a group and not its rows.
+    Scores are range-partitioned and each range is offset by the sums of those before it, so that a group with most of the
+    rows is still summed by many tasks.
     """
     steps = df.groupBy(*group, score).agg(F.sum(F.col(label)).cast("double").alias("tp"), F.count("*").cast("double").alias("rows"))
-    down = W.partitionBy(*group).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*group)
-    return steps.withColumns({"tp_upto": F.sum("tp").over(down), "n_upto": F.sum("rows").over(down), "positives": F.sum("tp").over(whole), "total": F.sum("rows").over(whole)})
+    steps = materialise(steps.repartitionByRange(ranges, *group, F.desc(score)).withColumn("_range", F.spark_partition_id()))
+    sums = steps.groupBy(*group, "_range").agg(F.sum("tp").alias("t"), F.sum("rows").alias("n"))  # a row a group and range
+    before, whole = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*group)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    offsets = sums.select(*group, "_range", zero(F.sum("t").over(before)).alias("_t"), zero(F.sum("n").over(before)).alias("_n"), F.sum("t").over(whole).alias("positives"), F.sum("n").over(whole).alias("total"))
+    down = W.partitionBy(*group, "_range").orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
+    return steps.join(offsets, [*group, "_range"]).withColumns({"tp_upto": F.col("_t") + F.sum("tp").over(down), "n_upto": F.col("_n") + F.sum("rows").over(down)})
 
 
 def average_precision(df: DataFrame, group: list[str], score: str = "score", label: str = "label") -> DataFrame:

@@ -238,7 +238,7 @@ def _(spark, root):
     e = table(spark, root, "events")
     queries = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("event_time"), F.col("event_id").alias("query_id"))
     features = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("event_time"), "value", F.col("event_id").alias("created"))
-    return FT.feature_as_of(queries, features, ["user_id"], ttl="3 days").select("query_id", "user_id", "value")
+    return FT.feature_as_of(queries, features, ["user_id"], ttl_days=3).select("query_id", "user_id", "value")
 
 
 @q("J17_peers", "select count(*) n, round(avg(risk), 6) mean_risk from info where id_student <> 7")

@@ -36,7 +36,7 @@ def test_weighted_average_needs_weight(spark):
 def test_feature_as_of_respects_ttl_and_ties(spark):
     f = spark.createDataFrame([(1, "2024-01-01", 1.0, 1), (1, "2024-01-05", 2.0, 1), (1, "2024-01-05", 3.0, 2)], "k int, t string, value double, created int").withColumn("event_time", F.to_timestamp("t"))
     q = spark.createDataFrame([(10, 1, "2024-01-05"), (11, 1, "2024-01-04"), (12, 1, "2024-03-01"), (13, 2, "2024-01-05")], "query_id long, k int, t string").withColumn("event_time", F.to_timestamp("t"))
-    got = {r["query_id"]: r["value"] for r in features.feature_as_of(q, f, ["k"], ttl="30 days").collect()}
+    got = {r["query_id"]: r["value"] for r in features.feature_as_of(q, f, ["k"], ttl_days=30).collect()}
     assert got == {10: 3.0, 11: 1.0, 12: None, 13: None}
 
 
