@@ -44,14 +44,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def tables_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables stand, below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/lectern-{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends at files that survive lost executors."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends at files that survive lost executors.
+
+    Results of lazy queries read these tables, so they stay until clear_tables().
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{tables_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
     """Hint a broadcast only for a side whose row count is known and within limit; beyond it Spark shuffles both sides."""
     from pyspark.sql import functions as F
