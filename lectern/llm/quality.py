@@ -99,14 +99,22 @@ def fit(index: np.ndarray, before: np.ndarray, label: np.ndarray, smoothing: flo
     return np.r_[((1 - interpolation) * mean + interpolation * w) * ratio, ratio, bias]
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, label and the text's distinct features: at most 4 * SIZE bytes a row, however long the text."""
+    for batch in batches:
+        data, offsets, _ = buffers(batch.column(2))
+        rows = []
+        for a, b in blocks(offsets):
+            index, before = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            rows += [index[x:y].astype(np.int32).tobytes() for x, y in zip(before, before[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["id", "label", "features"])
+
+
 def _fit_group(group: pa.Table, options: dict) -> pa.Table:
     group = group.sort_by("id")
     label = group["label"].to_numpy().astype(np.int64)
-    data, offsets, _ = buffers(group["text"])
-    parts = [(features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in blocks(offsets)]
-    index = np.concatenate([p[0] for p in parts])
-    before = np.r_[0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))]
-    model = fit(index, before, label, **options)
+    data, offsets, _ = buffers(group["features"].cast(pa.large_binary()))
+    model = fit(np.frombuffer(data.tobytes(), np.int32).astype(np.int64), offsets // 4, label, **options)
     return pa.table({"model": pa.array([model.tobytes()], pa.binary())})
 
 
@@ -116,7 +124,8 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, smooth
     chosen = [usable.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(2 * per_class) for c in (0, 1)]
     chosen = materialise(chosen[0].unionByName(chosen[1]))
     found = documents.join(broadcast_if_small(chosen, chosen.count()), "id").groupBy("id", "label").agg(F.max("text").alias("text"))
-    found = materialise(found)
+    schema = T.StructType([found.schema["id"], found.schema["label"], T.StructField("features", T.BinaryType())])
+    found = materialise(found.select("id", "label", "text").mapInArrow(_featured, schema))
     parts = [found.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)]
     sample = parts[0].unionByName(parts[1])
     sizes = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}

@@ -61,3 +61,18 @@ def test_pipeline_stages_do_what_they_say(spark):
 
 def test_jaccard_query_has_production_parameters():
     assert jaccard.op3_jaccard_join.__name__ == "op3_jaccard_join" and len(registry.QUERIES) == 10
+
+
+def test_pipeline_takes_nulls_repeats_and_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, hub string"
+    word = "alpha beta gamma delta epsilon zeta eta theta iota kappa "
+    rows = [(1, word * 3 + "one", "en", "a", 9, 0.1, "x"), (1, word * 3 + "one", "en", "a", 9, 0.1, "x"), (2, word * 3 + "one", None, None, None, None, None), (None, word + "two", "en", "a", 1, 0.0, "y"), (3, None, "en", "a", None, 0.0, "y"), (4, "", None, "b", 0, None, None), (5, "x" * 50_000 + " token = 04dbebab91ab85687d33eeaaf9ac699e1188f962", "en", "b", 1, 1.0, "z")]
+    spark.createDataFrame([(1, 1), (2, None), (None, 0), (5, 0)], "doc_id long, quality int").where("doc_id is null or quality is null or doc_id = 1").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "a benchmark item that is in none of the documents at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs, none = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path))), corpus_pipeline.materialise(stage(spark, none, str(tmp_path)))
+        assert none.count() == 0 and set(schema.replace(",", "").split()[::2]) <= set(docs.columns), name
+    got = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(got) == {1, None, 3, 4, 5} and got[3] is None and got[4] == "" and got[5].endswith("[secret]")
