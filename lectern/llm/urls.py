@@ -12,12 +12,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import table
+from lectern.session import materialise, table
 
 # Fixed values: (verdict, rule); a rule is a host and a path prefix.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 FEATURES = ("url_length", "host_length", "path_length", "depth", "digit_ratio", "host_digits", "hyphens", "entropy", "parameters", "has_fragment", "has_extension", "labels", "suffix_share", "suffix_blocked", "zone_share", "zone_blocked")
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._~:/?#[]@!$&'()*+,;=%"
 
 
 def lower_ascii(c: Column) -> Column:
@@ -47,12 +46,10 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     """Columns of lexical features for a table with url, host and path."""
     text = F.coalesce(lower_ascii(F.col(url)), F.lit(""))
     size = F.greatest(F.length(text), F.lit(1)).cast("double")
-    times = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+    times = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x) if isinstance(x, str) else x, F.lit("")))
     digits = lambda c: F.length(c) - F.length(F.translate(c, "0123456789", ""))
-    entropy = F.lit(0.0)
-    for x in ALPHABET:
-        share = times(text, x) / size
-        entropy = entropy - F.when(share > 0, share * F.log2(share)).otherwise(0.0)
+    share = lambda x: times(text, x) / size
+    entropy = F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda s, x: s - F.when(x != "", share(x) * F.log2(share(x))).otherwise(0.0))
     return df.withColumns({
         "url_length": F.length(text).cast("double"), "host_length": F.length("host").cast("double"), "path_length": F.length("path").cast("double"),
         "depth": times(F.col("path"), "/").cast("double"), "digit_ratio": digits(text) / size, "host_digits": digits(F.col("host")).cast("double"),
@@ -77,6 +74,7 @@ def with_suffix_statistics(df: DataFrame, suffix: str) -> DataFrame:
         suffix, (1 - F.col("_half")).alias("_half"), (F.col("n") / F.col("all_n")).alias(f"{suffix}_share"),
         ((F.coalesce("blocked", F.lit(0.0)) + 10 * mean) / (F.col("labelled") + 10)).alias(f"{suffix}_blocked"),
     )
+    found = materialise(found)
     return halved.join(found, [suffix, "_half"], "left").drop("_half").fillna(0.0, [f"{suffix}_share"]).fillna(0.5, [f"{suffix}_blocked"])
 
 
@@ -97,6 +95,7 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: tuple = RULES, max_la
         seen = with_suffix_statistics(seen, suffix)
     sample = seen.where("label is not null").groupBy("url").agg(F.max("label").alias("label"), *[F.max(c).alias(c) for c in FEATURES])
     sample = sample.orderBy(F.xxhash64("url"), "url").limit(max_labelled).select("label", *FEATURES)
+    sample = materialise(sample)  # the trees' many small jobs then plan a scan and nothing else
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features", handleInvalid="keep")
     train = assembler.transform(sample).select("label", "_features").persist()
     kinds = sorted(r["label"] for r in train.select("label").distinct().collect())
