@@ -27,6 +27,8 @@ from lectern.session import broadcast_if_small, materialise, table
 
 BITS = 18
 SIZE = 1 << BITS
+#: Value of the constant feature: small, so that short texts, which have little else, are not judged by it.
+BIAS = 0.03
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,15 +90,15 @@ def fit(index: np.ndarray, before: np.ndarray, label: np.ndarray, smoothing: flo
     for _ in range(epochs):
         for i in random.permutation(n).tolist():
             at, x = index[before[i] : before[i + 1]], value[before[i] : before[i + 1]]
-            slope = sign[i] * (w[at] @ x + bias) - 1.0
-            new = min(max(alpha[i] - slope / (x @ x + 1.0), 0.0), upper[i])
+            slope = sign[i] * (w[at] @ x + bias * BIAS) - 1.0
+            new = min(max(alpha[i] - slope / (x @ x + BIAS**2), 0.0), upper[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * sign[i]
                 w[at] += step * x
-                bias += step
+                bias += step * BIAS
                 alpha[i] = new
     mean = np.abs(w).sum() / max(1, np.count_nonzero(w))
-    return np.r_[((1 - interpolation) * mean + interpolation * w) * ratio, ratio, bias]
+    return np.r_[((1 - interpolation) * mean + interpolation * w) * ratio, ratio, bias * BIAS]
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +120,7 @@ def _fit_group(group: pa.Table, options: dict) -> pa.Table:
     return pa.table({"model": pa.array([model.tobytes()], pa.binary())})
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, smoothing: float = 1.0, cost: float = 1.0, epochs: int = 8, interpolation: float = 0.75, seed: int = 5) -> np.ndarray:
+def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, smoothing: float = 1.0, cost: float = 4.0, epochs: int = 8, interpolation: float = 0.75, seed: int = 5) -> np.ndarray:
     """documents(id, text), labels(id, label) -> the model, as fit() returns it."""
     usable = labels.where(F.col("label").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("label").cast("int").alias("label"))
     chosen = [usable.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(2 * per_class) for c in (0, 1)]
