@@ -24,7 +24,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the quality classifier, learned from the labelled ones among docs, does not reject."""
     model = quality.learned_from(docs, table(spark, sf_dir, "labels"))
     others = tuple(c for c in docs.columns if c != "doc_id")
-    return quality.score(docs, model, keep=others).where("score >= 0.5").select(*docs.columns)
+    return quality.score(docs, model, keep=others, name="_quality").where("_quality >= 0.5").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

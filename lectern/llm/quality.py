@@ -158,13 +158,13 @@ def _score(batches: Iterator[pa.RecordBatch], shared, slope: float) -> Iterator[
         yield pa.RecordBatch.from_arrays([batch.column(0), *kept, scores], ["id", *batch.schema.names[2:], "score"])
 
 
-def score(documents: DataFrame, model: np.ndarray, slope: float = 2.0, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns to keep, and score: the logistic function of slope times the margin, so 0.5 is the separating plane."""
+def score(documents: DataFrame, model: np.ndarray, slope: float = 2.0, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """id, the columns to keep, and the score under a name: the logistic function of slope times the margin, so 0.5 is the separating plane."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     fields = [rows.schema["id"], *[rows.schema[f"k{i}"] for i in range(len(keep))]]
     scored = rows.mapInArrow(partial(_score, shared=shared, slope=slope), T.StructType([*fields, T.StructField("score", T.DoubleType())]))
-    return scored.toDF(doc_id, *keep, "score")
+    return scored.toDF(doc_id, *keep, name)
 
 
 def learned_from(documents: DataFrame, labels: DataFrame, **options) -> np.ndarray:
