@@ -16,8 +16,9 @@ ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE]
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 RULES = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24))
-#: A candidate is a run of at least this many token characters with a digit in it.
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: A candidate is a run of at least 20 token characters with a digit in it; only a run's start is tried, so that a very
+#: long run without a digit costs one look.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 HEX_ALPHABET = "0123456789abcdef"
 TOKEN_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Allow list: digits with separators only (card and phone numbers, dates), ids in UUID form, documented examples.
