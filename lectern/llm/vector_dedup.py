@@ -1,23 +1,25 @@
-"""Near-duplicate vectors by a pivot-permutation index.
+"""Near-duplicate vectors by an exact join over the cells of spread pivots.
 
-Every vector is described by its `nearest` reference points (pivots) in order of cosine; two vectors are candidates if
-they share at least `shared` of them. Of a vector's pivots, in pivot order, the first nearest - shared + 2 hold at least
-two that such a partner holds too, so the inverted lists are kept by pairs of those pivots: one list for each label and
-pair. A list's members are compared by the count of shared pivots, then by their cosine in double precision; a pair that
-meets in several lists is judged in the first of them alone. Lists longer than `block` are cut into slices that meet two
-by two, each meeting a group of its own, so no task holds a long list.
+Every vector belongs to the cell of its nearest reference point (pivot). Take a pair of unit vectors in the cells of two
+pivots p and q: the plane of equal distance to p and q parts them, so they are at least as far apart as the two distances
+from that plane add up to. The chord of the threshold's angle bounds that sum; hence a vector also visits each cell of a
+lower number from whose plane it is no farther than the chord, and there it meets every partner that it can have. Nothing
+is estimated: a pair meets in one cell, the lower of its two, and is judged there by its cosine in double precision. A
+cell's vectors and visitors are cut into slices of about `block` rows that meet two by two, each meeting a group of its
+own, so no task holds a whole cell. Where pivots cannot part the vectors (no clusters, many dimensions) most pairs of
+vectors of a label are compared.
 
 Vectors with equal labels are compared; those with a null label, that are null or zero, hold null or non-finite
 components, or are not as long as most vectors, link with nothing and are kept. Exact copies are one vector until the end
 and count as links of each other. A repeated row is the same vector; an id with two different vectors has a row for each.
-Pivots are a sample of at most `pivots` vectors in the order of their hash; all vectors are indexed.
+Pivots, a cell a block of the largest label and `pivots` at most, are picked farthest first from a sample by hash; they
+decide how much work is done, not what is found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,51 +43,45 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _describe(batches: Iterator[pa.RecordBatch], shared, nearest: int) -> Iterator[pa.RecordBatch]:
+def _spread(units: np.ndarray, count: int) -> np.ndarray:
+    """Up to count of the unit vectors, each the farthest from those before."""
+    picked, nearest = [0], units @ units[0]
+    while len(picked) < count and nearest.min() < 1 - 1e-9:
+        picked.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, units @ units[picked[-1]])
+    return units[picked]
+
+
+def _describe(batches: Iterator[pa.RecordBatch], shared, chord: float) -> Iterator[pa.RecordBatch]:
+    """Rows with `home`, the cell of the nearest pivot, and `visits`, the lower cells that can hold a partner."""
     points = shared.value
+    apart = np.sqrt(np.maximum(2 - 2 * points @ points.T, 0))
     for batch in batches:
         if not batch.num_rows:
             continue
         near = _unit(_matrix(batch.column(batch.schema.get_field_index("embedding")), points.shape[1])) @ points.T
-        kept = min(nearest, near.shape[1])
-        at = np.argpartition(-near, kept - 1, 1)[:, :kept]
-        order = np.take_along_axis(at, np.argsort(-np.take_along_axis(near, at, 1), 1, kind="stable"), 1)
-        described = pa.FixedSizeListArray.from_arrays(pa.array(order.ravel().astype(np.int32)), kept).cast(pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, described], [*batch.schema.names, "near"])
-
-
-def _bits(pivots: np.ndarray, words: int, keep: np.ndarray | None = None) -> np.ndarray:
-    out = np.zeros((len(pivots), words), np.uint64)
-    for c in range(pivots.shape[1]):
-        p = pivots[:, c]
-        bit = np.uint64(1) << (p % 64).astype(np.uint64)
-        at = (np.arange(len(p)), p // 64)
-        out[at] |= bit if keep is None else np.where(keep[:, c], bit, np.uint64(0))
-    return out
+        home = near.argmax(1)
+        beyond = near[np.arange(len(home)), home][:, None] - near
+        visits = (beyond <= (chord + 1e-9) * apart[home] + 1e-9) & (np.arange(near.shape[1]) < home[:, None])
+        offsets = np.r_[0, np.cumsum(visits.sum(1))].astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(visits)[1].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), listed], [*batch.schema.names, "home", "visits"])
 
 
-def _judge(batches: Iterator[pa.RecordBatch], size: int, words: int, shared: int, prefix: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows of whole lists, sorted by list, in; for each member with a link: its id, its links, a member it reaches."""
+def _judge(batches: Iterator[pa.RecordBatch], size: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows of whole lists, sorted by list and side, in; for each member with a link: its id, its links, a member it reaches."""
 
     def lists(t: pa.Table) -> pa.RecordBatch:
         key = t["list"].to_numpy()
         side, ids, copies = t["side"].to_numpy(), t["rep"].to_numpy(), t["copies"].to_numpy()
         unit = _unit(_matrix(t["embedding"], size))
-        near = np.asarray(t["near"].combine_chunks().flatten()).reshape(len(key), -1).astype(np.int64)
-        front = np.sort(near, 1)[:, :prefix]
-        first, second = t["first"].to_numpy()[:, None], t["second"].to_numpy()[:, None]
-        # the pair meets here first unless both hold another pivot before this list's second one
-        earlier = _bits(front, words, (front < second) & (front != first))
-        every = _bits(near, words)
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
         split = t["split"].to_numpy()
         found = []
 
         def keep(i: np.ndarray, j: np.ndarray, cosine: np.ndarray) -> None:
-            ok = cosine >= threshold
-            i, j = i[ok], j[ok]
-            ok = ((earlier[i] & earlier[j]) == 0).all(1) & (np.bitwise_count(every[i] & every[j]).sum(1) >= shared) & (~split[i] | (side[i] != side[j])) & (ids[i] != ids[j])
+            ok = (cosine >= threshold) & (~split[i] | (side[i] != side[j])) & (ids[i] != ids[j])
             found.append(np.stack([i[ok], j[ok]]))
 
         small = (ends - starts) <= SMALL
@@ -98,9 +94,11 @@ def _judge(batches: Iterator[pa.RecordBatch], size: int, words: int, shared: int
             j = i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             keep(i, j, np.einsum("ij,ij->i", unit[i], unit[j]))
         for a, b in zip(starts[~small], ends[~small], strict=True):
-            for p in range(a, b, 512):
-                for q in range(p, b, 512):
-                    cosine = unit[p : min(p + 512, b)] @ unit[q : min(q + 512, b)].T
+            # two slices are compared with each other only: the first side's rows stand before the second's
+            middle = a + int(np.searchsorted(side[a:b], side[a], "right")) if split[a] else b
+            for p in range(a, middle, 512):
+                for q in range(middle if split[a] else p, b, 512):
+                    cosine = unit[p : min(p + 512, middle)] @ unit[q : min(q + 512, b)].T
                     i, j = np.nonzero(cosine >= threshold)
                     cosine, i, j = cosine[i, j], i + p, j + q
                     up = i < j
@@ -137,7 +135,7 @@ def _judge(batches: Iterator[pa.RecordBatch], size: int, words: int, shared: int
         yield lists(pa.concat_tables(held))
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, pivots: int = 256, nearest: int = 8, shared: int = 4, block: int = 2048, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, pivots: int = 256, block: int = 2048, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept for every vector."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").alias("embedding"), F.col(f"`{label}`").alias("label"))
@@ -152,31 +150,32 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, pivots:
     key = ["label", "h1", "h2"]
     groups = good.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.min_by("embedding", "vec_id").alias("embedding"))
     groups = materialise(groups)
-    sample = groups.orderBy(F.xxhash64("h1", "h2"), "rep").select("embedding").limit(pivots).collect()  # at most `pivots` rows
+    most = groups.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    cells = max(1, min(pivots, -(-most // block)))
+    sample = groups.orderBy(F.xxhash64("h1", "h2"), "rep").select("embedding").limit(8 * cells).collect()  # at most 8 * `pivots` rows
     members = good.select(*key, "vec_id").distinct().join(groups.select(*key, "rep", "copies"), key)
     linked = None
     if sample and size:
-        points = spark.sparkContext.broadcast(_unit(np.array([r["embedding"] for r in sample], np.float64)))
-        shared = min(shared, len(sample))
-        nearest = min(nearest, len(sample))
-        prefix, words = min(nearest, nearest - shared + 2), (len(sample) + 63) // 64
+        points = spark.sparkContext.broadcast(_spread(_unit(np.array([r["embedding"] for r in sample], np.float64)), cells))
         base = groups.select("rep", "label", "copies", "embedding")
-        schema = T.StructType([*base.schema.fields, T.StructField("near", T.ArrayType(T.IntegerType()))])
-        described = materialise(base.mapInArrow(partial(_describe, shared=points, nearest=nearest), schema))
-        front = F.slice(F.array_sort("near"), 1, prefix)
-        pairs = F.array(*[F.struct(F.element_at(front, a + 1).alias("first"), F.element_at(front, b + 1).alias("second")) for a, b in combinations(range(prefix), 2)])
-        posts = described.select("rep", "label", F.inline(pairs))
-        if prefix < 2:
-            posts = described.select("rep", "label", F.lit(0).alias("first"), F.lit(0).alias("second"))
-        lists = posts.groupBy("label", "first", "second").agg(F.count("*").alias("n")).where("n > 1")
-        posts = posts.join(lists, ["label", "first", "second"])
-        slices = F.ceil(F.col("n") / block)
-        posts = posts.withColumn("slices", slices.cast("int")).withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
-        posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        posts = posts.select("rep", "first", "second", F.col("slice").alias("side"), (F.col("slice") != F.col("other")).alias("split"), F.xxhash64("label", "first", "second", F.least("slice", "other"), F.greatest("slice", "other")).alias("list"))
-        full = posts.join(described.select("rep", "copies", "embedding", "near"), "rep")
-        full = full.repartition("list").sortWithinPartitions("list", "rep")
-        judge = partial(_judge, size=size, words=words, shared=shared, prefix=prefix, threshold=threshold)
+        schema = T.StructType([*base.schema.fields, T.StructField("home", T.IntegerType()), T.StructField("visits", T.ArrayType(T.IntegerType()))])
+        chord = float(np.sqrt(max(2 - 2 * threshold, 0)))
+        described = materialise(base.mapInArrow(partial(_describe, shared=points, chord=chord), schema))
+        at_home = described.select("rep", "label", F.col("home").alias("cell"), F.lit(False).alias("visitor"))
+        posts = at_home.unionByName(described.select("rep", "label", F.explode("visits").alias("cell"), F.lit(True).alias("visitor")))
+        lists = posts.groupBy("label", "cell").agg(F.count_if(~F.col("visitor")).alias("homes"), F.count_if(F.col("visitor")).alias("visitors")).where("homes > 0 and homes + visitors > 1")
+        posts = posts.join(lists, ["label", "cell"])
+        slices = lambda n: F.ceil(F.col(n) / block).cast("int")
+        posts = posts.withColumns({"own": slices("homes"), "guest": slices("visitors")})
+        posts = posts.withColumn("slice", F.pmod(F.xxhash64("rep"), F.when(F.col("visitor"), F.col("guest")).otherwise(F.col("own"))).cast("int"))
+        # slices of the cell's own rows have numbers from 0, those of visitors from `own`; two slices of visitors do not meet
+        mine = F.when(F.col("visitor"), F.col("own") + F.col("slice")).otherwise(F.col("slice"))
+        last = F.when(F.col("visitor"), F.col("own")).otherwise(F.col("own") + F.col("guest")) - 1
+        posts = posts.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        posts = posts.select("rep", "side", (F.col("side") != F.col("other")).alias("split"), F.xxhash64("label", "cell", F.least("side", "other"), F.greatest("side", "other")).alias("list"))
+        full = posts.join(described.select("rep", "copies", "embedding"), "rep")
+        full = full.repartition("list").sortWithinPartitions("list", "side", "rep")
+        judge = partial(_judge, size=size, threshold=threshold)
         linked = materialise(full.mapInArrow(judge, "rep long, links long, root long"))
         components = connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
         links = linked.groupBy("rep").agg(F.sum("links").alias("links"))

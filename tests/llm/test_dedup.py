@@ -145,6 +145,26 @@ def test_vectors_match_brute_force(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_a_third_of_the_vectors_in_one_near_copy_group(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=64) / 8
+    rows = []
+    for i in range(1500):
+        v = centre + rng.normal(0, rng.choice([0.005, 0.01, 0.016]), 64) if i % 3 == 0 else rng.normal(size=64)
+        rows.append((i, [float(np.float32(x)) for x in v], 1))
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    assert abs(cosine - 0.98).min() > 1e-12
+    near = (cosine >= 0.98) & ~np.eye(len(rows), dtype=bool)
+    want = roots(range(len(rows)), [(int(a), int(b)) for a, b in np.argwhere(near) if a < b])
+    assert near.sum() > 100_000
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    for block in (2048, 64, 5):  # one cell, some cells, the most pivots
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicate_vectors(df, block=block).collect()}
+        assert got == {i: (int(near[i].sum()), want[i]) for i in want}
+
+
 def test_vector_edge_cases(spark):
     v, nan = [1.0, 2.0], float("nan")
     rows = [(1, v, 1), (2, v, 1), (2, v, 1), (3, v, None), (4, None, 1), (5, [0.0, 0.0], 1), (6, [1.0, None], 1), (7, [nan, 1.0], 1), (8, [float("inf"), 1.0], 1), (9, [1.0], 1), (10, v, 2), (11, [2.0, 4.0], 1)]
