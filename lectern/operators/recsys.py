@@ -85,21 +85,31 @@ def base_embeddings(edges: DataFrame, size: int = 64, iterations: int = 5, seed:
     return out(model.userFactors), out(model.itemFactors)
 
 
-def negative_samples(edges: DataFrame, per_pair: int = 1, tries: int = 4, seed: int = 42) -> DataFrame:
-    """(user, item, negative): for each pair, items by hash that the user has no edge with.
+def negative_samples(edges: DataFrame, per_pair: int = 1, seed: int = 42, bucket: int = 4096) -> DataFrame:
+    """(user, item, negative): for each pair, per_pair items by hash that the user has no edge with.
 
-    Items are numbered by their hash order; `tries` candidates are drawn for each and those that are edges are removed by an
-    anti join. A pair all of whose candidates are edges gets none.
+    Items are numbered. A draw is a rank among the n - degree items that the user lacks; the item of that rank follows from
+    the user's numbers: those before the last bucket of numbers that begins no later, a sum, and those within it, an array of
+    at most `bucket`. So no draw fails, and no row holds all edges of a user. A user with an edge to every item has none.
     """
-    items = edges.select("item").distinct()
+    pairs = edges.select("user", "item").distinct()
+    items = pairs.select("item").distinct()
     n = items.count()
     numbered = materialise(numbering(items, "item"))
-    drawn = edges.select("user", "item", F.explode(F.sequence(F.lit(0), F.lit(per_pair * tries - 1))).alias("attempt"))
-    drawn = drawn.withColumn("index", F.pmod(F.xxhash64(F.lit(seed), "user", "item", "attempt"), F.lit(n)))
-    found = drawn.join(broadcast_if_small(numbered.withColumnRenamed("item", "negative"), n), "index")
-    fresh = found.join(edges.select("user", F.col("item").alias("negative")), ["user", "negative"], "left_anti")
-    rank = F.row_number().over(W.partitionBy("user", "item").orderBy("attempt"))
-    return fresh.withColumn("rn", rank).where(F.col("rn") <= per_pair).select("user", "item", "negative")
+    placed = materialise(pairs.join(broadcast_if_small(numbered, n), "item"))
+    held = materialise(placed.groupBy("user", F.floor(F.col("index") / bucket).alias("bucket")).agg(F.array_sort(F.collect_list("index")).alias("held")))
+    earlier = W.partitionBy("user").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    sizes = held.select("user", "bucket", F.size("held").alias("size"))
+    marks = sizes.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0).cast("long")))
+    mark = F.struct((F.col("bucket") * bucket - F.col("before")).alias("lacked"), "bucket", "before")
+    users = marks.groupBy("user").agg(F.array_sort(F.collect_list(mark)).alias("marks"), F.sum("size").alias("degree")).where(F.col("degree") < n)
+    drawn = placed.select("user", "item", F.explode(F.sequence(F.lit(1), F.lit(per_pair))).alias("attempt")).join(users, "user")
+    drawn = drawn.withColumn("rank", F.pmod(F.xxhash64(F.lit(seed), "user", "item", "attempt"), n - F.col("degree")))
+    drawn = drawn.withColumn("mark", F.get(F.col("marks"), F.size(F.filter("marks", lambda m: m["lacked"] <= F.col("rank"))) - 1))
+    drawn = drawn.select("user", "item", "rank", F.col("mark.bucket").alias("bucket"), F.coalesce("mark.before", F.lit(0).cast("long")).alias("before"))
+    passed = F.size(F.filter("held", lambda e, k: e - F.col("before") - k <= F.col("rank")))
+    found = drawn.join(held, ["user", "bucket"], "left").select("user", "item", (F.col("rank") + F.col("before") + F.when(F.col("held").isNull(), 0).otherwise(passed)).alias("index"))
+    return found.join(broadcast_if_small(numbered.withColumnRenamed("item", "negative"), n), "index").select("user", "item", "negative")
 
 
 def numbering(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:

@@ -1,6 +1,7 @@
 """Features, folds, metrics, tracing and the recommender against hand-computed values and plain Python."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -100,6 +101,16 @@ def test_negative_samples_are_no_edges(spark):
     assert got.join(edges.withColumnRenamed("item", "negative"), ["user", "negative"]).count() == 0 and got.count() > 90
 
 
+def test_every_pair_of_a_user_who_lacks_an_item_has_negatives(spark):
+    held = {0: range(20), 1: range(19), 2: range(1, 20), 3: [i for i in range(20) if i != 9], 4: [7], 5: range(0, 20, 2), 6: range(8, 12)}
+    edges = spark.createDataFrame([(u, i) for u, items in held.items() for i in items], "user long, item long")
+    for bucket in (4, 4096):
+        got = [(r["user"], r["item"], r["negative"]) for r in recsys.negative_samples(edges, per_pair=3, bucket=bucket).collect()]
+        assert all(n not in held[u] and n in range(20) for u, _, n in got)
+        assert Counter((u, i) for u, i, _ in got) == {(u, i): 3 for u, items in held.items() if u for i in items}
+        assert {n for u, _, n in got if u == 5} == set(range(1, 20, 2))
+
+
 def test_numbering_is_contiguous(spark):
     df = spark.createDataFrame([(x * 3,) for x in range(500)], "v long")
     got = recsys.numbering(df, "v", 8).orderBy("v").collect()
