@@ -104,13 +104,15 @@ def entropy_spans(text: Column, window: int = 20, hex_bits: float = 2.8, token_b
 def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, hex_bits: float = 2.8, token_bits: float = 3.8) -> DataFrame:
     """All columns of documents and `secrets`: spans of rules and of high-entropy strings, by start, then kind in order.
 
-    An entropy span that meets a rule span says nothing new and is left out. Places are code points, ends exclusive.
+    An entropy span that rule spans cover wholly says nothing new and is left out. Places are code points, ends exclusive.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     # each list is a column of its own, used more than once below: Spark then computes it once a row
     found = documents.withColumns({"_ruled": rule_spans(text), "_dense": entropy_spans(text, window, hex_bits, token_bits)})
     ruled, dense = F.col("_ruled"), F.col("_dense")
-    apart = F.filter(dense, lambda e: ~F.exists(ruled, lambda r: (r["start"] < e["end"]) & (e["start"] < r["end"])))
+    places = F.array_sort(F.transform(ruled, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))))
+    reach = lambda e: F.aggregate(places, e["start"], lambda at, r: F.when(r["start"] <= at, F.greatest(at, r["end"])).otherwise(at))
+    apart = F.filter(dense, lambda e: reach(e) < e["end"])
     order = F.array(*[F.lit(k) for k in ("assign", "access", "hex", "entropy")])
     keyed = F.transform(
         F.concat(ruled, apart),
