@@ -16,13 +16,19 @@ ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE]
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 RULES = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24))
-#: A candidate is a run of at least 20 token characters with a digit in it; only a run's start is tried, so that a very
-#: long run without a digit costs one look.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: A candidate is a run of at least 20 token characters; only a run's start is tried.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 HEX_ALPHABET = "0123456789abcdef"
 TOKEN_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Allow list: digits with separators only (card and phone numbers, dates), ids in UUID form, documented examples.
-ALLOWED = r"^[0-9+/_=-]+$|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|(?i:example|placeholder|changeme|xxxx)"
+#: A word of letters: one case, or humps as in names of programs.
+WORD = r"(?:[A-Z]{1,19}|[a-z]{1,19}(?:[A-Z][a-z]{2,18})*+|(?:[A-Z][a-z]{1,18})++)"
+#: Allow list: digits with separators only (card and phone numbers, dates), ids in UUID form, words joined by - _ or / or by
+#: humps, documented examples.
+ALLOWED = (
+    r"^[0-9+/_=-]+$|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+    rf"|^[/_=-]*{WORD}(?:[/_-]+{WORD})+[/_=-]*$|^(?:[a-z]{{1,19}}|[A-Z][a-z]{{2,18}})(?:[A-Z][a-z]{{2,18}})+$"
+    r"|(?i:example|placeholder|changeme|xxxx)"
+)
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -68,16 +74,15 @@ def window_entropy(value: Column, alphabet: str, window: int) -> Column:
     The window slides by one: the count of the character that leaves falls by one, that of the one that enters rises by
     one, and the sum of c * log2(c) over all counts changes by those two terms alone. Shorter values count as one window.
     """
-    width = F.least(F.lit(window), F.length(value))
     term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    place = lambda i: F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1)))
     count = lambda counts, p: F.element_at(counts, p)
     start = F.struct(
         F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best")
     )
 
-    def step(state: Column, i: Column) -> Column:
-        enters, leaves = place(i), F.when(i > width, place(i - width)).otherwise(F.lit(0))
+    def step(places: Column, state: Column, i: Column) -> Column:
+        width = F.least(F.lit(window), F.size(places))
+        enters, leaves = F.element_at(places, i), F.when(i > width, F.get(places, i - width - 1)).otherwise(F.lit(0))
         counts = F.transform(state["counts"], lambda c, j: c + F.when(j + 1 == enters, 1).otherwise(0) - F.when(j + 1 == leaves, 1).otherwise(0))
         same = enters == leaves
         gained = F.when(same, 0.0).otherwise(term(count(state["counts"], enters) + 1) - term(count(state["counts"], enters)))
@@ -88,27 +93,33 @@ def window_entropy(value: Column, alphabet: str, window: int) -> Column:
         entropy = F.when(i >= width, F.log2(width.cast("double")) - total / width).otherwise(F.lit(0.0))
         return F.struct(counts.alias("counts"), total.alias("total"), F.greatest(state["best"], entropy).alias("best"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step)["best"]
+    # the characters' places are bound once a value, so that a long run costs no search from its start for each character
+    places = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c))
+    return F.transform(F.array(places), lambda p: F.aggregate(F.sequence(F.lit(1), F.size(p)), start, lambda state, i: step(p, state, i))["best"])[0]
 
 
-def entropy_spans(text: Column, window: int = 20, hex_bits: float = 2.8, token_bits: float = 3.8) -> Column:
-    """Spans of candidate strings with a window of high entropy for their character class, without those on the allow list."""
+def entropy_spans(text: Column, window: int = 20, hex_bits: float = 2.8, token_bits: float = 3.8, letter_bits: float = 3.9) -> Column:
+    """Spans of candidate strings with a window of high entropy for their character class, without those on the allow list.
+
+    Classes: hexadecimal digits of one case, letters of one case (a higher bound, as long words have many letters too), others.
+    """
     found = F.filter(located(text, CANDIDATE, "entropy"), lambda s: ~s["value"].rlike(ALLOWED))
     plain = lambda s: s["value"].rlike(r"^[0-9a-f]+$|^[0-9A-F]+$")
+    bound = lambda s: F.when(s["value"].rlike(r"^[a-z]+$|^[A-Z]+$"), letter_bits).otherwise(token_bits)
     high = lambda s: F.when(plain(s), window_entropy(F.lower(s["value"]), HEX_ALPHABET, window) >= hex_bits).otherwise(
-        window_entropy(s["value"], TOKEN_ALPHABET, window) >= token_bits
+        window_entropy(s["value"], TOKEN_ALPHABET, window) >= bound(s)
     )
-    return F.when(text.rlike("[0-9]") & text.rlike(CANDIDATE), F.filter(found, high)).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(CANDIDATE), F.filter(found, high)).otherwise(F.array().cast(SPAN))
 
 
-def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, hex_bits: float = 2.8, token_bits: float = 3.8) -> DataFrame:
+def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, hex_bits: float = 2.8, token_bits: float = 3.8, letter_bits: float = 3.9) -> DataFrame:
     """All columns of documents and `secrets`: spans of rules and of high-entropy strings, by start, then kind in order.
 
     An entropy span that rule spans cover wholly says nothing new and is left out. Places are code points, ends exclusive.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     # each list is a column of its own, used more than once below: Spark then computes it once a row
-    found = documents.withColumns({"_ruled": rule_spans(text), "_dense": entropy_spans(text, window, hex_bits, token_bits)})
+    found = documents.withColumns({"_ruled": rule_spans(text), "_dense": entropy_spans(text, window, hex_bits, token_bits, letter_bits)})
     ruled, dense = F.col("_ruled"), F.col("_dense")
     places = F.array_sort(F.transform(ruled, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))))
     reach = lambda e: F.aggregate(places, e["start"], lambda at, r: F.when(r["start"] <= at, F.greatest(at, r["end"])).otherwise(at))

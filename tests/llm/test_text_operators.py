@@ -335,6 +335,14 @@ def test_a_token_that_outreaches_its_rule_match_is_a_span(spark):
     assert got[3] == ("assign:2:28,access:8:28", "a [secret] b") and got[4] == ("access:0:20", "[secret]")
 
 
+def test_tokens_without_a_digit_are_scored(spark):
+    found = ["kQzWbNrTyUiHgFdSaPxLmVcE", "QWERTZUIOPASDFGHJKLYXCVB", "aB/cD+eFgHiJ/kLmNoPqRsT="]
+    words = ["internationalization-of-the-documentation", "/usr/local/lib/python/site-packages/numpy", "getUserAccountInformationFromDatabaseConnection", "Rindfleischetikettierungsueberwachung", "-" * 40, "z" * 50_000]
+    docs = [(i, f"x {t} y") for i, t in enumerate(found + words)]
+    got = {r["doc_id"]: r["s"] for r in secrets.scan_secrets(spark.createDataFrame(docs, DOCS)).select("doc_id", secrets.joined(F.col("secrets")).alias("s")).collect()}
+    assert [got[i] for i in range(len(docs))] == [f"entropy:2:{2 + len(t)}" for t in found] + [""] * len(words)
+
+
 def test_digest_columns(spark, tmp_path):
     text = 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b'
     spark.createDataFrame([(1, text), (2, None)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
