@@ -1,14 +1,18 @@
 """Licence scan: Aho-Corasick finds phrases and tags, a shunting-yard parser evaluates and/or/with expressions.
 
 Words are runs of letters, digits and non-ASCII characters of the lower-cased text; each text is re-joined with single
-spaces, so that one automaton pass finds every phrase that starts and ends at a word. A null text is an empty one: no
-words, no labels, score 0. Repeated rows are scanned each. Only the id and text columns are read. Nothing is shuffled.
+spaces, so that one automaton pass finds every phrase that starts and ends at a word. A statement is read from its phrase
+to the end of its and/or/with expression, however long; a phrase inside a statement that was read is part of it and starts
+none of its own, so a text is read in time linear in its length. Behind a tag the expression is taken from the raw rest of
+the line, where parentheses count. A null text is an empty one: no words, no labels, score 0. Repeated rows are scanned
+each. Only the id and text columns are read. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +42,10 @@ PERMISSIVE = {
 }
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_TAG_LINE = re.compile(r"(?i)spdx[^a-z0-9\n]+license[^a-z0-9\n]+identifier[\x20\t]*[:=]?[\x20\t]*([^\r\n]*)")
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]*[A-Za-z0-9+]")
+FILLERS = frozenset((b"the", b"a", b"an", b"either", b"of", b"terms"))
+_TOKEN = re.compile(rb"[()\r\n]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_VERSION = re.compile(rb"v?[0-9]{1,2}")
+_LONGEST = max(len(n.split()) for n in NAMES)
 
 
 def postfix(tokens: list[str]) -> list[str] | None:
@@ -76,107 +82,132 @@ def postfix(tokens: list[str]) -> list[str] | None:
 
 def family(identifier: str) -> float:
     """How permissive a licence identifier is: by its longest known family, 0.4 where none is known."""
-    return PERMISSIVE[max((n for n in PERMISSIVE if identifier == n or identifier.startswith((n + "-", n + "+"))), key=len)] if any(identifier == n or identifier.startswith((n + "-", n + "+")) for n in PERMISSIVE) else 0.4
+    known = [n for n in PERMISSIVE if identifier == n or identifier.startswith((n + "-", n + "+"))]
+    return PERMISSIVE[max(known, key=len)] if known else 0.4
 
 
-def evaluate(rpn: list[str]) -> tuple[float, list[str]]:
+def evaluate(rpn: list[str]) -> tuple[float, set[str]]:
     """Permissiveness and licence identifiers of a postfix expression: `or` leaves the choice, `and` binds to the stricter
     side, and an exception after `with` loosens its licence a little and is no licence of its own."""
-    stack: list[tuple[float, list[str]]] = []
+    stack: list[tuple[float, set[str]]] = []
     for t in rpn:
         if t not in PRECEDENCE:
-            stack.append((family(t), [t]))
+            stack.append((family(t), {t}))
             continue
         (b, right), (a, left) = stack.pop(), stack.pop()
-        stack.append((min(1.0, a + 0.1), left) if t == "with" else (max(a, b) if t == "or" else min(a, b), left + right))
+        if t == "with":
+            stack.append((min(1.0, a + 0.1), left))
+            continue
+        small, large = sorted((left, right), key=len)
+        large |= small
+        stack.append((max(a, b) if t == "or" else min(a, b), large))
     return stack[0]
 
 
-def longest_expression(tokens: list[str]) -> list[str] | None:
-    """The postfix form of the longest leading run of tokens that is an expression."""
-    # a second name with no operator between ends the expression, so longer runs need not be tried
+def longest_expression(tokens: Iterable[str]) -> list[str] | None:
+    """The postfix form of the longest leading run of tokens that is an expression; reads no token beyond the one that ends it."""
+    held: list[str] = []
     depth, end, operand = 0, 0, True
-    for i, t in enumerate(tokens):
+    for t in tokens:
         low = t.lower()
         depth += (t == "(") - (t == ")")
+        # a second name with no operator between ends the expression
         if depth < 0 or (not operand and t == "(") or (not operand and low not in PRECEDENCE and t != ")"):
             break
+        held.append(t)
         operand = t == "(" or low in PRECEDENCE
         if not operand and depth == 0:
-            end = i + 1
-    return postfix(tokens[:end]) if end else None
+            end = len(held)
+    return postfix(held[:end]) if end else None
 
 
 def automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    entries: dict[str, list] = {}
     for phrase in {*BASE, *NOTICES, TAG}:
-        entries.setdefault(phrase, []).append(len(phrase) + 2)
-    for phrase, value in entries.items():
-        found.add_word(f" {phrase} ", (phrase, value[0]))
+        found.add_word(f" {phrase} ", phrase)
     found.make_automaton()
     return found
 
 
-def named(words: list[str]) -> list[str]:
-    """Licence names, operators and versions at the start of words, as expression tokens."""
-    out, i = [], 0
-    while i < len(words):
-        size = next((n for n in (5, 4, 3, 2, 1) if " ".join(words[i : i + n]) in NAMES), 0)
-        if size:
-            name, i = NAMES[" ".join(words[i : i + size])], i + size
-            if i < len(words) and words[i] in ("license", "licence"):
-                i += 1
-            if i < len(words) and words[i] in ("version", "v"):
-                i += 1
-            version = []
-            while i < len(words) and re.fullmatch(r"v?[0-9]{1,2}", words[i]) and len(version) < 2:
-                version.append(words[i].lstrip("v"))
-                i += 1
-            out.append(name + ("-" + ".".join(version if len(version) > 1 else [*version, "0"]) if version else ""))
-        elif words[i] in PRECEDENCE and out:
-            out.append(words[i])
-            i += 1
-        elif words[i] in ("the", "a", "an", "either", "of", "terms"):
-            i += 1
-        else:
+def name_at(words: list[bytes], at: int) -> tuple[str, int]:
+    """The longest licence name, with its version, that starts at a word, and the word after it; an empty name where none does."""
+    for size in range(min(_LONGEST, len(words) - at), 0, -1):
+        name = NAMES.get(b" ".join(words[at : at + size]).decode("latin-1"))
+        if name:
             break
-    return out
+    else:
+        return "", at
+    at += size
+    if at < len(words) and words[at] in (b"license", b"licence"):
+        at += 1
+    if at < len(words) and words[at] in (b"version", b"v"):
+        at += 1
+    version: list[str] = []
+    while at < len(words) and len(version) < 2 and _VERSION.fullmatch(words[at]):
+        version.append(words[at].decode().lstrip("v"))
+        at += 1
+    return name + ("-" + ".".join(version if len(version) > 1 else [*version, "0"]) if version else ""), at
+
+
+def named(words: list[bytes], at: int) -> tuple[list[str], int]:
+    """The expression of licence names that starts at a word, as tokens, and the word after its last name."""
+    out, kept, end = [], 0, at
+    while True:
+        while at < len(words) and words[at] in FILLERS:
+            at += 1
+        name, at = name_at(words, at)
+        if not name:
+            break
+        out.append(name)
+        kept, end = len(out), at
+        operator = words[at].decode("latin-1") if at < len(words) else ""
+        if operator not in PRECEDENCE:
+            break
+        out.append(operator)
+        at += 1
+    return out[:kept], end
 
 
 def scan(raw: bytes, machine) -> tuple:
-    words = raw.translate(_SPACED).split()
+    spaced = raw.translate(_SPACED)
+    words = spaced.split()
     text = " " + b" ".join(words).decode("latin-1") + " "
-    places, base, extra, values, tagged = [], set(), set(), [], False
-    for end, (phrase, size) in machine.iter(text):
-        start = end + 1 - size
+    hits = list(machine.iter(text))
+    if not hits:
+        return len(words), 0, None, None, "", "", 0.0
+    blank = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
+    after = np.searchsorted(blank, [end for end, _ in hits])  # the word behind each phrase: the blank before it has its number
+    places, base, values, extra, starts, tags = [], set(), [], set(), [], []
+    for word, (_, phrase) in zip(after.tolist(), hits, strict=True):
         if phrase in BASE:
-            places.append(text.count(" ", 0, start))
+            places.append(word - phrase.count(" ") - 1)
             base.add(BASE[phrase])
-        if phrase == TAG:
-            tagged = True
-        elif phrase in NOTICES:
-            after = text[end : end + 200].split()
-            said = longest_expression(named(after))
-            if said:
-                value, leaves = evaluate(said)
-                values.append(value)
-                extra.update(leaves)
-        elif phrase in BASE:
-            said = longest_expression(named(text[start : start + 200].split()))
-            if said:
-                value, leaves = evaluate(said)
-                values.append(value)
-                extra.update(leaves)
-    if tagged:
-        for line in _TAG_LINE.findall(raw.decode("utf-8", "replace")):
-            said = longest_expression(_TOKEN.findall(line))
-            if said:
-                value, leaves = evaluate(said)
-                values.append(value)
-                extra.update(leaves)
+            starts.append(places[-1])
+        elif phrase == TAG:
+            tags.append(word)
+        else:
+            starts.append(word)
+
+    def state(tokens: Iterable[str]) -> None:
+        said = longest_expression(tokens)
+        if said:
+            value, leaves = evaluate(said)
+            values.append(value)
+            extra.update(leaves)
+
+    read = 0
+    for word in sorted(starts):
+        if word >= read:
+            tokens, read = named(words, word)
+            state(tokens)
+    if tags:
+        inside = np.frombuffer(spaced, np.uint8) != 32
+        ends = np.flatnonzero(inside & ~np.r_[inside[1:], False]) + 1
+        for word in tags:
+            found = (m[0].rstrip(b".-").decode("latin-1") for m in _TOKEN.finditer(raw, int(ends[word - 1])))
+            state(takewhile(lambda t: t not in "\r\n", found))
     score = min(values) if values else 0.0
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | extra)), score
 

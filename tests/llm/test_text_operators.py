@@ -144,6 +144,81 @@ def test_tags_and_notices_add_labels(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def plain_statements(text):
+    """Labels and score by a plain reading: word lists, one phrase after the other, precedence by splitting."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    at = lambda i, phrase: w[i : i + len(phrase.split())] == phrase.split()
+    starts = {i for i in range(len(w)) for p in licenses.BASE if at(i, p)}
+    starts |= {i + len(p.split()) for i in range(len(w)) for p in licenses.NOTICES if at(i, p)}
+    found, labels, read = [], {v for i in range(len(w)) for p, v in licenses.BASE.items() if at(i, p)}, 0
+
+    def value(parts):  # tokens name op name ...: split at `or`, then at `and`, then at `with`
+        for op, pick in (("or", max), ("and", min)):
+            if op in parts:
+                k = parts.index(op)
+                return pick(value(parts[:k]), value(parts[k + 1 :]))
+        return min(1.0, licenses.family(parts[0]) + 0.1 * (len(parts) // 2))
+
+    for i in sorted(starts):
+        if i < read:
+            continue
+        parts, end = [], i
+        while True:
+            while i < len(w) and w[i] in ("the", "a", "an", "either", "of", "terms"):
+                i += 1
+            names = [p for p in licenses.NAMES if at(i, p)]
+            if not names:
+                break
+            name = max(names, key=lambda p: len(p.split()))
+            i += len(name.split())
+            i += i < len(w) and w[i] in ("license", "licence")
+            i += i < len(w) and w[i] in ("version", "v")
+            digits = []
+            while i < len(w) and len(digits) < 2 and re.fullmatch("v?[0-9][0-9]?", w[i]):
+                digits.append(w[i].lstrip("v"))
+                i += 1
+            parts.append(licenses.NAMES[name] + ("-" + ".".join((digits + ["0"])[:2]) if digits else ""))
+            end = i
+            if i < len(w) and w[i] in ("and", "or", "with"):
+                parts.append(w[i])
+                i += 1
+            else:
+                break
+        if parts and parts[-1] in ("and", "or", "with"):
+            parts.pop()
+        read = end
+        if parts:
+            found.append(value(parts))
+            labels |= {p for k, p in enumerate(parts) if k % 2 == 0 and (k == 0 or parts[k - 1] != "with")}
+    return ",".join(sorted(labels)), min(found, default=0.0)
+
+
+def test_added_labels_and_scores_match_a_plain_reading(spark):
+    rng = random.Random(12)
+    parts = ["licensed under", "Released under the", "under the terms of", "license", "MIT", "apache license version 2 0", "GPL v3", "cc by sa 4.0", "and", "or", "with", "and", "or", "bsd", "gnu lesser general public license", "mit license", "either", "x", "isc,", "agpl 12 3 4"]
+    docs = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))) for i in range(300)]
+    docs += [(1000 + n, "licensed under " + "mit and " * n + "agpl") for n in (5, 30, 5000)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(docs, DOCS)).collect()}
+    for i, t in docs:
+        want = plain_statements(t) if i < 2000 else ("agpl,mit", 0.2)
+        assert (got[i][0], round(got[i][1], 9)) == (want[0], round(want[1], 9)), t
+    assert sum(s > 0 for _, s in got.values()) > 100 and got[1005] == got[1030] == got[6000] == ("agpl,mit", 0.2)
+
+
+def test_long_licence_texts_take_linear_time():
+    import time
+
+    machine = licenses.automaton()
+    for piece in ("mit license ", "mit license and ", "licensed under the ", "spdx-license-identifier: mit and ", "spdx-license-identifier: (mit or -----"):
+        took = []
+        for n in (50_000, 800_000):
+            began = time.perf_counter()
+            licenses.scan((piece * (n // len(piece))).encode(), machine)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 64 * took[0] + 0.5, piece  # 16 times the text; a quadratic reading takes 256 times
+
+
 # ---- tokens
 
 def test_token_counts_match_the_library(spark):
