@@ -1,7 +1,9 @@
 """Token counts of a byte-fallback BPE model by rank-synchronous merging of ragged arrays.
 
 A batch's distinct pre-tokens lie in one flat array of symbols with offsets. In each round every sequence finds its
-lowest-rank pair (the leftmost of equals) and all sequences apply theirs at once; a sequence without a pair in the
+lowest rank and all sequences apply theirs at once, at every place that has it (of places that overlap, the left one), up
+to the first place where the new symbol makes a pair of a still lower rank, which must come before the places behind it.
+So a sequence takes about as many rounds as it has distinct ranks, however long it is. A sequence without a pair in the
 vocabulary is done, and its surviving symbols are its tokens, an unknown character counting as its UTF-8 bytes.
 
 A null text is an empty one and has no tokens. Repeated rows are counted each. Only the id and text columns are read, so
@@ -10,7 +12,6 @@ extra columns cannot clash. Nothing is shuffled.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import partial
 
@@ -24,7 +25,6 @@ from lectern.session import table
 
 SPACE, MARK = 0x20, 0x2581
 NONE = np.int64(1) << np.int64(30)
-LONG = 4096
 KNOWN = 1 << 20
 
 
@@ -75,42 +75,52 @@ class Merges:
         edge[1:] = (self.bigrams[near] != keys) | (sequence[1:] != sequence[:-1])
         begins = np.flatnonzero(edge)
         owner, lengths = sequence[begins], np.diff(np.r_[begins, len(chars)])
-        for i in np.flatnonzero(lengths > LONG):
-            total[owner[i]] += self.by_heap(symbols[begins[i] : begins[i] + lengths[i]].tolist())
-        keep = np.repeat(lengths <= LONG, lengths)
-        symbols, owner, lengths = symbols[keep], owner[lengths <= LONG], lengths[lengths <= LONG]
-        begins = np.cumsum(lengths) - lengths
         rank, merged = self.ranked(symbols, begins)
         while len(begins):
-            key = (rank << 32) | np.arange(len(rank))
-            best = np.minimum.reduceat(key, begins)
-            live = (best >> 32) < NONE
+            best = np.minimum.reduceat(rank, begins)
+            live = best < NONE
             if not live.all():
                 done = np.repeat(~live, lengths)
                 np.add.at(total, np.repeat(owner[~live], lengths[~live]), self.weights[symbols[done]])
                 symbols, rank, merged = symbols[~done], rank[~done], merged[~done]
-                best, owner, lengths, moved = best[live], owner[live], lengths[live], begins[live]
+                best, owner, lengths = best[live], owner[live], lengths[live]
                 begins = np.cumsum(lengths) - lengths
-                place = (best & 0xFFFFFFFF) - moved + begins
-            else:
-                place = best & 0xFFFFFFFF
             if not len(begins):
                 break
+            at = np.flatnonzero(rank == np.repeat(best, lengths))
+            run = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])
+            place = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
+            number = np.searchsorted(begins, place, "right") - 1
+            place, number = self.until_lower(symbols, merged, begins, lengths, best, place, number)
             symbols[place] = merged[place]
             keep = np.ones(len(symbols), bool)
             keep[place + 1] = False
-            rank[place] = rank[place + 1]  # whether the merged symbol is its sequence's last
             symbols, rank, merged = symbols[keep], rank[keep], merged[keep]
-            gone = np.arange(len(begins))
-            place, begins, lengths = place - gone, begins - gone, lengths - 1
-            last = place == begins + lengths - 1
+            begins = begins - np.searchsorted(place, begins)
+            lengths = lengths - np.bincount(number, minlength=len(lengths))
+            place = place - np.arange(len(place))
+            last = place == (begins + lengths - 1)[number]
             right = place[~last]
             rank[place[last]] = NONE
             rank[right], merged[right] = self.pair(symbols[right], symbols[right + 1])
-            left = place[place > begins] - 1
+            left = place[place > begins[number]] - 1
             rank[left], merged[left] = self.pair(symbols[left], symbols[left + 1])
         return total
 
+    def until_lower(self, symbols: np.ndarray, merged: np.ndarray, begins: np.ndarray, lengths: np.ndarray, best: np.ndarray, place: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places that a sequence merges in this round: those up to the first whose new symbol forms a pair of a lower rank."""
+        new, beside = merged[place], np.r_[False, (place[1:] == place[:-1] + 2) & (number[1:] == number[:-1])]
+        before = np.where(beside, np.r_[new[:1], new[:-1]], symbols[np.maximum(place - 1, 0)])
+        lower = (self.pair(before, new)[0] < best[number]) & (place > begins[number])
+        behind = np.minimum(place + 2, len(symbols) - 1)
+        lower |= (self.pair(new, symbols[behind])[0] < best[number]) & (place + 2 < (begins + lengths)[number])
+        if not lower.any():
+            return place, number
+        seen = np.cumsum(lower) - lower
+        first = np.searchsorted(number, number)  # where each sequence's places begin
+        use = seen == seen[first]
+        return place[use], number[use]
+
     def ranked(self, symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank, merged = np.full(len(symbols), NONE), np.zeros(len(symbols), np.int64)
         if len(symbols) > 1:
@@ -118,31 +128,6 @@ class Merges:
             rank[begins[1:] - 1] = NONE
         return rank, merged
 
-    def by_heap(self, symbols: list[int]) -> int:
-        """The same merges for one very long sequence, in time n log n."""
-        n = len(symbols)
-        table = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
-        after, before, heap = [*range(1, n), -1], [*range(-1, n - 1)], []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if i >= 0 and j >= 0 and (hit := table.get(symbols[i] * self.width + symbols[j])):
-                heapq.heappush(heap, (hit[0], i, symbols[i], symbols[j], j, hit[1]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, left, right, j, new = heapq.heappop(heap)
-            if symbols[i] != left or after[i] != j or symbols[j] != right:
-                continue
-            symbols[i], symbols[j], after[i] = new, -1, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return int(sum(self.weights[s] for s in symbols if s >= 0))
-
 
 _MERGES: dict[str, Merges] = {}
 

@@ -235,6 +235,48 @@ def test_token_counts_match_the_library(spark):
     assert tuple(got[9999]) == (9999, 0, 0, False)
 
 
+def test_rounds_keep_the_order_of_any_merge_list():
+    """Random merge lists, in which a merged symbol may well form a pair of a lower rank, against one merge at a time."""
+    rng = random.Random(7)
+    for _ in range(60):
+        pieces = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 6))) for _ in range(30)}
+        symbols = {p: k for k, p in enumerate(sorted(pieces | set("abc")))}
+        ranks = dict(zip(sorted(pieces), rng.sample(range(len(pieces)), len(pieces))))
+        merges = token_count.Merges.__new__(token_count.Merges)
+        merges.width = len(symbols) + 1
+        pairs = {symbols[p[:c]] * merges.width + symbols[p[c:]]: (ranks[p], symbols[p]) for p in pieces for c in range(1, len(p)) if p[:c] in symbols and p[c:] in symbols}
+        if not pairs:
+            continue
+        merges.keys = np.array(sorted(pairs), np.int64)
+        merges.ranks, merges.merged = (np.array([pairs[k][i] for k in sorted(pairs)], np.int64) for i in (0, 1))
+        merges.chars, merges.char_symbols = np.array([97, 98, 99]), np.array([symbols[c] for c in "abc"])
+        merges.weights = np.array([1] * len(symbols) + [0], np.int64)
+        merges.bigrams = np.array(sorted((a << 21) | b for a in (97, 98, 99) for b in (97, 98, 99)), np.int64)
+        texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 60))) for _ in range(40)]
+        want = []
+        for t in texts:
+            parts = list(t)
+            while True:
+                found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+                if not found:
+                    break
+                i = min(found)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            want.append(len(parts))
+        chars = np.array([ord(c) for t in texts for c in t], np.int64)
+        assert merges.counts(chars, np.cumsum([0, *(len(t) for t in texts)])).tolist() == want
+
+
+def test_a_very_long_sequence_counts_as_the_library_counts_it(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["the", "ing", "tion", "er", "aa", "ab", "Zq", "7"]) for _ in range(60_000)), "=" * 200_000]
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_count.count_tokens(spark.createDataFrame([*enumerate(texts)], DOCS), path).collect()}
+    assert [got[i] for i in range(2)] == [len(library.encode(t)) for t in texts]
+
+
 # ---- decontamination
 
 def test_masks_miss_no_pattern_of_mismatches():
