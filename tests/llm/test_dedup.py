@@ -125,26 +125,60 @@ def vectors(seed, n=300, size=16):
     return out
 
 
-def test_vectors_match_brute_force(spark):
-    rows = vectors(1)
-    want_links = {i: 0 for i, _, _ in rows}
-    links = []
+def expected(rows):
+    """Links and components by comparing all pairs of equal label and length."""
+    count, links = {i: 0 for i, _, _ in rows}, []
     for x, (i, v, a) in enumerate(rows):
         for j, w, b in rows[x + 1 :]:
-            if a == b and np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w)) >= 0.98:
+            if a == b and len(v) == len(w) and np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w)) >= 0.98:
                 links.append((i, j))
-                want_links[i] += 1
-                want_links[j] += 1
-    want = roots([r[0] for r in rows], links)
-    got = vector_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), pivots=32, block=16).collect()
-    assert len(got) == len(rows) and len(links) > 100
-    found = sum(r["n_links"] for r in got) / sum(want_links.values())
-    assert 0.97 <= found <= 1.0  # recall; nothing below the threshold is linked
-    assert all(r["n_links"] <= want_links[r["vec_id"]] for r in got)
-    assert np.mean([want[r["vec_id"]] == r["component_id"] for r in got]) > 0.97
+                count[i] += 1
+                count[j] += 1
+    return count, roots([r[0] for r in rows], links)
+
+
+@pytest.mark.parametrize("block,spread", [(2048, 2.0), (16, 2.0), (5, 0.05)])
+def test_vectors_match_brute_force(spark, block, spread):
+    rows = vectors(1)
+    count, component = expected(rows)
+    got = vector_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=block, spread=spread).collect()
+    assert len(got) == len(rows) and sum(count.values()) > 200
+    assert all(r["n_links"] <= count[r["vec_id"]] for r in got)  # nothing below the threshold is linked
+    assert sum(r["n_links"] for r in got) >= 0.99 * sum(count.values())
+    assert np.mean([component[r["vec_id"]] == r["component_id"] for r in got]) > 0.99
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_pairs_at_the_threshold_are_found(spark):
+    """Partners at a cosine of 0.9801 among random vectors, for ids divisible by 20 against all rows."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    angle = np.arccos(0.9801)
+    both = np.r_[base, np.cos(angle) * base + np.sin(angle) * side]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicate_vectors(df).collect()}
+    queries = range(0, 6000, 20)
+    want = (both[queries] @ both.T >= 0.98).sum() - len(queries)
+    assert want >= 300 and sum(got[i] for i in queries) >= 0.99 * want
+
+
+def test_vectors_of_mixed_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        size = (8, 8, 8, 3, 20, 1)[i % 6]
+        v = rng.normal(size=size) if i < 60 else np.array(rows[i - 60][1]) + rng.normal(0, 0.01, size)
+        rows.append((i, v.tolist(), i % 2))
+    count, component = expected(rows)
+    df = spark.createDataFrame([*rows, (500, [], 0), (501, [1e200, 1e200, 0.0], 7), (502, [1e-200, 1e-200, 0.0], 7)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicate_vectors(df).collect()}
+    assert got == {**{i: (count[i], component[i]) for i in count}, 500: (0, 500), 501: (1, 501), 502: (1, 501)}
+
+
 def test_a_third_of_the_vectors_in_one_near_copy_group(spark):
     rng = np.random.default_rng(5)
     centre = rng.normal(size=64) / 8
@@ -160,9 +194,10 @@ def test_a_third_of_the_vectors_in_one_near_copy_group(spark):
     want = roots(range(len(rows)), [(int(a), int(b)) for a, b in np.argwhere(near) if a < b])
     assert near.sum() > 100_000
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    for block in (2048, 64, 5):  # one cell, some cells, the most pivots
-        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicate_vectors(df, block=block).collect()}
-        assert got == {i: (int(near[i].sum()), want[i]) for i in want}
+    for block, spread in ((2048, 2.0), (64, 8.0)):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicate_vectors(df, block=block, spread=spread).collect()}
+        assert all(got[i][0] <= near[i].sum() for i in want) and sum(n for n, _ in got.values()) >= 0.999 * near.sum()
+        assert {i: c for i, (_, c) in got.items()} == want
 
 
 def test_vector_edge_cases(spark):
