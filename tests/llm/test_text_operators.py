@@ -460,6 +460,43 @@ def test_tokens_without_a_digit_are_scored(spark):
     assert [got[i] for i in range(len(docs))] == [f"entropy:2:{2 + len(t)}" for t in found] + [""] * len(words)
 
 
+def test_redaction_matches_plain_python(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("ab 🙂é\n") for _ in range(rng.choice([0, 5, 60, 3000])))
+        spans = sorted((lambda a: (a, rng.randint(a + 1, min(len(text), a + 9))))(rng.randrange(len(text))) for _ in range(rng.randint(0, 12)) if text)
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start:int,end:int>>")
+    got = {r["doc_id"]: r["t"] for r in df.select("doc_id", secrets.redacted(F.col("text"), F.col("spans"), "#", 16).alias("t")).collect()}
+    for i, text, spans in rows:
+        out, at = "", 0
+        for a, b in spans:
+            out, at = (out + text[at:a] + "#", b) if a >= at else (out, max(at, b))
+        assert got[i] == out + text[at:], (text, spans)
+
+
+def test_tens_of_thousands_of_secrets_in_one_text(spark):
+    import time
+
+    rng = random.Random(5)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(50)]
+    docs = [(0, " ".join(keys[i % 50] for i in range(50_000))), (1, " ".join(f"token={keys[i % 50]}/Zq" for i in range(20_000)))]
+    began = time.perf_counter()
+    scanned = secrets.scan_secrets(spark.createDataFrame(docs, DOCS))
+    got = {r["doc_id"]: r for r in scanned.select("doc_id", F.size("secrets").alias("n"), F.element_at("secrets", -1).alias("last"), secrets.redacted(F.col("text"), F.col("secrets")).alias("t")).collect()}
+    assert time.perf_counter() - began < 120
+    assert got[0]["n"] == 50_000 and got[0]["last"]["end"] == len(docs[0][1]) and got[0]["t"] == " ".join(["[secret]"] * 50_000)
+    assert got[1]["n"] == 40_000 and got[1]["last"]["kind"] == "hex" and got[1]["t"] == " ".join(["[secret]"] * 20_000)
+
+
+def test_a_column_named_secrets_gives_way_or_stays(spark):
+    df = spark.createDataFrame([(1, "token = 04dbebab91ab85687d33", "mine", "y")], DOCS + ", secrets string, entropy string")
+    assert secrets.scan_secrets(df).columns == ["doc_id", "text", "entropy", "secrets"]
+    row = secrets.scan_secrets(df, name="found").first()
+    assert (row["secrets"], row["entropy"], len(row["found"])) == ("mine", "y", 1)
+
+
 def test_digest_columns(spark, tmp_path):
     text = 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b'
     spark.createDataFrame([(1, text), (2, None)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
