@@ -3,15 +3,17 @@
 Words are runs of letters and digits of the lower-cased text. Fixed masks pick four positions of a short span of words
 and ignore the rest; the hash of the picked words meets the same hash of a benchmark item, and the words around each hit
 are compared place by place, so substituted words cost a mismatch and no more. An overlap is a stretch of `window` words
-on one diagonal (or the whole item, where that is shorter) of which at least `similarity` agree.
+on one diagonal (or the whole item, where that is shorter) of which at least `similarity` agree. An item of fewer than
+`exact_below` words is found where all its words stand in a row; it is hashed whole.
 
-Null and empty texts, and items of under `least_words` words, overlap with nothing. Repeated documents are reported each;
-repeated items under each item id. Null ids are kept out of the result. Only id and text columns are read.
+Null and empty texts overlap with nothing, nor do items without words or with fewer than `shortest`. Repeated documents are
+reported once an id; repeated items under each item id. Null ids are kept out of the result. Only id and text columns are
+read. Words travel as hashes of 64 bits; of a document only the words on a hit's diagonal, as many as the item has, are
+compared, so a text of one repeated word costs its length times the item's.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,45 +24,66 @@ from lectern.session import broadcast_if_small, materialise, table
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4))
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+def hashed_words(text: Column) -> Column:
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, keys: list[str], masks: tuple = MASKS) -> DataFrame:
-    """keys, place and seed for each mask at each place of the column `words`."""
+def seeds(rows: DataFrame, keys: list[str], masks: tuple) -> DataFrame:
+    """keys, place and seed for each mask at each place of the word hashes in column `h`."""
     span = max(m[-1] for m in masks) + 1
-    hashed = rows.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     shifted = [F.slice("h", j + 1, F.size("h")).alias(f"w{j}") for j in range(span)]
-    placed = hashed.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("place", "w")).select(*keys, "place", "w.*")
-    each = [F.when(F.col(f"w{m[-1]}").isNotNull(), F.xxhash64(F.lit(i), *[F.col(f"w{j}") for j in m])) for i, m in enumerate(masks)]
+    placed = rows.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("place", "w")).select(*keys, "place", "w.*")
+    each = [F.when(F.col(f"w{m[-1]}").isNotNull(), F.xxhash64(F.lit(repr(m)), *[F.col(f"w{j}") for j in m])) for m in masks]
     return placed.select(*keys, "place", F.explode(F.array(*each)).alias("seed")).where("seed is not null")
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 13, similarity: float = 0.8, least_words: int = 8, masks: tuple = MASKS, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def best_stretch(agree: Column, width: Column) -> Column:
+    """The most agreeing places in a row of `width`, and where that row begins, the first of equals: one sum that slides."""
+    total = F.aggregate(F.slice(agree, F.lit(1), width), F.lit(0), lambda s, x: s + x)
+    start = F.struct(total.alias("now"), total.alias("agreeing"), F.lit(0).alias("at"))
+
+    def step(state: Column, i: Column) -> Column:
+        now = state["now"] + F.get(agree, i + width - 1) - F.get(agree, i - 1)
+        better = now > state["agreeing"]
+        moved = F.struct(now.alias("now"), F.greatest(now, state["agreeing"]).alias("agreeing"), F.when(better, i).otherwise(state["at"]).alias("at"))
+        return F.when(i == 0, state).otherwise(moved)
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(agree) - width), start, step)
+
+
+def contaminated(
+    documents: DataFrame, benchmark: DataFrame, window: int = 13, similarity: float = 0.8, exact_below: int = 8, shortest: int = 1, masks: tuple = MASKS,
+    doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
+) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, item_id, agreeing (words of the best stretch), compared, place."""
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    items = materialise(benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(text)).alias("words")).where(F.size("words") >= least_words).where("item_id is not null").distinct())
-    tests = materialise(seeds(items, ["item_id"], masks).distinct())
-    n_tests = tests.count()
-    tests = broadcast_if_small(tests.withColumnRenamed("place", "item_place"), n_tests, 2_000_000)
-    found = seeds(docs.select("doc_id", words_of(F.col("text")).alias("words")), ["doc_id"], masks).join(tests, "seed")
-    hits = materialise(found.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct())
+    docs = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), hashed_words(F.col(f"`{text}`")).alias("h")).where("doc_id is not null")
+    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), hashed_words(F.col(f"`{text}`")).alias("h"))
+    items = materialise(items.where((F.size("h") >= max(1, shortest)) & F.col("item_id").isNotNull()).distinct())
+    sizes = items.agg(F.count("*"), F.collect_set(F.when(F.size("h") < exact_below, F.size("h")))).first()  # fewer than exact_below numbers
+    whole = {n: tuple(range(n)) for n in sizes[1]}
+    keys = ["item_id", "n_words"]
+    sized = items.select("item_id", F.size("h").alias("n_words"), "h")
+    tests = seeds(sized.where(F.col("n_words") >= exact_below), keys, masks)
+    for n, mask in whole.items():
+        tests = tests.unionByName(seeds(sized.where(F.col("n_words") == n), keys, (mask,)))
+    tests = materialise(tests.withColumnRenamed("place", "item_place").distinct())
+    found = seeds(docs, ["doc_id"], (*masks, *whole.values())).join(broadcast_if_small(tests, tests.count(), 2_000_000), "seed")
+    hits = materialise(found.select("doc_id", *keys, (F.col("place") - F.col("item_place")).alias("shift")).distinct())
     ids = hits.select("doc_id").distinct()
-    kept = docs.join(broadcast_if_small(ids, hits.count(), 2_000_000), "doc_id", "left_semi")
-    kept = kept.select("doc_id", words_of(F.col("text")).alias("doc_words"))
-    pairs = hits.join(kept, "doc_id").join(items, "item_id")
+    # rows that repeat an id and its text are compared once
+    kept = docs.join(broadcast_if_small(ids, hits.count(), 2_000_000), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("h")).agg(F.first("h").alias("doc_h"))
     first = F.greatest(F.lit(0), -F.col("shift"))  # the item's words that lie inside the document
-    last = F.least(F.size("words"), F.size("doc_words") - F.col("shift"))
-    width = F.least(F.lit(window), F.size("words"))
-    agree = F.zip_with(F.slice("words", first + 1, last - first), F.slice("doc_words", first + F.col("shift") + 1, last - first), lambda a, b: (a == b).cast("int"))
-    judged = pairs.where(last - first >= width).select("doc_id", "item_id", (first + F.col("shift")).alias("begin"), agree.alias("agree"), width.alias("compared"))
-    best = F.transform(
-        F.sequence(F.lit(0), F.size("agree") - F.col("compared")),
-        lambda i: F.struct(F.aggregate(F.slice("agree", i + 1, F.col("compared")), F.lit(0), lambda s, x: s + x).alias("agreeing"), (-(i + F.col("begin"))).alias("place")),
-    )
-    need = F.ceil(F.col("compared") * F.lit(similarity) - 1e-9)
-    scored = judged.withColumn("best", F.array_max(best)).where(F.col("best.agreeing") >= need)
-    return scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("best.agreeing", "best.place", "compared")).alias("m")).select(
+    last = F.least(F.col("n_words"), F.size("doc_h") - F.col("shift"))
+    width = F.least(F.lit(window), F.col("n_words"))
+    near = hits.join(kept, "doc_id").where(last - first >= width)
+    near = near.select("doc_id", "item_id", "shift", first.alias("first"), width.alias("compared"), F.slice("doc_h", first + F.col("shift") + 1, last - first).alias("part"))
+    agree = F.zip_with(F.slice("h", F.col("first") + 1, F.size("part")), "part", lambda a, b: (a == b).cast("int"))
+    judged = near.join(broadcast_if_small(items, sizes[0], 100_000), "item_id").select("doc_id", "item_id", "compared", (F.col("first") + F.col("shift")).alias("begin"), agree.alias("agree"))
+    need = F.when(F.col("compared") < exact_below, F.col("compared")).otherwise(F.ceil(F.col("compared") * F.lit(similarity) - 1e-9))
+    scored = judged.withColumn("best", best_stretch(F.col("agree"), F.col("compared"))).where(F.col("best.agreeing") >= need)
+    best = F.max(F.struct("best.agreeing", (-(F.col("best.at") + F.col("begin"))).alias("place"), "compared"))
+    return scored.groupBy("doc_id", "item_id").agg(best.alias("m")).select(
         "doc_id", "item_id", F.col("m.agreeing").cast("long").alias("agreeing"), F.col("m.compared").cast("long").alias("compared"), (-F.col("m.place")).cast("long").alias("place")
     )
 

@@ -288,31 +288,48 @@ def test_masks_miss_no_pattern_of_mismatches():
 def test_contamination_matches_brute_force(spark):
     rng = random.Random(6)
     vocabulary = ["v%d" % i for i in range(30)]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([4, 8, 10, 14, 30])))) for i in range(14)] + [(90, None), (91, "")]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 4, 7, 8, 10, 14, 30])))) for i in range(20)] + [(90, None), (91, ""), (None, "v1 v2 v3")]
     docs = []
     for i in range(60):
         w = [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
         if i % 3 == 0:
-            piece = rng.choice(items[:14])[1].split()
+            piece = rng.choice(items[:20])[1].split()
             for _ in range(rng.randint(0, 4)):
                 piece[rng.randrange(len(piece))] = "other"
             w[5:5] = piece
         docs.append((i, (", " if i % 2 else " ").join(w).upper()))
-    docs += [(200, None), (201, "")]
-    want = set()
+    docs += [(200, None), (201, ""), (0, docs[3][1]), (1, docs[1][1])]  # an id with two texts, a repeated row
+    plain = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    best = {}
     for d, t in docs:
-        w = re.findall(r"[^\W_]+", (t or "").lower())
+        w = plain(t)
         for k, s in items:
-            v = re.findall(r"[^\W_]+", (s or "").lower())
-            n = min(13, len(v))
-            if len(v) >= 8 and any(sum(a == b for a, b in zip(w[x : x + n], v[y : y + n])) >= math.ceil(0.8 * n - 1e-9) for x in range(len(w) - n + 1) for y in range(len(v) - n + 1)):
-                want.add((d, k))
+            v = plain(s)
+            n, need = min(13, len(v)), len(v) if len(v) < 8 else math.ceil(0.8 * min(13, len(v)) - 1e-9)
+            for x in range(len(w) - n + 1):
+                for y in range(len(v) - n + 1):
+                    same = sum(a == b for a, b in zip(w[x : x + n], v[y : y + n]))
+                    if n and k is not None and same >= need:
+                        best[d, k] = max(best.get((d, k), (0, 0)), (same, -x))
     got = decontaminate.contaminated(spark.createDataFrame([(*d, 1) for d in docs], DOCS + ", item_id int"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want) > 10
+    assert {(r["doc_id"], r["item_id"]): (r["agreeing"], -r["place"]) for r in got} == best and len(got) == len(best) > 20
+    long = {k for k, s in items if len(plain(s)) >= 5}
+    some = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), shortest=5)
+    assert {(r["doc_id"], r["item_id"]) for r in some.collect()} == {x for x in best if x[1] in long}
     none = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], "item_id long, text string"))
     assert none.count() == 0 and decontaminate.contaminated(spark.createDataFrame([], DOCS), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_a_text_of_one_word_repeated(spark):
+    import time
+
+    began = time.perf_counter()
+    docs = spark.createDataFrame([(1, "word " * 100_000), (2, "word " * 12), (3, "other " * 50)], DOCS)
+    items = spark.createDataFrame([(7, "word " * 15), (8, "word word word")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["agreeing"], r["place"]) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 7): (13, 0), (1, 8): (3, 0), (2, 8): (3, 0)} and time.perf_counter() - began < 120
+
+
 # ---- URLs
 
 def test_rules_match_a_plain_reading(spark):
