@@ -5,7 +5,10 @@ The exponent is the largest at which the weights reach a target entropy, raised
 repeated more often than allowed. A token is a run of characters other than blanks, tabs and line ends.
 
 Null sources are one source of their own. Documents without tokens, null texts among them, cost nothing and are in every
-pass of their source. Repeated documents are scheduled each. An empty table gives an empty schedule.
+pass of their source. Repeated rows, and rows without an id, are documents each: a row's place in a pass is drawn from its
+id, its text and its number in the table, so that no two share one and a budget ends at one document. The number is that
+of a scan, so the rows must come from a table (files), as all queries and stages here do. An empty table gives an empty
+schedule.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ def tokens_of(text: Column) -> Column:
 
 
 def draw(seed: int, doc: Column, epoch: Column) -> Column:
-    """A document's place in a pass over its source: a number in [0, 1) from a hash, so that a re-run draws the same."""
+    """A row's place in a pass over its source: a number in [0, 1) from a hash, so that a re-run draws the same."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch.cast("int"), doc), 11).cast("double") / F.lit(UNIT)
 
 
@@ -72,13 +75,14 @@ def mix_sources(documents: DataFrame, budget_share: float = 1.0, entropy_share:
     documents and a last, partial one. Each pass is its own permutation, dealt into blocks of about block_docs documents;
     the partial pass takes whole blocks while they fit its budget, then documents of the next block in order while they
     fit. mix_order, in [0, 1), spreads each source's blocks evenly over the mixture, so that any prefix of it has about
-    the target weights; sort by it to read the mixture. Columns of documents with these names are replaced.
+    the target weights; sort by it to read the mixture. A column of documents with one of these names is kept as <name>_in.
 
     A document's copies follow from its own hash and two numbers of its source, so texts are never shuffled.
     """
-    names = [c for c in documents.columns if c not in ("n_tokens", "epoch", "mix_block", "mix_order", "target_weight")]
+    own = ("n_tokens", "target_weight", "epoch", "mix_block", "mix_order")
     key = F.struct(F.col(f"`{source}`").isNull().alias("none"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("name"))
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), key.alias("_source"), F.col(f"`{doc_id}`").alias("_doc"), tokens_of(F.col(f"`{text}`")).alias("n_tokens"))
+    doc = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.monotonically_increasing_id())
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), key.alias("_source"), doc.alias("_doc"), tokens_of(F.col(f"`{text}`")).alias("n_tokens"))
     slim = materialise(rows.select("_source", "_doc", "n_tokens"))
     sources = materialise(slim.groupBy("_source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
     n_sources, total, docs = sources.agg(F.count("*"), F.sum("tokens"), F.sum("docs")).first()
@@ -89,7 +93,8 @@ def mix_sources(documents: DataFrame, budget_share: float = 1.0, entropy_share:
     norm = sources.agg(F.sum(power)).first()[0] or 1.0
     planned = sources.withColumn("target_weight", power / F.lit(norm)).withColumn("share", F.col("target_weight") * F.lit(budget))
     planned = planned.withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.col("share") / F.col("tokens") + 1e-9)).otherwise(F.lit(1)).cast("int"))
-    planned = materialise(planned.withColumn("rest", F.greatest(F.lit(0.0), F.col("share") - F.col("passes") * F.col("tokens"))))
+    # less than a token left is no pass
+    planned = materialise(planned.withColumn("rest", F.greatest(F.lit(0), F.floor(F.col("share") - F.col("passes") * F.col("tokens") + 1e-6))))
     small = lambda df: broadcast_if_small(df, n_sources, 200_000)
 
     # the partial pass: whole blocks first, then the documents of the block that the budget ends in
@@ -98,7 +103,7 @@ def mix_sources(documents: DataFrame, budget_share: float = 1.0, entropy_share:
     filled = drawn.groupBy("_source", "block").agg(F.sum("n_tokens").alias("in_block"), F.max("rest").alias("rest"))
     before = W.partitionBy("_source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     ends = filled.withColumn("before", F.coalesce(F.sum("in_block").over(before), F.lit(0)))
-    ends = ends.where("before <= rest and before + in_block > rest").select("_source", "block", "before")
+    ends = ends.where("rest > 0 and before <= rest and before + in_block > rest").select("_source", "block", "before")
     inside = drawn.join(small(ends), ["_source", "block"])
     running = W.partitionBy("_source", "block").orderBy("u", "_doc").rowsBetween(W.unboundedPreceding, 0)
     fits = inside.withColumn("upto", F.col("before") + F.sum("n_tokens").over(running)).where("upto <= rest")
@@ -113,7 +118,8 @@ def mix_sources(documents: DataFrame, budget_share: float = 1.0, entropy_share:
     jitter = draw(seed + 1, F.xxhash64("_source.none", "_source.name", block), F.col("epoch"))
     at = (F.col("epoch") + (block + jitter) / F.lit(float(blocks))) / F.greatest(length, F.lit(1e-9))
     order = F.least(at, F.lit(1.0 - 2e-9)) + F.col("_u") * 1e-9
-    return out.select("_row.*", "n_tokens", "target_weight", "epoch", (F.col("epoch").cast("long") * blocks + block).alias("mix_block"), order.alias("mix_order"))
+    kept = [F.col("_row").getField(c).alias(f"{c}_in" if c in own else c) for c in documents.columns]
+    return out.select(*kept, "n_tokens", "target_weight", "epoch", (F.col("epoch").cast("long") * blocks + block).alias("mix_block"), order.alias("mix_order"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -411,6 +411,28 @@ def test_mixture_edge_cases(spark):
     assert sorted(r["doc_id"] for r in got) == [1, 2, 3]
 
 
+@pytest.mark.parametrize("rows,share", [([(None, "a", "x y z v w")] * 1000 + [(i, "b", "x y z v w") for i in range(1000)], 1.1), ([(i // 100, "a", "x " * 10) for i in range(1000)], 0.55)])
+def test_a_budget_ends_at_one_document_whatever_repeats(spark, tmp_path, rows, share):
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    got = mixture.mix_sources(docs, budget_share=share, block_docs=64).collect()
+    total, used = sum(len(t.split()) for _, _, t in rows), Counter()
+    for r in got:
+        used[r["source"]] += r["n_tokens"]
+    size = len(rows[0][2].split())
+    for s in {s for _, s, _ in rows}:
+        want = next(r["target_weight"] for r in got if r["source"] == s) * total * share
+        assert want - size < used[s] <= want + 1e-6
+    copies = Counter(r["epoch"] for r in got)
+    assert copies[0] == min(len(rows), copies[0]) and sum(copies.values()) == len(got)
+
+
+def test_columns_of_the_schedule_do_not_replace_those_of_the_table(spark):
+    got = mixture.mix_sources(spark.createDataFrame([(1, "a", "x y", 7, 0.5)], "doc_id long, source string, text string, epoch long, mix_order double"))
+    assert got.columns == ["doc_id", "source", "text", "epoch_in", "mix_order_in", "n_tokens", "target_weight", "epoch", "mix_block", "mix_order"]
+    assert (got.first()["epoch_in"], got.first()["epoch"]) == (7, 0)
+
+
 # ---- secrets
 
 def slow_entropy(value, alphabet, window):
