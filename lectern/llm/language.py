@@ -1,13 +1,14 @@
 """Language identification by rank-order n-gram profiles and the out-of-place distance.
 
-A text is lower-cased and cut into words of letters, each with a boundary on both sides; its n-grams of one to three
-symbols are ranked by count (ties by symbol code). A language's profile is the same ranking over all its training texts.
+Letters are lower-cased one by one (a letter whose lower case is several characters stays as it is); all else is a word
+boundary. A text's n-grams of one to three characters, those with a boundary at an end included, are ranked by count, ties
+by the characters' code points, the last one first. A language's profile is the same ranking over all its training texts.
 The distance of a text to a language is the sum, over the text's first `top` n-grams, of how many places each is out of
 its place in the profile, `top` for one that the profile lacks; the nearest language wins, ties by name.
 
-Letters a to z have symbols of their own, all others share about a hundred by hash. A null text, or one without letters,
-is `und` with score 0. Texts or languages that repeat, and extra columns, change nothing else. Without training texts
-every text is `und`. Counts cover all training texts, whole.
+N-grams are exact: three code points of 21 bits packed in one number. A null text, or one without letters, is `und` with
+score 0. Texts or languages that repeat, and extra columns, change nothing else. Without training texts every text is
+`und`. Counts cover all training texts, whole.
 """
 
 from __future__ import annotations
@@ -26,108 +27,123 @@ from pyspark.sql import Window as W
 from lectern.llm.ragged import blocks, buffers
 from lectern.session import table
 
-GRAMS = 1 << 21
 BOUNDARY = 1
-_SYMBOLS: np.ndarray | None = None
-
-
-def symbols() -> np.ndarray:
-    """Symbol of each code point: 1 for what is no letter, 2 to 27 for a to z, 28 to 127 for other letters."""
-    global _SYMBOLS
-    if _SYMBOLS is None:
-        letter = np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), bool, 0x110000)
-        code = np.arange(0x110000, dtype=np.uint64)
-        other = 28 + ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(100)
-        _SYMBOLS = np.where(letter, other, BOUNDARY).astype(np.int64)
-        _SYMBOLS[97:123] = np.arange(2, 28)
-    return _SYMBOLS
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and code of every n-gram in texts, as one key: number * GRAMS + code; and the texts that have letters."""
-    text = "\n" + "\n".join(x.lower().replace("\n", " ") for x in texts) + "\n"
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    number = np.maximum(np.cumsum(chars == 10) - 1, 0)
-    s = symbols()[chars]
-    letter = s != BOUNDARY
-    owner = number * GRAMS
-    one = owner[letter] + s[letter]
-    pair = letter[:-1] | letter[1:]
-    at = np.where(letter[:-1], owner[:-1], owner[1:])
-    two = (at + s[:-1] + (s[1:] << 7))[pair]
-    mid = letter[1:-1]
-    three = (owner[1:-1] + s[:-2] + (s[1:-1] << 7) + (s[2:] << 14))[mid]
-    return np.concatenate([one, two, three]), np.unique(number[letter])
-
-
-def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.r_[first, len(keys)])
-
-
-def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
-    _, offsets, _ = buffers(column)
-    for a, b in blocks(offsets):
-        yield a, b, [x or "" for x in column.slice(a, b - a).to_pylist()]
-
-
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+POINTS = 0x110000
+#: Texts counted together: with all letters of Unicode in a block, three of them and a text's number still fit 63 bits.
+TEXTS = 2048
+_LETTERS: np.ndarray | None = None
+
+
+def letters() -> np.ndarray:
+    """For each code point its lower case, or BOUNDARY for what is no letter."""
+    global _LETTERS
+    if _LETTERS is None:
+        low = [c.lower() if unicodedata.category(c)[0] == "L" else "" for c in map(chr, range(POINTS))]
+        _LETTERS = np.array([BOUNDARY if not x else ord(x) if len(x) == 1 else i for i, x in enumerate(low)], np.int32)
+    return _LETTERS
+
+
+class Grams:
+    """All n-grams of a block of texts: distinct ones with counts, sorted by the text's number, then by code."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        raw = np.insert(np.where(data == 10, np.uint8(32), data), offsets, np.uint8(10))
+        chars = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        number = np.minimum(np.maximum(np.cumsum(chars == 10) - 1, 0), max(0, len(offsets) - 2))
+        points = letters()[chars]
+        there = np.zeros(POINTS, bool)
+        there[points] = True
+        # the block's own alphabet, in the order of code points: 0 is no character
+        self.alphabet = np.r_[0, np.flatnonzero(there)]
+        rank = np.zeros(POINTS, np.int32)
+        rank[self.alphabet] = np.arange(len(self.alphabet))
+        s, size = rank[points].astype(np.int64), len(self.alphabet)
+        letter = points != BOUNDARY
+        self.lettered = np.unique(number[letter])
+        owner = number * size**3
+        one = (owner + s)[letter]
+        pair = letter[:-1] | letter[1:]
+        two = (np.where(letter[:-1], owner[:-1], owner[1:]) + s[:-1] + s[1:] * size)[pair]
+        three = (owner[1:-1] + s[:-2] + s[1:-1] * size + s[2:] * size**2)[letter[1:-1]]
+        keys = np.sort(np.concatenate([one, two, three]))
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        self.counts = np.diff(np.r_[first, len(keys)])
+        self.number, self.code = np.divmod(keys[first], size**3)
+
+    def packed(self, code: np.ndarray) -> np.ndarray:
+        """The code points of n-grams, 21 bits each, the first lowest."""
+        size = len(self.alphabet)
+        a, b, c = code % size, code // size % size, code // size**2
+        return self.alphabet[a] | self.alphabet[b] << 21 | self.alphabet[c] << 42
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, int, Grams]]:
+    data, offsets, _ = buffers(column)
+    for low, high in blocks(offsets):
+        for a in range(low, high, TEXTS):
+            b = min(a + TEXTS, high)
+            yield a, b, Grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language numbers, n-grams and counts with equal ones added up."""
+    lang, gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((gram, lang))
+    lang, gram, n = lang[order], gram[order], n[order]
+    first = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (gram[1:] != gram[:-1])])
+    return lang[first], gram[first], np.add.reduceat(n, first)
+
+
+def _train(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     names: dict[str, int] = {}
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def rows() -> pa.RecordBatch:
-        languages = np.array([*names], object)
-        return pa.RecordBatch.from_arrays([pa.array(languages[keys // GRAMS], pa.string()), pa.array((keys % GRAMS).astype(np.int32)), pa.array(counts)], ["lang", "gram", "n"])
+    def rows(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.array([*names], object)[lang], pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
 
     for batch in batches:
         said = batch.column(0).to_pylist()
-        for a, b, texts in _texts(batch.column(1)):
+        for a, b, grams in _parts(batch.column(1)):
             number = np.array([names.setdefault(x, len(names)) for x in said[a:b]], np.int64)
-            found, _ = grams(texts)
-            new, n = counted(number[found // GRAMS] * GRAMS + found % GRAMS)
-            both, where = np.unique(np.r_[keys, new], return_inverse=True)
-            counts = np.bincount(where, np.r_[counts, n], len(both)).astype(np.int64)
-            keys = both
-            if len(keys) > 1_000_000:
-                yield rows()
-                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(keys):
-        yield rows()
+            if len(grams.code):
+                held.append(_summed([(number[grams.number], grams.packed(grams.code), grams.counts)]))
+        if sum(len(x[0]) for x in held) > most:
+            held = [_summed(held)]
+            if len(held[0][0]) > most // 2:
+                yield rows(*held.pop())
+    if held:
+        yield rows(*_summed(held))
 
 
 def profiles(documents: DataFrame, top: int = 400, lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, gram, rank) of the first `top` n-grams of each language, over all rows with a language."""
     rows = documents.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    counts = rows.mapInArrow(_train, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(_train, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "gram", "rank")
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared, top: int) -> Iterator[pa.RecordBatch]:
     names, known, ranks = shared.value  # ranks: one row a language, `top` where its profile lacks the n-gram
-    slot = np.full(GRAMS, len(known), np.int64)
-    slot[known] = np.arange(len(known))
     for batch in batches:
         best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-        for a, b, texts in _texts(batch.column(1)):
-            found, lettered = grams(texts)
-            if not len(names) or not len(lettered):
+        for a, b, grams in _parts(batch.column(1)):
+            if not len(names) or not len(grams.lettered):
                 continue
-            keys, n = counted(found)
-            number, code = keys // GRAMS, keys % GRAMS
-            most = int(n.max())
-            order = np.argsort(number * (most + 1) * np.int64(1) + (most - n), kind="stable")  # codes ascend already
-            number, code = number[order], code[order]
+            most = int(grams.counts.max())
+            order = np.argsort(grams.number * (most + 1) + (most - grams.counts), kind="stable")  # codes ascend already
+            number = grams.number[order]
             place = np.arange(len(number)) - np.searchsorted(number, number)
             kept = place < top
-            number, code, place = number[kept], slot[code[kept]], place[kept]
-            apart = np.stack([np.bincount(number, np.where(r[code] < top, np.abs(r[code] - place), top), b - a) for r in ranks])
+            number, place, gram = number[kept], place[kept], grams.packed(grams.code[order[kept]])
+            at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+            slot = np.where(known[at] == gram, at, len(known))
+            apart = np.stack([np.bincount(number, np.where(r[slot] < top, np.abs(r[slot] - place), top), b - a) for r in ranks])
             nearest = apart.argmin(0)
             ordered = np.sort(apart, 0)
             margin = (ordered[1] - ordered[0]) / np.maximum(ordered[1], 1) if len(names) > 1 else np.ones(b - a)
-            best[a + lettered] = nearest[lettered]
-            score[a + lettered] = margin[lettered]
+            best[a + grams.lettered] = nearest[grams.lettered]
+            score[a + grams.lettered] = margin[grams.lettered]
         said = np.array([*names, "und"], object)[best]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
 

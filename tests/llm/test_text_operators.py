@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -63,42 +64,56 @@ def test_dual_coordinate_descent_separates():
 
 # ---- language
 
-SAMPLES = {"en": "the quick brown fox jumps over the lazy dog and runs through the green field with other animals ", "de": "der schnelle braune fuchs springt über den faulen hund und läuft durch das grüne feld mit anderen tieren ", "fr": "le rapide renard brun saute par dessus le chien paresseux et court à travers le champ vert avec les autres animaux "}
+SAMPLES = {
+    "en": "the quick brown fox jumps over the lazy dog and runs through the green field with other animals ",
+    "de": "der schnelle braune Fuchs springt über den faulen Hund und läuft durch das grüne Feld mit anderen Tieren ",
+    "fr": "le rapide renard brun saute par dessus le chien paresseux et court à travers le champ vert où les élèves âgés rêvent ",
+    "ru": "Быстрая бурая лиса прыгает через ленивую собаку и бежит по зелёному полю вместе с другими животными ",
+    "uk": "Швидка бура лисиця стрибає через ледачого собаку і біжить зеленим полем разом з іншими тваринами її ",
+    "bg": "Бързата кафява лисица прескача мързеливото куче и тича през зеленото поле заедно с други животни ",
+}
 
 
 def slow_profile(texts, top):
+    """N-grams as strings, counted one by one; a text's non-letters are blanks here."""
     count = Counter()
-    table = language.symbols()
     for t in texts:
-        s = [int(table[ord(c)]) for c in "\n" + t.lower().replace("\n", " ") + "\n"]
-        for i, x in enumerate(s):
-            if x != 1:
-                count[x] += 1
-                if i + 1 < len(s):
-                    count[s[i - 1] + (x << 7) + (s[i + 1] << 14)] += 1
-        for a, b in zip(s, s[1:]):
-            if a != 1 or b != 1:
-                count[a + (b << 7)] += 1
-    return [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:top]]
+        s = " " + "".join(c.lower() if unicodedata.category(c)[0] == "L" else " " for c in t) + " "
+        for i in range(len(s)):
+            for n in (1, 2, 3):
+                g = s[i : i + n]
+                if len(g) == n and g.strip() and (n < 3 or g[1] != " ") and (n > 1 or g != " "):
+                    count[g] += 1
+    code = lambda g: [ord(c) if c != " " else 1 for c in reversed(g)]
+    return [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], [0] * (3 - len(x[0])) + code(x[0])))[:top]]
 
 
 def test_language_matches_plain_ranking(spark):
     rng = random.Random(2)
     rows = []
-    for i in range(60):
+    for i in range(160):
         lang = rng.choice([*SAMPLES])
         w = SAMPLES[lang].split()
-        rows.append((i, " ".join(rng.choice(w) for _ in range(rng.randint(3, 40))), lang))
+        rows.append((i, rng.choice([" ", "\n", "-2 "]).join(rng.choice(w) for _ in range(rng.randint(3, 40))), lang))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    train = df.where("doc_id < 40")
+    train = df.where("doc_id < 110")
     top = 50
-    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df, language.profiles(train, top), top).collect()}
-    ranks = {n: {g: k for k, g in enumerate(slow_profile([t for i, t, x in rows if x == n and i < 40], top))} for n in sorted(SAMPLES)}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(df, language.profiles(train, top), top).collect()}
+    ranks = {n: {g: k for k, g in enumerate(slow_profile([t for i, t, x in rows if x == n and i < 110], top))} for n in sorted(SAMPLES)}
     for i, t, _ in rows:
         own = slow_profile([t], top)
         far = {n: sum(abs(r[g] - k) if g in r else top for k, g in enumerate(own)) for n, r in ranks.items()}
-        assert got[i] == min(far, key=lambda n: (far[n], n))
-    assert np.mean([got[i] == lang for i, _, lang in rows if i >= 40]) > 0.9
+        first, second = sorted((far[n], n) for n in far)[:2]
+        assert got[i][0] == first[1] and abs(got[i][1] - (second[0] - first[0]) / max(1, second[0])) < 1e-12
+    assert np.mean([got[i][0] == lang for i, _, lang in rows if i >= 110]) > 0.9
+
+
+def test_letters_of_one_script_are_told_apart():
+    texts = ["нтпквз", "öûèíóø", "ÖÛ"]
+    raw = "".join(texts).encode()
+    grams = language.Grams(np.frombuffer(raw, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    single = [(int(k), chr(int(g))) for k, g in zip(grams.number, grams.packed(grams.code)) if g < 1 << 21]
+    assert single == [(0, c) for c in sorted(texts[0])] + [(1, c) for c in sorted(texts[1])] + [(2, c) for c in "öû"]
 
 
 def test_language_edge_cases(spark):
