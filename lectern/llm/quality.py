@@ -5,8 +5,9 @@ and of a word three times in a row, whatever the word. Each is
 scaled by its class log-count ratio; a row has unit length. Dual coordinate descent fits the hinge loss with class
 weights that even out the classes, and the weights are drawn towards their mean size by `interpolation`.
 
-The fit takes a bounded sample, at most `per_class` labelled rows of each class in the order of their hash. Scoring reads
-every text whole. A null or empty text has the bias alone as its score. Repeated rows are scored each. Null labels and
+The fit takes a bounded sample, labelled rows of each class in the order of their hash: at most `per_class`, and no more
+than have `max_features` features together (but one at least), so that the one task that fits holds some 60 bytes for each
+of 2 * `max_features` however long the texts are. Scoring reads every text whole. A null or empty text has the bias alone as its score. Repeated rows are scored each. Null labels and
 labels other than 0 and 1 teach nothing; with no labels, or one class alone, the score is that class's share (0.5 with
 none). Only the id and text columns are read, so extra columns cannot clash.
 """
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from lectern.llm.ragged import WHITE, blocks, buffers, mix
 from lectern.session import broadcast_if_small, materialise, table
@@ -102,14 +104,13 @@ def fit(index: np.ndarray, before: np.ndarray, label: np.ndarray, smoothing: flo
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, label and the text's distinct features: at most 4 * SIZE bytes a row, however long the text."""
+    """id, label, the text's distinct features, at most 4 * SIZE bytes a row however long the text, and their number; a block of texts at a time."""
     for batch in batches:
         data, offsets, _ = buffers(batch.column(2))
-        rows = []
         for a, b in blocks(offsets):
             index, before = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            rows += [index[x:y].astype(np.int32).tobytes() for x, y in zip(before, before[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["id", "label", "features"])
+            rows = [index[x:y].astype(np.int32).tobytes() for x, y in zip(before, before[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(rows, pa.binary()), pa.array(np.diff(before))], ["id", "label", "features", "n"])
 
 
 def _fit_group(group: pa.Table, options: dict) -> pa.Table:
@@ -120,16 +121,18 @@ def _fit_group(group: pa.Table, options: dict) -> pa.Table:
     return pa.table({"model": pa.array([model.tobytes()], pa.binary())})
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, smoothing: float = 1.0, cost: float = 4.0, epochs: int = 8, interpolation: float = 0.75, seed: int = 5) -> np.ndarray:
+def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, max_features: int = 1 << 23, smoothing: float = 1.0, cost: float = 4.0, epochs: int = 8, interpolation: float = 0.75, seed: int = 5) -> np.ndarray:
     """documents(id, text), labels(id, label) -> the model, as fit() returns it."""
     usable = labels.where(F.col("label").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("label").cast("int").alias("label"))
     chosen = [usable.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(2 * per_class) for c in (0, 1)]
     chosen = materialise(chosen[0].unionByName(chosen[1]))
     found = documents.join(broadcast_if_small(chosen, chosen.count()), "id").groupBy("id", "label").agg(F.max("text").alias("text"))
-    schema = T.StructType([found.schema["id"], found.schema["label"], T.StructField("features", T.BinaryType())])
+    schema = T.StructType([found.schema["id"], found.schema["label"], T.StructField("features", T.BinaryType()), T.StructField("n", T.LongType())])
     found = materialise(found.select("id", "label", "text").mapInArrow(_featured, schema))
-    parts = [found.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)]
-    sample = parts[0].unionByName(parts[1])
+    order = W.partitionBy("label").orderBy(F.xxhash64("id"), "id")  # at most 2 * per_class rows a label
+    placed = found.select("id", "label", F.row_number().over(order).alias("place"), F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
+    taken = placed.where((F.col("place") <= per_class) & ((F.col("place") == 1) | (F.col("upto") <= max_features)))
+    sample = found.join(F.broadcast(taken.select("id", "label")), ["id", "label"]).select("id", "label", "features")  # at most 2 * per_class rows
     sizes = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return np.r_[np.zeros(2 * SIZE), {(): 0.0, (0,): -50.0, (1,): 50.0}[tuple(sizes)]]
@@ -161,7 +164,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared, slope: float) -> Iterator[
 def score(documents: DataFrame, model: np.ndarray, slope: float = 2.0, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
     """id, the columns to keep, and the score under a name: the logistic function of slope times the margin, so 0.5 is the separating plane."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
+    rows = documents.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     fields = [rows.schema["id"], *[rows.schema[f"k{i}"] for i in range(len(keep))]]
     scored = rows.mapInArrow(partial(_score, shared=shared, slope=slope), T.StructType([*fields, T.StructField("score", T.DoubleType())]))
     return scored.toDF(doc_id, *keep, name)

@@ -62,6 +62,74 @@ def test_dual_coordinate_descent_separates():
     assert model[1] + model[-1] > 0 > model[0] + model[-1]
 
 
+def plain_features(text):
+    """The n-grams that features() hashes, as tuples."""
+    raw = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    cased = [(w.lower(), min(2, sum(65 <= c <= 90 for c in w))) for w in words]
+    found = {("b", raw[i : i + 3]) for i in range(len(raw) - 2)} | {("w", w) for w in cased} | {("p", *x) for x in zip(cased, cased[1:])}
+    return found | {("t",) for a, b, c in zip(cased, cased[1:], cased[2:]) if a == b == c}
+
+
+def test_features_are_the_distinct_ngrams():
+    texts = ["", "a", "Go go GO gO", "x x x y", "the cat the cat", "é ü\tÉ", "  b  "]
+    raw = [t.encode() for t in texts]
+    index, before = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert np.diff(before).tolist() == [len(plain_features(t)) for t in texts]
+    seen = {}
+    for t, a, b in zip(texts, before, before[1:]):
+        assert len(set(index[a:b].tolist())) == b - a
+        for u, c, d in zip(texts, before, before[1:]):
+            seen[t, u] = len(set(index[a:b].tolist()) & set(index[c:d].tolist()))
+    assert all(n == len(plain_features(t) & plain_features(u)) for (t, u), n in seen.items())
+
+
+def test_fit_reaches_the_optimum_of_the_dual(spark):
+    """Ratios, dual solution, weights and score recomputed from plain sets, by another order of coordinate steps."""
+    rows = quality_corpus(36)
+    texts, labels = [t[:40] for _, t, _ in rows], np.array([y for *_, y in rows])
+    raw = [t.encode() for t in texts]
+    index, before = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    sets = [sorted(set(index[a:b].tolist())) for a, b in zip(before, before[1:])]
+    smoothing, cost, mix = 1.0, 0.5, 0.75
+    model = quality.fit(index, before, labels, smoothing, cost, 600, mix, 0)
+    size = [int((labels == c).sum()) for c in (0, 1)]
+    n = len(texts)
+    count = lambda f, c: sum(f in s for s, y in zip(sets, labels) if y == c) + 2 * smoothing * size[c] / n
+    used = sorted({f for s in sets for f in s})
+    ratio = {f: math.log(count(f, 1) / size[1]) - math.log(count(f, 0) / size[0]) for f in used}
+    assert np.allclose(model[quality.SIZE : -1][used], [ratio[f] for f in used])
+    x = np.zeros((n, len(used)))
+    for i, s in enumerate(sets):
+        for f in s:
+            x[i, used.index(f)] = ratio[f]
+        x[i] /= np.linalg.norm(x[i])
+    sign, upper = np.where(labels == 1, 1.0, -1.0), np.array([cost * n / (2 * size[y]) for y in labels])
+    q = np.outer(sign, sign) * (x @ x.T + quality.BIAS**2)
+    alpha = np.zeros(n)
+    for _ in range(3000):
+        for i in range(n):
+            alpha[i] = min(max(alpha[i] - (q[i] @ alpha - 1) / q[i, i], 0), upper[i])
+    w, bias = (alpha * sign) @ x, (alpha * sign).sum() * quality.BIAS
+    mean = np.abs(w).sum() / np.count_nonzero(w)
+    want = ((1 - mix) * mean + mix * w) * np.array([ratio[f] for f in used])
+    assert np.allclose(model[: quality.SIZE][used], want, atol=2e-3) and abs(model[-1] - bias * quality.BIAS) < 2e-3
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(list(enumerate(texts)), DOCS), model, slope=2.0).collect()}
+    for i, s in enumerate(sets):
+        margin = sum(model[f] for f in s) / math.sqrt(sum(ratio[f] ** 2 for f in s)) + model[-1]
+        assert abs(got[i] - 1 / (1 + math.exp(-2 * margin))) < 1e-9
+
+
+def test_the_fit_takes_no_more_features_than_it_may(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "_fit_group", lambda group, options: seen.append(1) or quality.pa.table({"model": quality.pa.array([np.array([float(group.num_rows)]).tobytes()], quality.pa.binary())}))
+    rows = quality_corpus(80)
+    docs = spark.createDataFrame([(i, t * 50) for i, t, _ in rows], "id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "id long, label int")
+    assert quality.train(docs, labels, per_class=10)[0] == 20
+    assert quality.train(docs, labels, per_class=10, max_features=1)[0] == 2
+
+
 # ---- language
 
 SAMPLES = {
