@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,61 +57,75 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
         "hyphens": times(F.col("host"), "-").cast("double"), "entropy": entropy,
         "parameters": (times(text, "&") + F.when(text.contains("?"), 1).otherwise(0)).cast("double"),
         "has_fragment": text.contains("#").cast("double"), "has_extension": F.col("path").rlike(r"\.[a-z0-9]{1,5}$").cast("double"),
-        "labels": times(F.col("host"), ".").cast("double"), "suffix": F.regexp_extract("host", r"[^.]+\.[^.]+$|^[^.]*$", 0), "zone": F.regexp_extract("host", r"[^.]*$", 0),
+        "labels": times(F.col("host"), ".").cast("double"),
     })
 
 
-def with_suffix_statistics(df: DataFrame, suffix: str) -> DataFrame:
+def with_suffix_statistics(df: DataFrame, counted: DataFrame, suffix: str) -> DataFrame:
     """df with <suffix>_share, the suffix's share of URLs, and <suffix>_blocked, the share of block among its labelled ones.
 
-    URLs fall in two halves by hash and each takes the numbers of the other half, so no label tells of itself; the share of
-    block is drawn towards the mean of all labels, and 0.5 for a suffix that the other half lacks.
+    URLs fall in two halves by hash. A labelled one takes the numbers of the other half, so that no label tells of itself;
+    one without a label takes those of both. The share of block is drawn towards the mean of all labels; a suffix that is
+    not in those counts has a share of 0 and 0.5 blocked. counted holds the counts by suffix, zone and half.
     """
-    halved = df.withColumn("_half", F.pmod(F.xxhash64("url"), F.lit(2)))
-    by = halved.groupBy(suffix, "_half").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("blocked"))
-    total = by.agg(F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+    sums = [F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
+    by = counted.groupBy(suffix, (1 - F.col("half")).alias("use")).agg(*sums).unionByName(counted.groupBy(suffix, F.lit(2).cast("long").alias("use")).agg(*sums))
+    total = counted.agg(F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
     mean = F.coalesce(F.try_divide("all_blocked", "all_labelled"), F.lit(0.5))
+    all_n = F.when(F.col("use") == 2, F.col("all_n")).otherwise(F.col("all_n") / 2)
     found = by.crossJoin(F.broadcast(total)).select(  # total is one row
-        suffix, (1 - F.col("_half")).alias("_half"), (F.col("n") / F.col("all_n")).alias(f"{suffix}_share"),
+        suffix, "use", (F.col("n") / all_n).alias(f"{suffix}_share"),
         ((F.coalesce("blocked", F.lit(0.0)) + 10 * mean) / (F.col("labelled") + 10)).alias(f"{suffix}_blocked"),
     )
-    found = materialise(found)
-    return halved.join(found, [suffix, "_half"], "left").drop("_half").fillna(0.0, [f"{suffix}_share"]).fillna(0.5, [f"{suffix}_blocked"])
+    return df.join(found, [suffix, "use"], "left").fillna(0.0, [f"{suffix}_share"]).fillna(0.5, [f"{suffix}_blocked"])
 
 
-def filter_urls(pages: DataFrame, url: str = "url", rules: tuple = RULES, max_labelled: int = 20_000, trees: int = 12, depth: int = 4, threshold: float = 0.5, seed: int = 7) -> DataFrame:
-    """All columns of pages and `host`, `path`, `rule`, `verdict`, `score`.
+def filter_urls(pages: DataFrame, url: str = "url", rules: tuple = RULES, labelled: DataFrame | None = None, max_labelled: int = 20_000, trees: int = 12, depth: int = 4, threshold: float = 0.5, seed: int = 7) -> DataFrame:
+    """All columns of pages and `host`, `path`, `rule`, `verdict`, `score`; a column of pages with one of these names is kept as <name>_in.
 
-    The labelled URLs are those that a rule fits; the trees learn from at most max_labelled distinct ones of them, taken
-    in the order of their hash, and judge every URL that no rule fits. score is the probability of block, null where the
-    trees could not be trained. Suffix statistics are counted over all URLs.
+    The labelled URLs are labelled(url, label), label being 1 for block and 0 for allow; without that table, those that a
+    rule fits. The trees learn from at most max_labelled distinct ones among pages, taken in the order of their hash, and
+    judge every URL that no rule fits. score is the probability of block, null where the trees could not be trained.
+    Suffix statistics are counted over all URLs.
     """
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
-    host, path = split_url(F.col(url))
-    parts = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
+    own = ("host", "path", "rule", "verdict", "score")
+    host, path = split_url(F.col(f"`{url}`"))
+    parts = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.col(f"`{url}`").alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    ruled = parts.withColumns({"rule": rule, "_said": verdict}).withColumn("label", F.when(F.col("_said") == "block", 1.0).when(F.col("_said") == "allow", 0.0))
-    seen = lexical(ruled)
-    for suffix in ("suffix", "zone"):
-        seen = with_suffix_statistics(seen, suffix)
-    sample = seen.where("label is not null").groupBy("url").agg(F.max("label").alias("label"), *[F.max(c).alias(c) for c in FEATURES])
-    sample = sample.orderBy(F.xxhash64("url"), "url").limit(max_labelled).select("label", *FEATURES)
-    sample = materialise(sample)  # the trees' many small jobs then plan a scan and nothing else
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features", handleInvalid="keep")
-    train = assembler.transform(sample).select("label", "_features").persist()
+    ruled = parts.withColumns({"rule": rule, "said": verdict})
+    if labelled is None:
+        ruled = ruled.withColumn("label", F.when(F.col("said") == "block", 1.0).when(F.col("said") == "allow", 0.0))
+    else:
+        known = labelled.where("url is not null and label in (0, 1)").groupBy("url").agg(F.max("label").cast("double").alias("label"))
+        ruled = ruled.join(known, "url", "left")
+    half = F.pmod(F.xxhash64("url"), F.lit(2))
+    ruled = ruled.withColumns({
+        "suffix": F.regexp_extract("host", r"[^.]+\.[^.]+$|^[^.]*$", 0), "zone": F.regexp_extract("host", r"[^.]*$", 0),
+        "half": half, "use": F.when(F.col("label").isNull(), F.lit(2).cast("long")).otherwise(half),
+    })
+    counted = materialise(ruled.groupBy("suffix", "zone", "half").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("blocked")))
+    sample = ruled.where("label is not null").groupBy("url").agg(*[F.max(c).alias(c) for c in ("label", "host", "path", "suffix", "zone", "use")])
+    sample = described(sample.orderBy(F.xxhash64("url"), "url").limit(max_labelled), counted).select("label", *FEATURES)
+    sample = materialise(sample.coalesce(4))  # at most max_labelled rows: the trees' many small jobs scan a few small files
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
+    train = assembler.transform(sample).select("label", "features").persist()
     kinds = sorted(r["label"] for r in train.select("label").distinct().collect())
     if len(kinds) < 2:
         default = "block" if kinds == [1.0] else "allow"
-        out = seen.withColumns({"verdict": F.coalesce("_said", F.lit(default)), "score": F.lit(None).cast("double")})
+        out = ruled.withColumns({"verdict": F.coalesce("said", F.lit(default)), "score": F.lit(None).cast("double")})
     else:
-        booster = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed)
+        booster = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed)
         model = booster.fit(train)
-        from pyspark.ml.functions import vector_to_array
-
-        judged = model.transform(assembler.transform(seen)).withColumn("score", vector_to_array("probability")[1])
-        out = judged.withColumn("verdict", F.coalesce("_said", F.when(F.col("score") >= threshold, "block").otherwise("allow")))
+        judged = model.transform(assembler.transform(described(ruled, counted))).withColumn("score", vector_to_array("probability")[1])
+        out = judged.withColumn("verdict", F.coalesce("said", F.when(F.col("score") >= threshold, "block").otherwise("allow")))
     train.unpersist()
-    return out.select("_row.*", "host", "path", "rule", "verdict", "score")
+    return out.select(*[F.col("row").getField(c).alias(f"{c}_in" if c in own else c) for c in pages.columns], *own)
+
+
+def described(df: DataFrame, counted: DataFrame) -> DataFrame:
+    for suffix in ("suffix", "zone"):
+        df = with_suffix_statistics(df, counted, suffix)
+    return lexical(df)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import unicodedata
@@ -440,6 +441,66 @@ def test_trees_learn_from_labelled_urls(spark):
     assert np.mean([(r["verdict"] == "block") == (r["page_id"] % 2 == 1) for r in got]) > 0.95
 
 
+def plain_lexical(u):
+    t = re.sub("[A-Z]", lambda m: m[0].lower(), u or "")
+    rest = (u or "").split("://", 1)[1] if "://" in (u or "") else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    n = max(1, len(t))
+    return {
+        "url_length": len(t), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "digit_ratio": sum(c in "0123456789" for c in t) / n,
+        "host_digits": sum(c in "0123456789" for c in host), "hyphens": host.count("-"), "entropy": -sum(k / n * math.log2(k / n) for k in Counter(t).values()),
+        "parameters": t.count("&") + ("?" in t), "has_fragment": "#" in t, "has_extension": bool(re.search(r"\.[a-z0-9]{1,5}$", path)), "labels": host.count("."),
+    }, host
+
+
+def test_lexical_features_and_suffix_statistics_match_plain_python(spark):
+    rng = random.Random(3)
+    cases = ["http://A.Example.COM/en/78.html?x=/de/&y=2#f", "https://x-1.example.net/a/b/c", "://", None, "", "no scheme", "http://é.org/ü.gz"]
+    cases += [f"http://h{rng.randint(0, 3)}.{rng.choice(['a', 'b', 'c'])}.{rng.choice(['com', 'net'])}/{rng.choice(['x', 'en'])}/{rng.randint(0, 50)}" for _ in range(200)]
+    label = {u: float(rng.random() < 0.4) for u in cases if u and rng.random() < 0.5}
+    df = spark.createDataFrame([(i, u, plain_lexical(u)[1], label.get(u)) for i, u in enumerate(cases)], "id long, url string, host string, label double")
+    halves = {r["url"]: r["h"] for r in df.select("url", F.pmod(F.xxhash64("url"), F.lit(2)).alias("h")).collect()}
+    host, path = urls.split_url(F.col("url"))
+    got = {r["id"]: r for r in urls.lexical(df.withColumns({"host": host, "path": path})).collect()}
+    for i, u in enumerate(cases):
+        assert all(abs(float(got[i][k]) - float(v)) < 1e-9 for k, v in plain_lexical(u)[0].items()), u
+    suffix = {u: ".".join(plain_lexical(u)[1].split(".")[-2:]) for u in cases}
+    split = df.withColumns({"suffix": F.regexp_extract("host", r"[^.]+\.[^.]+$|^[^.]*$", 0), "zone": F.lit("z"), "half": F.pmod(F.xxhash64("url"), F.lit(2))})
+    counted = split.groupBy("suffix", "zone", "half").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("blocked"))
+    used = split.withColumn("use", F.when(F.col("label").isNull(), F.lit(2).cast("long")).otherwise(F.col("half")))
+    found = {r["id"]: r for r in urls.with_suffix_statistics(used, counted, "suffix").collect()}
+    mean = sum(label[u] for u in cases if u in label) / sum(u in label for u in cases)
+    for i, u in enumerate(cases):
+        pool = [x for x in cases if suffix[x] == suffix[u] and (u not in label or halves[x] != halves[u])]
+        ys = [label[x] for x in pool if x in label]
+        assert abs(found[i]["suffix_share"] - len(pool) / (len(cases) if u not in label else len(cases) / 2)) < 1e-9
+        assert abs(found[i]["suffix_blocked"] - ((sum(ys) + 10 * mean) / (len(ys) + 10) if pool else 0.5)) < 1e-9
+
+
+def test_lexical_features_judge_urls_of_unseen_suffixes(spark):
+    rng = random.Random(6)
+    spam = lambda: "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(40)) + "?a=1&b=2&c=3"
+    clean = lambda: "/".join(rng.choice(["about", "news", "team", "help"]) for _ in range(2))
+    known = [(i, f"http://www.s{i % 60}.test/{spam() if i % 60 < 30 else clean()}", float(i % 60 < 30)) for i in range(600)]
+    new = [(1000 + i, f"http://www.n{i}.example/{spam() if i % 2 else clean()}") for i in range(200)]
+    df = spark.createDataFrame([x[:2] for x in known] + new, "page_id long, url string")
+    labels = spark.createDataFrame([x[1:] for x in known], "url string, label double")
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(df, rules=(), labelled=labels, trees=4).collect()}
+    assert np.mean([(got[i] == "block") == bool(i % 2) for i, _ in new]) > 0.95
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_held_out_labels_of_pages_are_predicted(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    ruled = urls.filter_urls(pages, trees=1).where("rule is not null").select("url", F.when(F.col("verdict") == "block", 1.0).otherwise(0.0).alias("label")).distinct()
+    held = F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(5)) == 0
+    judged = urls.filter_urls(pages, rules=(), labelled=ruled.where(~held)).select("url", "verdict").distinct()
+    right = ruled.where(held).join(judged, "url").select(((F.col("verdict") == "block") == (F.col("label") == 1)).cast("int").alias("r")).agg(F.count("*"), F.avg("r")).first()
+    assert right[0] > 10 and right[1] > 0.9, right
+
+
 # ---- mixture
 
 def test_schedule_matches_plain_python(spark):
