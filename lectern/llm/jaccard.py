@@ -176,18 +176,18 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
 
 
 def _compare(cell: pa.Table, similarity: tuple[int, int]) -> pa.Table:
-    """Links that join the components of one block of a cluster: rows in, at most one link less than components out."""
+    """Pairs of components that a link in one block of a cluster joins, at most one less than the components."""
     num, den = similarity
     cell = cell.sort_by("doc_id")
-    ids, part, n, common = (cell[c].to_numpy() for c in ("doc_id", "part", "n", "common"))
+    part, n, common = (cell[c].to_numpy() for c in ("part", "n", "common"))
     second, split = cell["second"].to_numpy(zero_copy_only=False), bool(cell["split"][0].as_py())
     data, offsets, _ = buffers(cell["tokens"].cast(pa.large_binary()))
     tokens, bounds = np.frombuffer(data.tobytes(), np.uint64), offsets // 8
-    left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if split else (np.arange(len(ids)),) * 2
+    left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if split else (np.arange(len(part)),) * 2
     most = np.minimum(common[left, None], common[None, right])
     may = (part[left, None] != part[None, right]) & (den * most >= num * (n[left, None] + n[None, right] - most))
     if not split:
-        may &= np.arange(len(ids))[:, None] < np.arange(len(ids))[None]
+        may &= np.arange(len(part))[:, None] < np.arange(len(part))[None]
     root = {p: p for p in part.tolist()}
 
     def find(p: int) -> int:
@@ -216,11 +216,11 @@ def _compare(cell: pa.Table, similarity: tuple[int, int]) -> pa.Table:
                 p, q = find(int(part[i])), find(int(part[j]))
                 if p != q:
                     root[max(p, q)] = min(p, q)
-                    out.append((int(ids[i]), int(ids[j])))
+                    out.append((p, q))
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def jaccard_components(documents: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), rare: int = 32, block_docs: int = 4000, bucket_tokens: int = 1 << 20, block_rows: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(documents: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), rare: int = 32, block_docs: int = 4000, block_bytes: int = 1 << 24, bucket_tokens: int = 1 << 20, block_rows: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) for every row.
 
     Documents link when den * |intersection| >= num * |union| of their shingle sets. Null and wordless texts have an
@@ -231,7 +231,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, similarity: tuple[int,
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     members = materialise(rows.select("doc_id", F.unhex(F.md5("text")).alias("same"), F.octet_length("text").alias("bytes")))
     n_docs, n_bytes = members.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    n_blocks = max(1, math.ceil(n_docs / block_docs))
+    n_blocks = max(1, math.ceil(n_docs / block_docs), math.ceil(n_bytes / block_bytes))
     bits = max(0, math.ceil(math.log2(max(1, n_bytes / 6 / bucket_tokens))))  # about six bytes of text a token
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int").alias("block")
 
@@ -260,9 +260,13 @@ def jaccard_components(documents: DataFrame, k: int = 5, similarity: tuple[int,
     sets = table_.where("signatures is not null").select("doc_id", "n", "common", "tokens")
     posts = table_.where("signatures is not null").select("doc_id", "n", "common", F.explode("signatures").alias("sig"))
     central = F.struct((F.col("n") - F.col("common")).cast("double") / F.col("n"), "doc_id", "n", "common")
-    lists = posts.groupBy("sig").agg(F.min(central).alias("hub"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    hubs = lists.select("sig", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.common").alias("hub_common"))
-    clusters = materialise(posts.join(hubs, "sig").drop("sig").distinct())
+    lists = posts.groupBy("sig").agg(F.min(central).alias("hub"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("first < last")
+    hubs = materialise(lists.select("sig", "size", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.common").alias("hub_common")))
+    # lists of more than a quarter of a task's share of all posts are at most four a task: their hubs go to the posts
+    share = (hubs.agg(F.sum("size")).first()[0] or 0) / (4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    long, short = hubs.where(F.col("size") > share).drop("size"), hubs.where(F.col("size") <= share).drop("size")
+    met = posts.join(F.broadcast(long), "sig").unionByName(posts.join(F.broadcast(long.select("sig")), "sig", "left_anti").join(short, "sig"))
+    clusters = materialise(met.drop("sig").distinct())
     pairs = clusters.where((F.col("doc_id") != F.col("hub")) & bound(F.col("n"), F.col("common"), F.col("hub_n"), F.col("hub_common")))
     links = materialise(verified(pairs.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), sets, similarity))
     parts = connected_components(links)
@@ -279,12 +283,12 @@ def jaccard_components(documents: DataFrame, k: int = 5, similarity: tuple[int,
     def compare(cell: pa.Table) -> pa.Table:
         return _compare(cell, similarity)
 
-    more = rows_.join(sets, "doc_id").groupBy("cell").applyInArrow(compare, "a long, b long")
-    links = materialise(links.unionByName(more))
-    parts = connected_components(links)
+    joined = connected_components(rows_.join(sets, "doc_id").groupBy("cell").applyInArrow(compare, "a long, b long"))
+    joined = joined.select(F.col("node").alias("part"), F.col("component").alias("whole"))
 
     found = firsts.join(table_.select(F.col("doc_id").alias("rep"), "n"), "rep").groupBy("same", "rep").agg(F.max("n").alias("n"))
     found = found.join(parts, found["rep"] == parts["node"], "left").select("same", "n", F.coalesce("component", "rep").alias("part"))
+    found = found.join(joined, "part", "left").select("same", "n", F.coalesce("whole", "part").alias("part"))
     whole = members.select("doc_id", "same").join(found, "same", "left")
     # a row without an id is counted here, alone
     return whole.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.when(F.coalesce("n", F.lit(0)) > 0, F.when(F.col("doc_id").isNotNull(), F.col("part"))).otherwise(F.col("doc_id")).alias("component_id"))
