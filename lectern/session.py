@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,37 +35,65 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where that is unset."""
+    """The folder that driver and executors share, of spark.checkpoint.dir; a temporary one only where all run on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         current = context._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="lectern-")
+        if current.isDefined():
+            folder = current.get()
+        elif context.master.split("[")[0] == "local":
+            folder = "file://" + tempfile.mkdtemp(prefix="lectern-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder
 
 
+#: Folders that scratch() has opened, the innermost last.
+_SCRATCH: list[str] = []
+
+
 def tables_folder(spark: SparkSession) -> str:
     """Where this application's intermediate tables stand, below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/lectern-{spark.sparkContext.applicationId}"
 
 
+def table_path(spark: SparkSession) -> str:
+    """A path for a new intermediate table, in the innermost scratch folder if there is one."""
+    return f"{_SCRATCH[-1] if _SCRATCH else tables_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends at files that survive lost executors.
 
-    Results of lazy queries read these tables, so they stay until clear_tables().
+    Results of lazy queries read these tables, so they stay until clear_tables(), or until the scratch() around them ends.
     """
     spark = df.sparkSession
-    path = f"{tables_folder(spark)}/{uuid.uuid4().hex}"
+    path = table_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside are deleted at the end: write what must outlive them to a path taken before."""
+    _SCRATCH.append(table_path(spark))
+    try:
+        yield
+    finally:
+        delete(spark, _SCRATCH.pop())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_tables(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once no result that reads them is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(tables_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, tables_folder(spark))
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
