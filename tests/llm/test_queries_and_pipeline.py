@@ -80,3 +80,32 @@ def test_pipeline_takes_nulls_repeats_and_empty_tables(spark, tmp_path):
         elif name != "quality_filter":
             assert set(got) == {1, None, 3, 4, 5} and got[3] is None and got[4] == ""
     assert 5 not in got or got[5].endswith("[secret]")
+
+
+def test_rows_without_an_id_or_with_a_shared_one_are_judged_by_their_texts(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, secrets string, _new string, _quality double, _ruled string, epoch int, node string, key string, spans string, clean int, row string"
+    rng = __import__("random").Random(3)
+    prose = lambda n: " ".join(rng.choice(["river", "stone", "house", "green", "walks", "slowly", "over", "under", "light", "morning", "wind", "paper"]) for _ in range(n))
+    item, a, b, c = prose(30), prose(60), prose(60), prose(60)
+    extra = ("s", "n", 0.5, "r", 3, "x", "y", "z", 4, "w")
+    rows = [
+        (None, f"{prose(10)} {item} {prose(10)}", "en", "a", 1, *extra), (7, a, "en", "a", 1, *extra), (7, b, "en", "a", 1, *extra), (7, b, "en", "a", 1, *extra),
+        (None, a + " more", "en", "a", 1, *extra), (None, c, "de", None, None, *extra), (None, c, None, "b", None, *extra), (8, f"{prose(9)} token = 04dbebab91ab85687d33eeaaf9ac699e1188f962", "en", "a", 1, *extra),
+    ]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, "river")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path)))
+        seen[name] = docs.collect()
+        if name != "mixed":
+            assert docs.columns == schema.replace(",", "").split()[::2] and all(tuple(r[5:]) == extra for r in seen[name]), name
+    assert len(seen["quality_filter"]) == len(rows)
+    # the copy of a without an id goes, of the two rows of c and of the repeated row one each, and both texts of id 7 stay
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in seen["one_of_each_group"]) == sorted((i or 0, t) for i, t in {(r[0], r[1]) for r in rows} - {(None, a + " more")})
+    assert {r["text"] for r in seen["without_benchmark"]} == {a, b, c, rows[-1][1]}
+    assert [r["text"].split()[-1] for r in seen["without_secrets"] if r["doc_id"] == 8] == ["[secret]"]
+    assert {"secrets", "_new", "epoch_in", "epoch", "mix_order"} <= set(docs.columns) and all(r["epoch_in"] == 3 for r in seen["mixed"])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["mixed"])
