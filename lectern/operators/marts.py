@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lectern.operators.ranges import quantiles
+
 
 def cohort_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(metric_name, category, count) for each column, in one pass of grouping sets (A05). A NULL value is a category."""
@@ -73,8 +75,8 @@ def density(df: DataFrame, x: tuple[str, float, float, int], y: tuple[str, float
 
 
 def box_statistics(df: DataFrame, by: str, value: str, whisker: float = 1.5) -> DataFrame:
-    """Extremes, quartiles and the number of values beyond the fences, per group."""
-    stats = df.groupBy(by).agg(F.min(value).alias("low"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(value).alias("high"))
+    """Extremes, exact quartiles and the number of values beyond the fences, per group (A18). Groups without a value have none."""
+    stats = df.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high")).join(quantiles(df, [by], value, [0.25, 0.5, 0.75]), by)
     stats = stats.select(by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
     spread = (F.col("q3") - F.col("q1")) * whisker
     beyond = (F.col(value) < F.col("q1") - spread) | (F.col(value) > F.col("q3") + spread)
@@ -103,9 +105,10 @@ def kpis(risk: DataFrame, mastery: DataFrame) -> DataFrame:
 
 def percentiles(df: DataFrame, value: str, ok: str) -> DataFrame:
     """Interpolated p50, p95, p99, the nearest-rank p99, and the success rate."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    one = df.agg(q.alias("q"), F.expr(f"percentile_disc(0.99) within group (order by {value})").alias("p99_nearest"), F.avg(F.col(ok).cast("int")).alias("success_rate"), F.count("*").alias("requests"))
-    return one.select(F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), "p99_nearest", "success_rate", "requests")
+    found = quantiles(df, [], value, [0.5, 0.95, 0.99], (0.99,))
+    rest = df.agg(F.avg(F.col(ok).cast("int")).alias("success_rate"), F.count("*").alias("requests"))
+    one = found.crossJoin(F.broadcast(rest))  # one row each
+    return one.select(F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), F.col("nearest")[0].alias("p99_nearest"), "success_rate", "requests")
 
 
 def top_n(df: DataFrame, order: list, n: int) -> DataFrame:

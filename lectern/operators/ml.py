@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lectern.operators.ranges import running
 from lectern.operators.recsys import numbering
-from lectern.session import materialise
 
 
 def temporal_split(df: DataFrame, column: str = "code_presentation", test: str = "2014", label: str = "target_class", key: str = "id_student", seed: int = 42) -> DataFrame:
@@ -80,20 +80,10 @@ def scored(model: PipelineModel, df: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, *[p[i].alias(f"prob_{n}") for i, n in enumerate(names)], best.alias("predicted_class"), risk.alias("at_risk_probability"))
 
 
-def _by_score(df: DataFrame, group: list[str], score: str, label: str, ranges: int = 64) -> DataFrame:
-    """Positives and rows at each distinct score, with running counts from the highest score down; ties are one step.
-
-    Scores are range-partitioned and each range is offset by the sums of those before it, so that a group with most of the
-    rows is still summed by many tasks.
-    """
+def _by_score(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
+    """Positives and rows at each distinct score, with running counts from the highest score down; ties are one step."""
     steps = df.groupBy(*group, score).agg(F.sum(F.col(label)).cast("double").alias("tp"), F.count("*").cast("double").alias("rows"))
-    steps = materialise(steps.repartitionByRange(ranges, *group, F.desc(score)).withColumn("_range", F.spark_partition_id()))
-    sums = steps.groupBy(*group, "_range").agg(F.sum("tp").alias("t"), F.sum("rows").alias("n"))  # a row a group and range
-    before, whole = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*group)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    offsets = sums.select(*group, "_range", zero(F.sum("t").over(before)).alias("_t"), zero(F.sum("n").over(before)).alias("_n"), F.sum("t").over(whole).alias("positives"), F.sum("n").over(whole).alias("total"))
-    down = W.partitionBy(*group, "_range").orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    return steps.join(offsets, [*group, "_range"]).withColumns({"tp_upto": F.col("_t") + F.sum("tp").over(down), "n_upto": F.col("_n") + F.sum("rows").over(down)})
+    return running(steps, group, [F.desc(score)], ["tp", "rows"]).withColumnsRenamed({"rows_upto": "n_upto", "rows_all": "total", "tp_all": "positives"})
 
 
 def average_precision(df: DataFrame, group: list[str], score: str = "score", label: str = "label") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from lectern.functions.vectors import dot, match_percent
 from lectern.session import broadcast_if_small, materialise
 
 
@@ -27,10 +29,13 @@ def denoised(pairs: DataFrame) -> DataFrame:
 
 
 def hold_out(pairs: DataFrame, seed: int = 42) -> DataFrame:
-    """pairs with `held_out`: one pair, picked by hash, of each user who has more than one."""
-    by = W.partitionBy("user")
-    pick = F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), "user", "item"), "item"))
-    return pairs.withColumns({"held_out": (pick == 1) & (F.count("*").over(by) > 1)})
+    """pairs with `held_out`: one pair, picked by hash, of each user who has more than one.
+
+    The pick is an aggregate with partial results, joined back, so that no task sorts one user's pairs.
+    """
+    picked = pairs.groupBy("user").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "user", "item").alias("hash"), "item")).alias("pick"), F.count("*").alias("n"))
+    picked = picked.select("user", F.when(F.col("n") > 1, F.col("pick.item")).alias("pick"))
+    return pairs.join(picked, "user").withColumn("held_out", F.coalesce(F.col("item") == F.col("pick"), F.lit(False))).drop("pick")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -76,13 +81,21 @@ def propagate(graph: DataFrame, users: DataFrame, items: DataFrame, size: int, l
 
 
 def base_embeddings(edges: DataFrame, size: int = 64, iterations: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Implicit-feedback factors by alternating least squares as the layer-0 vectors (M18); user and item are numbers."""
+    """Implicit-feedback factors by alternating least squares as the layer-0 vectors (M18); nodes keep their ids.
+
+    The factorisation takes ints, so both sides are numbered first and named again after it.
+    """
     from pyspark.ml.recommendation import ALS
 
-    als = ALS(userCol="user", itemCol="item", ratingCol="rating", implicitPrefs=True, rank=size, maxIter=iterations, seed=seed)
-    model = als.fit(edges.select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), F.lit(1.0).alias("rating")))
-    out = lambda f: f.select(F.col("id").cast("long").alias("node"), F.transform("features", lambda x: x.cast("double")).alias("vector"))
-    return out(model.userFactors), out(model.itemFactors)
+    sides = {c: numbering(edges.select(c).where(F.col(c).isNotNull()).distinct(), c) for c in ("user", "item")}
+    coded = edges.select("user", "item")
+    for c, codes in sides.items():
+        coded = coded.join(codes.withColumnRenamed("index", f"{c}_ix"), c)
+    als = ALS(userCol="user_ix", itemCol="item_ix", ratingCol="rating", implicitPrefs=True, rank=size, maxIter=iterations, seed=seed)
+    model = als.fit(coded.select(F.col("user_ix").cast("int").alias("user_ix"), F.col("item_ix").cast("int").alias("item_ix"), F.lit(1.0).alias("rating")))
+    vectors = {"user": model.userFactors, "item": model.itemFactors}
+    out = lambda c: sides[c].join(vectors[c], F.col("index") == F.col("id")).select(F.col(c).alias("node"), F.transform("features", lambda x: x.cast("double")).alias("vector"))
+    return out("user"), out("item")
 
 
 def negative_samples(edges: DataFrame, per_pair: int = 1, seed: int = 42, bucket: int = 4096) -> DataFrame:
@@ -112,11 +125,13 @@ def negative_samples(edges: DataFrame, per_pair: int = 1, seed: int = 42, bucket
     return found.join(broadcast_if_small(numbered.withColumnRenamed("item", "negative"), n), "index").select("user", "item", "negative")
 
 
-def numbering(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
+def numbering(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """(column, index): contiguous numbers from 0 in the order of the values, without one task seeing all.
 
-    Values are range-partitioned, counted per partition, and offset by the partitions before.
+    Values are range-partitioned, into as many parts as a shuffle has unless told otherwise, counted per partition, and
+    offset by the partitions before.
     """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.select(column).repartitionByRange(buckets, column).withColumn("_p", F.spark_partition_id())
     ranged = materialise(ranged)
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))  # a row a partition
@@ -125,34 +140,77 @@ def numbering(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
     return ranged.withColumn("_i", within).join(F.broadcast(before.select("_p", "_before")), "_p").select(column, (F.col("_before") + F.col("_i")).alias("index"))
 
 
-def top_k(users: DataFrame, items: DataFrame, k: int = 5, score: str = "dot", exclude: DataFrame | None = None, item_block: int = 20_000) -> DataFrame:
+def _best(left: pa.Table, right: pa.Table, k: int, score: str) -> pa.Table:
+    """The k best items of one block for each user of one block. left holds users, and pairs to leave out (with an item)."""
+    users, pairs = left.filter(pc.is_valid(left["vector"])), left.filter(pc.is_null(left["vector"]))
+    items = right.sort_by("item")
+    matrix = lambda t: np.asarray(t["vector"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+    if not users.num_rows or not items.num_rows:
+        return pa.table({"user": left["user"].slice(0, 0), "item": right["item"].slice(0, 0), "score": pa.array([], pa.float64())})
+    u, v = matrix(users), matrix(items)
+    lengths = (np.sqrt((u * u).sum(1)), np.sqrt((v * v).sum(1)))
+    out_user = pc.index_in(pairs["user"], value_set=users["user"].combine_chunks()).to_numpy(zero_copy_only=False)
+    out_item = pc.index_in(pairs["item"], value_set=items["item"].combine_chunks()).to_numpy(zero_copy_only=False)
+    known = ~(np.isnan(out_user.astype(float)) | np.isnan(out_item.astype(float)))
+    out_user, out_item = out_user[known].astype(np.int64), out_item[known].astype(np.int64)
+    order = np.argsort(out_user, kind="stable")
+    out_user, out_item = out_user[order], out_item[order]
+    found = []
+    for low in range(0, len(u), max(1, (1 << 22) // len(v))):
+        high = min(len(u), low + max(1, (1 << 22) // len(v)))
+        s = u[low:high] @ v.T
+        if score == "match":
+            s = np.clip((s / (lengths[0][low:high, None] * lengths[1] + 1e-9) + 1) * 50, 0, 100)
+        a, b = np.searchsorted(out_user, [low, high])
+        s[out_user[a:b] - low, out_item[a:b]] = -np.inf
+        # the product picks candidates with room for its rounding; their scores are summed again, alike wherever they stand
+        least = np.partition(s, -k, 1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        room = 1e-9 * (100.0 if score == "match" else lengths[0][low:high] * lengths[1].max() + 1e-300)
+        i, j = np.nonzero((s >= (least - room)[:, None]) & (s > -np.inf))
+        exact = np.einsum("ij,ij->i", u[low:high][i], v[j])
+        if score == "match":
+            exact = np.clip((exact / (lengths[0][low:high][i] * lengths[1][j] + 1e-9) + 1) * 50, 0, 100)
+        order = np.lexsort((j, -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((i[keep] + low, j[keep], exact[keep]))
+    i, j, exact = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table({"user": users["user"].take(pa.array(i)), "item": items["item"].take(pa.array(j)), "score": pa.array(exact)})
+
+
+def top_k(users: DataFrame, items: DataFrame, k: int = 5, score: str = "dot", exclude: DataFrame | None = None, block_bytes: int = 1 << 25) -> DataFrame:
     """(user, item, score, rank) of each user's best items (J12, W02, W11, M21); users, items: (node, vector).
 
-    Item vectors are cut into blocks; a task scores a batch of users against one block with a matrix product and keeps the k
-    best (more where train pairs are excluded), and a rank over the survivors, at most k a user and block, ends it. No
-    pair of user and item is ever a row except the survivors. Ties go to the smaller item. An exclusion list, (user, item),
-    is applied to the exact top k + (the user's excluded count), so masking never loses an item (J19).
+    Users and items are dealt into blocks of about block_bytes of vectors. Each pair of blocks is one group: a matrix
+    product scores it and the k best items of each user remain, so no pair of user and item is a row but these, and a rank
+    over at most k a user and block ends it. Ties go to the smaller item. An exclusion list (user, item) goes to the group
+    that scores the pair and masks it there (J19), however many items a user has on it. Null vectors are left out.
     """
-    count = items.count()
-    blocks = max(1, -(-count // item_block))
-    numbered = items.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
-    packed = numbered.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("node", "vector"))).alias("items"))  # at most about item_block a row
-    wanted = users.select(F.col("node").alias("user"), "vector")
+    spark = users.sparkSession
+    users = users.where("node is not null and vector is not null").select(F.col("node").alias("user"), "vector")
+    items = items.where("node is not null and vector is not null").select(F.col("node").alias("item"), "vector")
+    n_users = users.count()
+    n_items, size = items.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    rows = max(1, block_bytes // (8 * max(1, size)))
+    # users are few a block where there are few, to keep all cores busy
+    user_blocks = max(1, -(-n_users // rows), min(spark.sparkContext.defaultParallelism, n_users // 256))
+    item_blocks = max(1, -(-n_items // rows))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kind, item = users.schema["user"].dataType, items.schema["item"].dataType
+    left = users.select(block("user", user_blocks).alias("ub"), every(item_blocks).alias("ib"), "user", F.lit(None).cast(item).alias("item"), "vector")
     if exclude is not None:
-        seen = exclude.groupBy("user").agg(F.count("*").alias("seen"))
-        wanted = wanted.join(seen, "user", "left").select("user", "vector", F.coalesce("seen", F.lit(0)).alias("seen"))
-    else:
-        wanted = wanted.withColumn("seen", F.lit(0).cast("long"))
-    grid = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    grid = grid.join(broadcast_if_small(packed, count, 200_000), "block")
+        pairs = exclude.where("user is not null and item is not null").select(F.col("user").cast(kind).alias("user"), F.col("item").cast(item).alias("item"))
+        left = left.unionByName(pairs.select(block("user", user_blocks).alias("ub"), block("item", item_blocks).alias("ib"), "user", "item", F.lit(None).cast(users.schema["vector"].dataType).alias("vector")))
+    right = items.select(every(user_blocks).alias("ub"), block("item", item_blocks).alias("ib"), "item", "vector")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _best(left, right, k, score)
+
+    schema = T.StructType([T.StructField("user", kind), T.StructField("item", item), T.StructField("score", T.DoubleType())])
+    found = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInArrow(best, schema)
     order = W.partitionBy("user").orderBy(F.desc("score"), "item")
-    function = dot if score == "dot" else match_percent
-    best = F.transform("items", lambda x: F.struct((-function(F.col("vector"), x["vector"])).alias("s"), x["node"].alias("item")))
-    best = F.slice(F.array_sort(best), 1, (F.lit(k) + F.col("seen")).cast("int"))
-    scored = grid.select("user", F.explode(best).alias("b")).select("user", F.col("b.item").alias("item"), (-F.col("b.s")).alias("score"))
-    if exclude is not None:
-        scored = scored.join(exclude.select("user", "item"), ["user", "item"], "left_anti")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def recall_ndcg(ranked: DataFrame, held: DataFrame, k: int = 10) -> DataFrame:
