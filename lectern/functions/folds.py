@@ -41,20 +41,41 @@ def online_mastery(prior: Column, score: Column, answers: int = 20) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(answers)), prior.cast("double"), lambda known, i: bkt_step(known, F.when(i <= right, 1).otherwise(0)))
 
 
-def click_features(clicks: Column) -> Column:
-    """Online click features folded over a learner's clicks in order of time."""
-    start = F.struct(
-        F.lit(0.0).alias("total_clicks"), F.lit(0.0).alias("active_days"), F.lit(0.0).alias("avg_daily_clicks"), F.lit(0.0).alias("max_clicks_day"),
-        F.lit(0.0).alias("engagement_span"), F.lit(0.0).alias("recent_weekly_rate"), F.lit(0.0).alias("engagement_momentum"),
-    )
-
-    def step(s: Column, click: Column) -> Column:
-        c = click.cast("double")
-        total, days = s["total_clicks"] + c, F.greatest(F.lit(1.0), s["active_days"] + 0.1)
-        recent, average = (s["recent_weekly_rate"] * 6.0 + c) / 7.0, total / days
-        return F.struct(
-            total.alias("total_clicks"), days.alias("active_days"), average.alias("avg_daily_clicks"), F.greatest(s["max_clicks_day"], c).alias("max_clicks_day"),
-            (s["engagement_span"] + 1.0).alias("engagement_span"), recent.alias("recent_weekly_rate"), (recent - average).alias("engagement_momentum"),
-        )
+def trellis(answers: Column, learn: Column | float = LEARN, guess: Column | float = GUESS, slip: Column | float = SLIP) -> Column:
+    """What a run of answers does to the weights (known, unknown), as a triangular matrix x, y, z: known becomes
+    x * known + y * unknown, unknown becomes z * unknown. It is scaled, as only the ratio of weights counts."""
+    learn, guess, slip = (x if isinstance(x, Column) else F.lit(x) for x in (learn, guess, slip))
+
+    def step(m: Column, answer: Column) -> Column:
+        known = F.when(answer == 1, 1.0 - slip).otherwise(slip)
+        unknown = F.when(answer == 1, guess).otherwise(1.0 - guess)
+        return scaled(known * m["x"], known * m["y"] + unknown * learn * m["z"], unknown * (1.0 - learn) * m["z"])
+
+    return F.aggregate(answers, _unit(), step)
+
+
+def scaled(x: Column, y: Column, z: Column) -> Column:
+    size = x + y + z
+    return F.struct((x / size).alias("x"), (y / size).alias("y"), (z / size).alias("z"))
+
+
+def _unit() -> Column:
+    return F.struct(F.lit(0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.5).alias("z"))
+
+
+def moved(known: Column, m: Column) -> Column:
+    """P(known) after what a matrix of trellis() stands for."""
+    to = m["x"] * known + m["y"] * (1.0 - known)
+    return to / (to + m["z"] * (1.0 - known))
+
 
-    return F.aggregate(clicks, start, step)
+def after_submission(known: float, score: float, answers: int = 20) -> float:
+    """online_mastery() in plain Python, for folds over rows."""
+    right = round(answers * score / 100.0)
+    for i in range(answers):
+        if i < right:
+            seen = known * (1 - SLIP) / (known * (1 - SLIP) + (1 - known) * GUESS)
+        else:
+            seen = known * SLIP / (known * SLIP + (1 - known) * (1 - GUESS))
+        known = seen + (1 - seen) * LEARN
+    return known

@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lectern.functions.folds import GUESS, LEARN, PRIOR, SLIP, bkt_trace
+from lectern.functions.folds import GUESS, LEARN, PRIOR, SLIP, bkt_trace, moved, trellis
+from lectern.operators.ranges import pieces
+from lectern.session import materialise
+
+#: Answers of a learner's sequence in one row; longer ones are cut, and a state is carried from piece to piece.
+PIECE = 4096
+KEYS = ["user_id", "skill_name"]
 
 
 def answers(submissions: DataFrame, definitions: DataFrame, pass_mark: float = 50.0, student: str = "id_student") -> DataFrame:
@@ -22,29 +28,58 @@ def answers(submissions: DataFrame, definitions: DataFrame, pass_mark: float = 5
     ).withColumn("order_id", F.row_number().over(order))
 
 
-def sequences(graded: DataFrame) -> DataFrame:
-    """One row a learner and skill: the answers in order. A sequence is one learner's work on one skill."""
-    packed = F.array_sort(F.collect_list(F.struct("order_id", "correct")))
-    return graded.groupBy("user_id", "skill_name").agg(F.transform(packed, lambda x: x["correct"]).alias("answers"))
+def sequences(graded: DataFrame, size: int = PIECE) -> DataFrame:
+    """A row for each piece of a learner's answers to a skill, in order."""
+    return pieces(graded, KEYS, ["order_id"], "correct", size).withColumnRenamed("values", "answers")
+
+
+def carried(cut: DataFrame, size: int) -> DataFrame:
+    """(user_id, skill_name, piece, known, end): for sequences of several pieces, P(known) before each piece, and what the
+    later pieces say of the states (unknown, known) after it, null after the last. cut has pieces and parameters.
+
+    A piece acts on the two states as a triangular matrix, so one small matrix a piece is all that meets in a row.
+    """
+    rows = cut.where(F.col("n") > size).withColumn("m", trellis(F.col("answers"), F.col("learn"), F.col("guess"), F.col("slip")))
+    packed = F.array_sort(F.collect_list(F.struct("piece", "m.x", "m.y", "m.z")))
+    by = rows.groupBy(*KEYS).agg(packed.alias("ms"), F.first("prior").alias("prior"))
+    start = F.struct(F.col("prior").cast("double").alias("known"), F.array().cast("array<double>").alias("out"))
+    ahead = F.aggregate("ms", start, lambda s, m: F.struct(moved(s["known"], m).alias("known"), F.array_append(s["out"], s["known"]).alias("out")))["out"]
+    none = F.struct(F.lit(1.0).alias("u"), F.lit(1.0).alias("k"), F.array().cast("array<array<double>>").alias("out"))
+
+    def back(s: Column, m: Column) -> Column:
+        k, u = s["k"] * m["x"], s["k"] * m["y"] + s["u"] * m["z"]
+        return F.struct((u / (u + k)).alias("u"), (k / (u + k)).alias("k"), F.array_append(s["out"], F.array(s["u"], s["k"])).alias("out"))
+
+    behind = F.reverse(F.aggregate(F.reverse("ms"), none, back)["out"])
+    each = F.arrays_zip(F.col("ms"), ahead.alias("known"), behind.alias("end"))
+    found = by.select(*KEYS, F.size("ms").alias("last"), F.explode(each).alias("x"))
+    return found.select(*KEYS, F.col("x.ms.piece").alias("piece"), F.col("x.known").alias("known"), F.when(F.col("x.ms.piece") + 1 < F.col("last"), F.col("x.end")).alias("end"))
 
 
-def predict(graded: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
+def predict(graded: DataFrame, parameters: DataFrame | None = None, size: int = PIECE) -> DataFrame:
     """Per answer: p_known_before, p_correct and p_known_after, with the skill's parameters, or the defaults."""
-    found = sequences(graded)
-    values: dict[str, Column | float] = {"prior": PRIOR, "learn": LEARN, "guess": GUESS, "slip": SLIP}
+    found = sequences(graded, size)
+    values: dict[str, float] = {"prior": PRIOR, "learn": LEARN, "guess": GUESS, "slip": SLIP}
     if parameters is not None:
-        found = found.join(parameters.select("skill_name", *values), "skill_name", "left")
-        values = {k: F.coalesce(F.col(k), F.lit(v)) for k, v in values.items()}
-    return found.select("user_id", "skill_name", F.posexplode(bkt_trace(F.col("answers"), **values)).alias("order_id", "t")).select(
-        "user_id", "skill_name", (F.col("order_id") + 1).alias("order_id"), "t.answer", "t.p_known_before", "t.p_correct", "t.p_known_after"
+        found = found.join(parameters.select("skill_name", *values), "skill_name", "left").withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in values.items()})
+    else:
+        found = found.withColumns({k: F.lit(v) for k, v in values.items()})
+    found = materialise(found)
+    found = found.join(carried(found, size).drop("end"), [*KEYS, "piece"], "left").withColumn("prior", F.coalesce("known", "prior"))
+    trace = bkt_trace(F.col("answers"), *[F.col(k) for k in values])
+    return found.select(*KEYS, "piece", F.posexplode(trace).alias("place", "t")).select(
+        *KEYS, (F.col("piece") * size + F.col("place") + 1).cast("int").alias("order_id"), "t.answer", "t.p_known_before", "t.p_correct", "t.p_known_after"
     )
 
 
 STATISTICS = ("learner_n", "prior_k", "learn_k", "learn_n", "guess_k", "guess_n", "slip_k", "slip_n")
 
 
-def expected(answers_: np.ndarray, prior: float, learn: float, guess: float, slip: float) -> np.ndarray:
-    """Expected counts of one learner's sequence by forward and backward passes, in the order of STATISTICS."""
+def expected(answers_: np.ndarray, prior: float, learn: float, guess: float, slip: float, end: list[float] | None = None, first: bool = True) -> np.ndarray:
+    """Expected counts of one piece of a learner's sequence by forward and backward passes, in the order of STATISTICS.
+
+    prior is P(known) before the piece; end, where a piece follows, is what is behind it says of (unknown, known) then.
+    """
     n = len(answers_)
     emit = np.where(answers_[:, None] == 1, [guess, 1 - slip], [1 - guess, slip])
     move = np.array([[1 - learn, learn], [0.0, 1.0]])
@@ -54,6 +89,11 @@ def expected(answers_: np.ndarray, prior: float, learn: float, guess: float, sli
         ahead[t] = state * emit[t]
         ahead[t] /= ahead[t].sum()
         state = ahead[t] @ move
+    crossed = np.zeros((2, 2))
+    if end is not None:
+        back[-1] = move @ np.array(end)
+        crossed = ahead[-1][:, None] * move * np.array(end)
+        crossed /= crossed.sum()
     for t in range(n - 2, -1, -1):
         back[t] = move @ (emit[t + 1] * back[t + 1])
         back[t] /= back[t].sum()
@@ -63,28 +103,26 @@ def expected(answers_: np.ndarray, prior: float, learn: float, guess: float, sli
     both /= both.sum((1, 2), keepdims=True) if n > 1 else 1.0
     right = answers_ == 1
     return np.array([
-        1.0, posterior[0, 1], both[:, 0, 1].sum(), posterior[:-1, 0].sum(),
+        1.0 if first else 0.0, posterior[0, 1] if first else 0.0, both[:, 0, 1].sum() + crossed[0, 1], posterior[:-1, 0].sum() + crossed[0].sum(),
         posterior[right, 0].sum(), posterior[:, 0].sum(), posterior[~right, 1].sum(), posterior[:, 1].sum(),
     ])
 
 
-def fit(graded: DataFrame, rounds: int = 10) -> DataFrame:
+def fit(graded: DataFrame, rounds: int = 10, size: int = PIECE) -> DataFrame:
     """Prior, learn, guess and slip of every skill by expectation maximisation, all skills at once.
 
-    The expectation step runs over learners' sequences in tasks and emits sums per batch and skill, so a skill with a
+    The expectation step runs over pieces of learners' sequences in tasks and emits sums per batch and skill, so a skill with a
     third of all answers is spread over all tasks; Spark adds them up. Parameters are a row a skill. Guess and slip
     stay below one half, which fixes what 'known' means.
     """
-    from lectern.session import materialise
-
-    found = materialise(sequences(graded))
+    found = materialise(sequences(graded, size))
     start = {"prior": PRIOR, "learn": LEARN, "guess": GUESS, "slip": SLIP}
     parameters = materialise(found.select("skill_name").distinct().withColumns({k: F.lit(v) for k, v in start.items()}))
 
     def expect(batches):
         for batch in batches:
             sums: dict[str, np.ndarray] = {}
-            for skill, row, *values in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+            for skill, row, *values in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
                 sums[skill] = sums.get(skill, 0.0) + expected(np.array(row), *values)
             rows = np.array([*sums.values()]).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.string()), *(pa.array(rows[:, i], pa.float64()) for i in range(rows.shape[1]))], ["skill_name", *STATISTICS])
@@ -92,7 +130,9 @@ def fit(graded: DataFrame, rounds: int = 10) -> DataFrame:
     schema = "skill_name string, " + ", ".join(f"{s} double" for s in STATISTICS)
     clamp = lambda k, n, high: F.least(F.greatest(F.coalesce(F.try_divide(k, n), F.lit(0.0)), F.lit(1e-3)), F.lit(high))
     for _ in range(rounds):
-        counted = found.join(parameters, "skill_name").select("skill_name", "answers", *start).mapInArrow(expect, schema)
+        cut = found.join(parameters, "skill_name")
+        cut = cut.join(carried(cut, size), [*KEYS, "piece"], "left").withColumn("prior", F.coalesce("known", "prior"))
+        counted = cut.select("skill_name", "answers", *start, "end", (F.col("piece") == 0).alias("first")).mapInArrow(expect, schema)
         summed = counted.groupBy("skill_name").agg(*[F.sum(s).alias(s) for s in STATISTICS])
         parameters = materialise(summed.select(
             "skill_name", clamp(F.col("prior_k"), F.col("learner_n"), 0.999).alias("prior"), clamp(F.col("learn_k"), F.col("learn_n"), 0.999).alias("learn"),

@@ -39,16 +39,24 @@ def vle_features(clicks: DataFrame, cutoff: int = 30, keys: list[str] = KEYS, pe
     return out.join(daily, keys, "left")
 
 
+#: Score features: name, aggregate, measure of a submission. weighted_avg divides two of them.
+SCORES = (
+    ("avg_score", F.avg, "score"), ("min_score", F.min, "score"), ("submission_count", F.count, "id_assessment"), ("late_submissions", F.sum, "late"),
+    ("_points", F.sum, "points"), ("_weight", F.sum, "weight"),
+)
+
+
 def assessment_features(submissions: DataFrame, definitions: DataFrame, cutoff: int = 30, student: str = "id_student") -> DataFrame:
     """Score features per learner and the definition's module; weighted_avg is NULL without a positive weight."""
-    defined = definitions.select("id_assessment", "code_module", "code_presentation", F.col("date").alias("due"), "weight")
-    joined = open_until(submissions.select("id_assessment", student, "score", "is_banked").join(defined, "id_assessment", "left"), "due", cutoff)
+    due = open_until(definitions.withColumnRenamed("date", "due").select("id_assessment", "code_module", "code_presentation", "due", "weight"), "due", cutoff)
+    # a submission to an assessment that is not defined counts under no module; one that is due later does not
+    known = definitions.select("id_assessment").distinct()
+    stray = submissions.join(known, "id_assessment", "left_anti")
+    rows = submissions.join(due, "id_assessment").unionByName(stray, allowMissingColumns=True)
     weight = F.coalesce("weight", F.lit(0.0))
-    summed = joined.groupBy(student, "code_module", "code_presentation").agg(
-        F.avg("score").alias("avg_score"), F.min("score").alias("min_score"), F.count("id_assessment").alias("submission_count"),
-        F.sum(F.coalesce("is_banked", F.lit(0))).cast("long").alias("late_submissions"), F.sum(F.col("score") * weight).alias("ws"), F.sum(weight).alias("w"),
-    )
-    return summed.withColumn("weighted_avg", F.when(F.col("w") > 0, F.col("ws") / F.col("w"))).drop("ws", "w")
+    measured = rows.select(student, "code_module", "code_presentation", "id_assessment", "score", weight.alias("weight"), (F.col("score") * weight).alias("points"), F.coalesce("is_banked", F.lit(0)).cast("long").alias("late"))
+    summed = measured.groupBy(student, "code_module", "code_presentation").agg(*[f(measure).alias(name) for name, f, measure in SCORES])
+    return summed.withColumn("weighted_avg", F.try_divide("_points", F.when(F.col("_weight") > 0, F.col("_weight")))).drop("_points", "_weight")
 
 
 def at_risk_features(info: DataFrame, registration: DataFrame, clicks: DataFrame, submissions: DataFrame, definitions: DataFrame, cutoff: int = 30, due_cutoff: int = 30) -> DataFrame:

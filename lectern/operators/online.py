@@ -2,36 +2,81 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from lectern.functions.folds import PRIOR, click_features, online_mastery
+from lectern.functions.folds import PRIOR, after_submission
 from lectern.functions.text import clip
-from lectern.functions.vectors import shifted
-
-
-def ordered(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """keys and `values`: each key's values in order. A key is one learner, so the array is one learner's history."""
-    packed = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_value"))))
-    return df.groupBy(*keys).agg(F.transform(packed, lambda x: x["_value"]).alias("values"))
+from lectern.operators.ranges import placed
 
 
 def online_clicks(clicks: DataFrame, student: str = "id_student", order: tuple[str, ...] = ("ts", "event_id"), value: str = "clicks") -> DataFrame:
-    """Final online click features of each learner."""
-    return ordered(clicks, [student], [*order], value).select(student, click_features(F.col("values")).alias("f")).select(student, "f.*")
+    """Final online click features of each learner.
+
+    Event by event, active_days grows by 0.1 from 1, the recent rate r becomes (6 r + clicks) / 7; from an event's place in
+    its learner's history both are sums, so a history is added up in parts and never stands in one row.
+    """
+    c = F.col("_c")
+    rows = placed(clicks.where(F.col(value).isNotNull()).select(student, *order, F.col(value).cast("double").alias("_c")), [student], [*order])
+    weight = F.pow(F.lit(6.0 / 7.0), (F.col("n") - 1 - F.col("place")).cast("double")) / 7.0
+    found = rows.groupBy(student).agg(F.sum(c).alias("total_clicks"), F.count("*").alias("n"), F.max(c).alias("most"), F.sum(c * weight).alias("recent_weekly_rate"))
+    days = 1.0 + (F.col("n") - 1) * 0.1
+    average = F.col("total_clicks") / days
+    return found.select(
+        student, "total_clicks", days.alias("active_days"), average.alias("avg_daily_clicks"), F.greatest(F.lit(0.0), "most").alias("max_clicks_day"),
+        F.col("n").cast("double").alias("engagement_span"), "recent_weekly_rate", (F.col("recent_weekly_rate") - average).alias("engagement_momentum"),
+    )
 
 
 def online_scores(submissions: DataFrame, student: str = "id_student", order: tuple[str, ...] = ("ts", "event_id"), score: str = "score") -> DataFrame:
-    """Each submission with the running count, mean and minimum."""
+    """Each submission with the running count, mean and minimum (W07, O03). The windows run over rows as they come sorted
+    and spill; they hold no history."""
     upto = W.partitionBy(student).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return submissions.withColumns({"submission_count": F.count("*").over(upto), "avg_score": F.avg(score).over(upto), "min_score": F.min(score).over(upto)}).withColumn("weighted_avg", F.col("avg_score"))
 
 
 def mastery_updates(submissions: DataFrame, keys: list[str], order: list[str], score: str = "score", prior: float = PRIOR) -> DataFrame:
-    """Mastery after all of a learner's submissions to a chapter."""
-    folded = F.aggregate("values", F.lit(prior), lambda known, s: online_mastery(known, s))
-    return ordered(submissions, keys, order, score).select(*keys, folded.alias("mastery"), F.size("values").cast("long").alias("submissions"))
+    """Mastery after all of a learner's submissions to a chapter.
+
+    Mastery near 1 is rounded to 1 and stays there, so a submission needs the number before it: rows come sorted, a task
+    holds one number, and a learner's submissions to a chapter follow each other in one task. A submission without a score
+    counts and changes nothing.
+    """
+    rows = submissions.select(*keys, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(score).cast("double").alias("_score"))
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("mastery", T.DoubleType()), T.StructField("submissions", T.LongType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, known, count = None, prior, 0
+        done: list[tuple] = []
+        types = None
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), [*types, pa.float64(), pa.int64()], strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, schema.names)
+
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
+            for *k, s in zip(*[batch[c].to_pylist() for c in (*keys, "_score")], strict=True):
+                if k != key:
+                    if key is not None:
+                        done.append((*key, known, count))
+                    key, known, count = k, prior, 0
+                known, count = known if s is None else after_submission(known, s), count + 1
+            if len(done) > 10_000:
+                yield out()
+        if key is not None:
+            done.append((*key, known, count))
+            yield out()
+
+    places = [f"_o{i}" for i in range(len(order))]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *places).select(*keys, "_score").mapInArrow(fold, schema)
 
 
 def shifted_risk(base: DataFrame, submissions: DataFrame, student: str = "id_student", score: str = "score", risk: str = "risk") -> DataFrame:
@@ -115,11 +160,51 @@ def seeded_mastery(students: DataFrame, mastery: DataFrame, chapters: tuple[str,
 
 
 def shifted_user(user_vectors: DataFrame, events: DataFrame, item_vectors: DataFrame, rate: float = 0.3, unit: bool = False) -> DataFrame:
-    """User vectors moved by each item they interacted with, in order (O10). Both vector tables are (node, vector)."""
-    found = events.join(item_vectors.select(F.col("node").alias("item"), F.col("vector").alias("item_vector")), "item")
-    steps = ordered(found, ["user"], ["ts", "event_id"], "item_vector")
-    joined = user_vectors.select(F.col("node").alias("user"), "vector").join(steps, "user")
-    return joined.select("user", F.aggregate("values", F.col("vector"), lambda u, i: shifted(u, i, rate, unit)).alias("vector"))
+    """User vectors moved by each item they interacted with, in order, and of unit length after each if asked.
+
+    Both vector tables are (node, vector); users without an interaction are left out. Rows come sorted by user and time,
+    the user's own vector first, and a task holds one vector: a step on unit length needs the one before it, so a user's
+    steps follow each other in one task, in memory for one batch of rows.
+    """
+    own = user_vectors.select(F.col("node").alias("user"), F.lit(None).cast(events.schema["ts"].dataType).alias("ts"), F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"), "vector", F.lit(0).alias("kind"))
+    moves = events.join(item_vectors.select(F.col("node").alias("item"), "vector"), "item").select("user", "ts", "event_id", "vector", F.lit(1).alias("kind"))
+    schema = T.StructType([own.schema["user"], T.StructField("vector", T.ArrayType(T.DoubleType()))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, vector, steps = None, None, 0
+        done: list[tuple] = []
+
+        def close() -> None:
+            if vector is not None and steps:
+                done.append((user, vector.tolist()))
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_pydict({"user": [u for u, _ in done], "vector": [v for _, v in done]}, schema=types)
+            done.clear()
+            return batch
+
+        types = None
+        for batch in batches:
+            types = pa.schema([pa.field("user", batch.schema.field("user").type), pa.field("vector", pa.list_(pa.float64()))])
+            for u, kind, v in zip(batch["user"].to_pylist(), batch["kind"].to_pylist(), batch["vector"], strict=True):
+                if u != user:
+                    close()
+                    user, vector, steps = u, None, 0
+                move = np.asarray(v.values, np.float64)
+                if kind == 0:
+                    vector = move
+                elif vector is not None:
+                    vector = vector + rate * move
+                    vector = vector / (np.sqrt((vector * vector).sum()) + 1e-9) if unit else vector
+                    steps += 1
+            if len(done) > 1000:
+                yield out()
+        close()
+        if done:
+            yield out()
+
+    rows = own.unionByName(moves).where("user is not null and vector is not null")
+    return rows.repartition("user").sortWithinPartitions("user", "kind", "ts", "event_id").select("user", "kind", "vector").mapInArrow(fold, schema)
 
 
 def profile(risk: DataFrame, mastery: DataFrame, progress_: DataFrame, ranked: DataFrame, student: str = "id_student") -> DataFrame:
