@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.operators.cleaning import add_audit_columns
 from lectern.operators.quality import ColumnCountError, counts
@@ -15,21 +16,28 @@ def clean_header(names: list[str]) -> list[str]:
     return [n or ("_row_idx" if i == 0 else f"col_{i}") for i, n in enumerate(trimmed)]
 
 
-def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_csv(spark: SparkSession, paths: str | list[str], multiline: bool = False) -> DataFrame:
     """All columns as strings under the cleaned header of the first line (S03, S08, DQ07).
 
-    One path, glob or list is one scan; Spark packs small files into partitions. Files are expected to share a header.
+    One path, glob or list is one scan; Spark packs small files into partitions. Every file must have the header of the
+    first one: a file with other columns, more, fewer or other names, fails the scan when it is read. A record is one line,
+    so large files are split; with multiline, quoted line ends belong to their field and a file is one task.
     """
-    raw = spark.read.option("header", False).option("multiLine", False).csv(paths)
-    first = spark.read.text(paths).limit(1)  # one line
-    line = first.first()
+    options = {"multiLine": multiline, "inferSchema": False}
+    raw = spark.read.options(header=False, **options).csv(paths)
+    line = spark.read.text(paths).limit(1).first()  # one line
     if line is None:
         return raw
-    header = clean_header([v if v is not None else "" for v in spark.createDataFrame([(line["value"],)], "v string").select(F.from_csv("v", ", ".join(f"c{i} string" for i in range(max(1, len(raw.columns))))).alias("r")).select("r.*").first()])
+    fields = ", ".join(f"c{i} string" for i in range(max(1, len(raw.columns))))
+    names = [v if v is not None else "" for v in spark.createDataFrame([(line["value"],)], "v string").select(F.from_csv("v", fields).alias("r")).select("r.*").first()]
+    header = clean_header(names)
     if len(header) != len(raw.columns):
         raise ColumnCountError(f"{len(raw.columns)} columns under a header of {len(header)}")
-    data = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", True).schema(", ".join(f"c{i} string" for i in range(len(header)))).csv(paths)
-    return data.toDF(*header)
+    written = T.StructType([T.StructField(n.replace("\ufeff", "").strip() or f"_c{i}", T.StringType()) for i, n in enumerate(names)])
+    if len({n.lower() for n in written.names}) < len(written) or any(not n.strip() for n in names):  # names that a header check cannot tell apart
+        return spark.read.options(header=True, **options).schema(fields).csv(paths).toDF(*header)
+    trim = {"ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True} if any(n != n.strip() for n in names) else {}
+    return spark.read.options(header=True, enforceSchema=False, **trim, **options).schema(written).csv(paths).toDF(*header)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

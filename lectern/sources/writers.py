@@ -30,12 +30,16 @@ def compact(df: DataFrame, path: str, files: int) -> int:
 
 
 def rewrite(spark: SparkSession, name: str, files: int, by: list[str] | None = None) -> None:
-    """Compact a catalog table into a new one and swap the names."""
-    source = spark.table(name)
-    spark.sql(f"drop table if exists {name}__new")
-    source.repartition(files, *(by or [])).write.format("parquet").saveAsTable(f"{name}__new")
-    spark.sql(f"drop table {name}")
+    """Compact a catalog table into a new one and swap the names.
+
+    The old table is renamed away, not dropped, until the new one has its name: at every moment one of the two is whole.
+    """
+    for left in (f"{name}__new", f"{name}__old"):
+        spark.sql(f"drop table if exists {left}")
+    spark.table(name).repartition(files, *(by or [])).write.format("parquet").saveAsTable(f"{name}__new")
+    spark.sql(f"alter table {name} rename to {name}__old")
     spark.sql(f"alter table {name}__new rename to {name}")
+    spark.sql(f"drop table {name}__old")
 
 
 def reset(spark: SparkSession, name: str) -> None:
@@ -60,6 +64,10 @@ def save_model(model: PipelineModel, metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
 
 
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(f"{path}/model")
+
+
 def load_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Saved metrics, or an empty table where none are saved."""
     from pyspark.errors import AnalysisException

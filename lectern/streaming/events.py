@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-PAYLOAD = T.StructType([
-    T.StructField(n, T.StringType()) for n in ("student_id_hash", "id_student", "id_site")
-] + [T.StructField(n, T.IntegerType()) for n in ("sum_click", "clicks")] + [
-    T.StructField("event_type", T.StringType()), T.StructField("assignment_id", T.StringType()), T.StructField("score", T.DoubleType()),
-    T.StructField("code_module", T.StringType()), T.StructField("code_presentation", T.StringType()), T.StructField("date", T.IntegerType()),
-    T.StructField("event_time", T.StringType()), T.StructField("_corrupt_record", T.StringType()),
-])
+
+# The fields of a payload.
+PAYLOAD = (
+    "student_id_hash string, id_student string, id_site string, sum_click int, clicks int, event_type string, assignment_id string, score double, "
+    "code_module string, code_presentation string, date int, event_time string, _corrupt_record string"
+)
 ASSESSMENT = "assessment_submission"
 
 
+def kafka_options(servers: str, topic: str, **more: str) -> dict[str, str]:
+    """Options of a broker source: from the latest offsets on, going on where data were lost, unless told otherwise."""
+    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "latest", "failOnDataLoss": "false", **more}
+
+
 def source(spark: SparkSession, kind: str, options: dict[str, str]) -> DataFrame:
     """A stream of (value, timestamp). kind is kafka, or any file format holding those two columns."""
     if kind == "kafka":
-        return spark.readStream.format("kafka").options(startingOffsets="latest", failOnDataLoss="false", **options).load().select("value", "timestamp")
+        return spark.readStream.format("kafka").options(**options).load().select("value", "timestamp")
     return spark.readStream.format(kind).schema("value string, timestamp timestamp").load(**options)
 
 

@@ -1,11 +1,13 @@
-"""Streaming sinks and the three-query job."""
+"""Streaming sinks and the three-query job."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lectern.operators.ml import scored
 from lectern.operators.recsys import top_k
 from lectern.streaming.events import as_click_rows, assessments, rejects, sessions
 
@@ -45,3 +47,24 @@ def refresh_recommendations(events: DataFrame, users: DataFrame, items: DataFram
 
     writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="15 minutes")).start()
+
+
+def rescore(features: DataFrame, model: PipelineModel, keys: list[str], path: str, checkpoint: str, once: bool = False, seconds: int = 10) -> StreamingQuery:
+    """Rows of changed features through a fitted model as they come, into a table keyed by batch.
+
+    The table has keys, dropout_probability = 1 - P(Success), class probabilities and the feature row's `changed_at`. A
+    repeated batch overwrites itself. latest_scores() reads the state of things.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        out = scored(model, batch, [*keys, "changed_at"])
+        out.withColumn("dropout_probability", 1.0 - F.col("prob_Success")).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    writer = features.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def latest_scores(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """keys and the dropout_probability of their last change, by its time, then by batch."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy(*keys).agg(F.max_by("dropout_probability", F.struct("changed_at", "batch_id")).alias("dropout_probability"), F.count("*").alias("changes"))
