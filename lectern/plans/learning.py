@@ -91,12 +91,15 @@ def graded(spark, root):
     return e.select("user_id", F.col("event_type").alias("skill_name"), (F.col("value") >= 40).cast("int").alias("correct"), order.alias("order_id"))
 
 
-@q("M14_bkt_trace", f"""with {_GRADED}, t as (
+_TRACE = f"""{_GRADED}, t as (
   select user_id, skill_name, order_id, correct, 0.4::double b from g where order_id = 1
   union all
   select g.user_id, g.skill_name, g.order_id, g.correct, case when t.correct = 1 then t.b * 0.9::double / (t.b * 0.9::double + (1 - t.b) * 0.2::double) + (1 - t.b * 0.9::double / (t.b * 0.9::double + (1 - t.b) * 0.2::double)) * 0.15::double
      else t.b * 0.1::double / (t.b * 0.1::double + (1 - t.b) * 0.8::double) + (1 - t.b * 0.1::double / (t.b * 0.1::double + (1 - t.b) * 0.8::double)) * 0.15::double end
-  from t join g on g.user_id = t.user_id and g.skill_name = t.skill_name and g.order_id = t.order_id + 1)
+  from t join g on g.user_id = t.user_id and g.skill_name = t.skill_name and g.order_id = t.order_id + 1)"""
+
+
+@q("M14_bkt_trace", f"""with {_TRACE}
 select user_id, skill_name, order_id::int order_id, correct answer, round(b, 6) p_known_before, round(b * 0.9::double + (1 - b) * 0.2::double, 6) p_correct from t""")
 def _(spark, root):
     return rounded(B.predict(graded(spark, root)).drop("p_known_after"), "p_known_before", "p_correct")
@@ -107,10 +110,13 @@ def _(spark, root):
     return B.fit(graded(spark, root), rounds=5)
 
 
-@q("M09_bkt_auc")
+@q("M09_bkt_auc", f"""with {_TRACE}, r as (select skill_name g, b * 0.9::double + (1 - b) * 0.2::double score, correct label from t), d as (select g, round(score, 9) score, label from r), s as (select g, score, sum(label)::double tp, count(*)::double n from d group by 1, 2),
+c as (select *, sum(tp) over w tpu, sum(n) over w nu, sum(tp) over (partition by g) p, sum(n) over (partition by g) a from s window w as (partition by g order by score desc))
+select g skill_name, round(sum(tp * ((a - p) - (nu - tpu) + (n - tp) / 2)) / max(p * (a - p)), 6) auc from c group by 1""")
 def _(spark, root):
-    p = B.predict(graded(spark, root)).select("skill_name", F.col("p_correct").alias("score"), F.col("answer").alias("label"))
-    return ml.roc_auc(p, ["skill_name"])
+    # rounded scores, so that equal traces tie whatever order their factors were multiplied in
+    p = B.predict(graded(spark, root)).select("skill_name", F.round("p_correct", 9).alias("score"), F.col("answer").alias("label"))
+    return rounded(ml.roc_auc(p, ["skill_name"]), "auc")
 
 
 _EDGES = """e as (select distinct id_student u, id_site i from clicks)"""
@@ -156,12 +162,14 @@ def _(spark, root):
     return top.withColumn("score", F.round("score", 4))
 
 
-@q("J19_masked_top_k", """select "user", item, rn::int rank from (select *, row_number() over (partition by "user" order by s desc, item) rn from (select u.node "user", i.node item, array_inner_product(u.vector, i.vector) s from vu u, vi i where (u.node + i.node) % 3 <> 0)) where rn <= 3""")
+_SEEN = """c as (select distinct user_id * 5 % 500 u, event_id % 400 i from events where event_type = 'click')"""
+
+
+@q("J19_masked_top_k", f"""with {_SEEN} select "user", item, rn::int rank from (select *, row_number() over (partition by "user" order by s desc, item) rn from (select u.node "user", i.node item, array_inner_product(u.vector, i.vector) s from vu u, vi i where not exists (select 1 from c where c.u = u.node and c.i = i.node))) where rn <= 3""")
 def _(spark, root):
-    users, items = S.vectors(spark, root, True), S.vectors(spark, root, False)
-    # the pairs that train knows, by an equi-join on the remainders that make their sum divisible by three
-    seen = users.select(F.col("node").alias("user"), (F.col("node") % 3).alias("m")).join(items.select(F.col("node").alias("item"), ((3 - F.col("node") % 3) % 3).alias("m")), "m").select("user", "item")
-    return R.top_k(users, items, 3, exclude=seen).select("user", "item", "rank")
+    # what a learner clicked is not recommended again; clicks name users and items by their vec_id
+    clicked = table(spark, root, "events").where("event_type = 'click'").select((F.col("user_id") * 5 % 500).alias("user"), (F.col("event_id") % 400).alias("item"))
+    return R.top_k(S.vectors(spark, root, True), S.vectors(spark, root, False), 3, exclude=clicked).select("user", "item", "rank")
 
 
 @q("M19_recall_ndcg", """with r as (select u "user", i item, row_number() over (partition by u order by c desc, i) rank from (select id_student u, id_site i, sum(sum_click) c from clicks group by 1, 2)), h as (select distinct id_student u, id_site i from clicks where code_module = 'purchase')
@@ -178,7 +186,14 @@ def _(spark, root):
 @q("M18_als_embeddings")
 def _(spark, root):
     users, items = R.base_embeddings(edges(spark, root), size=8, iterations=3)
-    return users.select(F.lit("user").alias("kind"), "node", F.size("vector").alias("size")).unionByName(items.select(F.lit("item").alias("kind"), "node", F.size("vector").alias("size")))
+    return users.select(F.lit("user").alias("kind"), "node", "vector").unionByName(items.select(F.lit("item").alias("kind"), "node", "vector"))
+
+
+@q("M18_embedded_nodes", f"""with {_EDGES} select 'user' kind, count(distinct u) nodes, 8 size from e union all select 'item', count(distinct i), 8 from e""")
+def _(spark, root):
+    users, items = R.base_embeddings(edges(spark, root), size=8, iterations=3)
+    count = lambda k, d: d.agg(F.count_distinct("node").alias("nodes"), F.max(F.size("vector")).alias("size")).select(F.lit(k).alias("kind"), "nodes", "size")
+    return count("user", users).unionByName(count("item", items))
 
 
 @q("W03_hold_out", f"""with {_EDGES} select u "user", (count(*) > 1)::int held_out, count(*) pairs from e group by 1""")
@@ -192,6 +207,16 @@ def _(spark, root):
     return R.negative_samples(edges(spark, root))
 
 
+@q("J18_negative_counts", f"""with {_EDGES}, n as (select count(distinct i) items from e), d as (select u, count(*) k from e group by 1) select u "user", k pairs, case when k < items then k else 0 end negatives, 0::bigint edges from d, n""")
+def _(spark, root):
+    e = edges(spark, root)
+    drawn = R.negative_samples(e)
+    known = e.select("user", F.col("item").alias("negative"), F.lit(1).alias("known"))
+    by = drawn.join(known, ["user", "negative"], "left").groupBy("user").agg(F.count("*").alias("negatives"), F.count("known").alias("edges"))
+    pairs = e.groupBy("user").agg(F.count("*").alias("pairs"))
+    return pairs.join(by, "user", "left").fillna(0, ["negatives", "edges"]).select("user", "pairs", "negatives", "edges")
+
+
 @q("J11_numbering", """select i item, (row_number() over (order by i) - 1)::bigint "index" from (select distinct id_site i from clicks)""")
 def _(spark, root):
     return R.numbering(S.clicks(spark, root).select(F.col("id_site").alias("item")).distinct(), "item").withColumn("index", F.col("index").cast("long"))
@@ -256,6 +281,13 @@ def _(spark, root):
     return ml.group_split(S.info(spark, root).select(F.col("id_student").alias("user_id"), F.col("code_module").alias("course"))).groupBy("course", "is_train").agg(F.count_distinct("user_id").alias("users"))
 
 
+@q("M02_group_users", """select code_module course, count(distinct id_student) users, 0::bigint "both", count(*) "rows" from info group by 1""")
+def _(spark, root):
+    split = ml.group_split(S.info(spark, root).select(F.col("id_student").alias("user_id"), F.col("code_module").alias("course")))
+    by = split.groupBy("course", "user_id").agg(F.count_distinct("is_train").alias("sides"), F.count("*").alias("n"))
+    return by.groupBy("course").agg(F.count("*").alias("users"), F.count_if(F.col("sides") > 1).alias("both"), F.sum("n").alias("rows"))
+
+
 @q("M03_impute", """with m as (select quantile_disc("date", 0.5) d from defs), o as (select assessment_type t from defs where id_assessment % 5 <> 0 group by 1 order by count(*) desc, 1 limit 1) select id_assessment, coalesce("date", m.d) "date", case when id_assessment % 5 <> 0 then assessment_type else o.t end kind from defs, m, o""")
 def _(spark, root):
     d = S.definitions(spark, root).select("id_assessment", "date", F.when(F.col("id_assessment") % 5 != 0, F.col("assessment_type")).alias("kind"))

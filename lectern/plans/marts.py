@@ -144,6 +144,14 @@ def _(spark, root):
     return M.sample_by_hash(S.info(spark, root).select("source_key", "risk"), "source_key", 200)
 
 
+@q("T06_sample_size", "select least(200, count(*)) n, least(200, count(*)) known, true same from info")
+def _(spark, root):
+    i = S.info(spark, root).select("source_key", "risk")
+    sample, again = M.sample_by_hash(i, "source_key", 200), M.sample_by_hash(i.repartition(7), "source_key", 200)
+    found = sample.join(again.select("source_key", F.lit(1).alias("again")), "source_key", "left").join(i.select("source_key", F.col("risk").alias("r")), "source_key")
+    return found.agg(F.count("*").alias("n"), F.count_if(F.col("risk") == F.col("r")).alias("known"), (F.count("again") == F.count("*")).alias("same"))
+
+
 @q("W01_answer_order", """select id_student, max(rn)::int last_order, sum(rn * (id_assessment % 97))::bigint mark from (select id_student, id_assessment, row_number() over (partition by id_student order by date_submitted, id_assessment, score nulls first, is_banked) rn from subs) group by 1""")
 def _(spark, root):
     from pyspark.sql import Window as W

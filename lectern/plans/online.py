@@ -187,13 +187,31 @@ def _(spark, root):
     return O.activity_labels(e, O.titles(e.where("item % 2 = 0"), "item", "title"), known, "item").select("event_id", "label")
 
 
-@q("O10_shifted_vectors")
-def _(spark, root):
+def _shift_sql(unit: bool) -> str:
+    moved = "[z[1] + 0.3::double * z[2] for z in list_zip(f.v, e.iv)]"
+    step = "[x / (sqrt(list_dot_product(m, m)) + 1e-9::double) for x in m]" if unit else "m"
+    return f"""with ev as (select user_id * 5 % 500 u, case when event_id % 400 % 5 = 0 then event_id % 400 + 1 else event_id % 400 end i, ts, event_id from events where event_type = 'click'),
+e as (select u, vi.vector::double[] iv, row_number() over (partition by u order by ts, event_id) rn, count(*) over (partition by u) n from ev join vi on vi.node = ev.i),
+f as (select vu.node u, 0 rn, vu.vector::double[] v from vu where node in (select u from e) union all select u, rn, {step} v from (select f.u, e.rn, {moved} m from f join e on e.u = f.u and e.rn = f.rn + 1))
+select f.u "user", round(list_sum(f.v), 4) total, round(f.v[1], 4) "first" from f join (select distinct u, n from e) l on l.u = f.u and l.n = f.rn"""
+
+
+def _shifted(spark, root, unit: bool):
     # interactions name items by their vec_id
     n = F.col("event_id") % 400
     e = table(spark, root, "events").where("event_type = 'click'").select((F.col("user_id") * 5 % 500).alias("user"), F.when(n % 5 == 0, n + 1).otherwise(n).alias("item"), "ts", "event_id")
-    moved = O.shifted_user(S.vectors(spark, root, True), e, S.vectors(spark, root, False), unit=True)
-    return moved.select("user", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 4).alias("square"))
+    moved = O.shifted_user(S.vectors(spark, root, True), e, S.vectors(spark, root, False), unit=unit)
+    return moved.select("user", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.col("vector")[0], 4).alias("first"))
+
+
+@q("O10_shifted_vectors", _shift_sql(True))
+def _(spark, root):
+    return _shifted(spark, root, True)
+
+
+@q("O10_moved_vectors", _shift_sql(False))
+def _(spark, root):
+    return _shifted(spark, root, False)
 
 
 @q("O11_seeded_mastery", """with c as (select unnest(['C1', 'C2', 'C3', 'C4', 'C5', 'C6']) chapter), k as (select id_student, 'C1' chapter, arg_max(m, skill_name) m from (select id_student, skill_name, arg_max(p_known_after, order_id) m from mastery where contains(skill_name, 'C1') group by 1, 2) group by 1)
@@ -204,7 +222,11 @@ def _(spark, root):
     return O.seeded_mastery(S.info(spark, root), mastery_latest(S.mastery(spark, root), user="id_student"))
 
 
-@q("O09_profile")
+@q("O09_profile", f"""with {_SCORED}, k as (select id_student, arg_max(m, skill_name) m from (select id_student, skill_name, arg_max(p_known_after, order_id) m from mastery where contains(skill_name, 'C1') group by 1, 2) group by 1),
+p as (select id_student, chapter, count(*) n, arg_max(score, (ts, event_id)) latest from sc group by 1, 2), pr as (select id_student, string_agg(chapter || ':' || n || ':' || floor(latest)::int, ',' order by chapter) progress from p group by 1),
+tk as (select "user", string_agg(item, ',' order by rn) recommended from (select "user", item, row_number() over (partition by "user" order by s desc, item) rn from (select u.node "user", i.node item, array_inner_product(u.vector, i.vector) s from vu u, vi i)) where rn <= 5 group by 1)
+select b.id_student, round(b.risk, 6) risk, round(2.0::double + coalesce(k.m, 0.4::double), 6) mastery, 'C1,C2,C3,C4,C5,C6' chapters, coalesce(pr.progress, '') progress, coalesce(tk.recommended, '') recommended
+from (select id_student, min(risk) risk from info group by 1) b left join k using (id_student) left join pr using (id_student) left join tk on tk."user" = b.id_student""")
 def _(spark, root):
     from lectern.operators.marts import mastery_latest
 
@@ -212,7 +234,13 @@ def _(spark, root):
     mastery = O.seeded_mastery(S.info(spark, root), mastery_latest(S.mastery(spark, root), user="id_student"))
     progress = O.progress(_scored(spark, root), ["id_student", "chapter"], ["ts", "event_id"])
     ranked = R.top_k(S.vectors(spark, root, True), S.vectors(spark, root, False), 5).withColumnRenamed("user", "id_student")
-    return O.profile(risk, mastery, progress, ranked)
+    found = O.profile(risk, mastery, progress, ranked)
+    line = lambda x: F.concat_ws(":", x["chapter"], x["submissions"].cast("string"), F.floor(x["latest_score"]).cast("int").cast("string"))
+    listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    return found.select(
+        "id_student", r6("risk").alias("risk"), r6(F.aggregate(F.map_values("mastery"), F.lit(0.0), lambda s, x: s + x)).alias("mastery"), listed(F.map_keys("mastery")).alias("chapters"),
+        listed(F.transform("progress", line)).alias("progress"), listed(F.transform("recommended", lambda x: x.cast("string"))).alias("recommended"),
+    )
 
 
 @q("O13_feature_defaults", """select id_student, coalesce(round(avg(case when code_module = 'view' then risk end), 6), 0) risk, coalesce(max(case when code_module = 'view' then region end), 'Unknown') region from info group by 1""")

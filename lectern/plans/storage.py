@@ -13,7 +13,7 @@ from lectern.operators import recsys as R
 from lectern.plans import standins as S
 from lectern.plans.book import Book, r6
 from lectern.plans.online import raw
-from lectern.session import shared_folder, table
+from lectern.session import materialise, shared_folder, table
 from lectern.sources import inventory, readers, writers
 from lectern.streaming import events as E
 from lectern.streaming import sinks, state
@@ -51,18 +51,45 @@ def _documents(spark: SparkSession, root: str, at: str) -> str:
     return f"{at}/Data"
 
 
-@q("S01_S02_inventory", "select 'csv' file_type, 'oulad_customers' table_name, 1 at_least union all select 'csv', 'ednet_kt1_events', 1", plain=True)
+def _named(spark: SparkSession, df: DataFrame, by: str, target: str, kind: str = "csv") -> None:
+    """df's rows as one file a value of by, named after it: target has {} in the value's place."""
+    staged = folder(spark)
+    rows = df.repartition(by).write.partitionBy(by)
+    rows.option("header", True).csv(staged) if kind == "csv" else rows.format(kind).save(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.globStatus(path(f"{staged}/{by}=*/part-*")):  # one a value
+        value = part.getPath().getParent().getName().split("=", 1)[1]
+        to = path(target.format(value))
+        files.mkdirs(to.getParent())
+        files.rename(part.getPath(), to)
+
+
+@q("S01_S02_inventory", """select 'oulad' dataset, 'oulad_' || lower(c_mktsegment) table_name, 'csv' file_type, 'code_module' partition_hint, 'csv' strategy, 1::bigint files, count(*) + 1 lines from customer group by c_mktsegment
+union all select 'ednet', 'ednet_kt1_events', 'csv', '_ingest_date', 'csv', count(distinct user_id), count(*) + count(distinct user_id) from events
+union all select 'ednet', 'ednet_' || lower(event_type), 'csv', '_ingest_date', 'csv', 1, count(*) + 1 from events group by event_type
+union all select 'sed', 'sed_status_' || lower(o_orderstatus), 'csv', '_ingest_date', 'csv', 1, count(*) + 1 from orders group by o_orderstatus
+union all select 'content', 'content_question_bank', 'json', '_ingest_date', 'json', 1, count(*) from nation
+union all select 'ednet', 'ednet_lecture_bank', 'json', '_ingest_date', 'json', 1, count(*) from region
+union all select 'content', 'content_documents', 'markdown', 'chapter', 'markdown:chapter_' || lang, 1, count(*) from documents group by lang""", plain=True)
 def _(spark, root):
     at = folder(spark)
-    for write in (_customers, _small_files, _bank, _documents):
-        write(spark, root, at)
-    # Spark writes a folder per file name: route by the folder as if it were the file
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(at).select("path", "length")
-    renamed = found.withColumn("path", F.regexp_replace("path", r"/part-[^/]*?(\.csv|\.json|\.txt)?$", "")).withColumn("path", F.when(F.col("path").contains("/KT1"), F.concat("path", F.lit("/u1.csv"))).otherwise(F.col("path")))
-    listed = inventory.routed(renamed.groupBy("path").agg(F.sum("length").alias("length")), at)
-    inventory.write_manifest(listed, f"{at}/_manifest")
-    back = inventory.load_manifest(spark, f"{at}/_manifest")
-    return back.where("dataset in ('oulad', 'ednet')").groupBy("file_type", "table_name").agg(F.least(F.count("*"), F.lit(1)).cast("int").alias("at_least"))
+    events = table(spark, root, "events").select("event_id", "event_type", "user_id")
+    _named(spark, table(spark, root, "customer").select("c_custkey", F.lower("c_mktsegment").alias("s")), "s", f"{at}/OULAD/{{}}.csv")
+    _named(spark, events, "user_id", f"{at}/EdNet/KT1/u{{}}.csv")
+    _named(spark, events, "event_type", f"{at}/EdNet/contents/{{}}.csv")
+    _named(spark, table(spark, root, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", f"{at}/SED/Status_{{}}.csv")
+    nations = table(spark, root, "nation").select("n_nationkey", F.lit("b").alias("bank"))
+    _named(spark, nations, "bank", f"{at}/Question_Bank.json", "json")
+    _named(spark, nations, "bank", f"{at}/EdNet/Question_Bank.json", "json")  # the copy at the root goes before it
+    _named(spark, table(spark, root, "region").select("r_regionkey", F.lit("b").alias("bank")), "bank", f"{at}/EdNet/x/Lecture_Bank.json", "json")
+    docs = table(spark, root, "documents").select(F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]", " ").alias("text"), "lang")
+    _named(spark, docs, "lang", f"{at}/Data/c1/chapter_{{}}.md", "text")
+    _named(spark, docs, "lang", f"{at}/Data/c1/chapter_{{}}.txt", "text")  # no route
+    inventory.write_manifest(inventory.discover(spark, at), f"{at}_manifest")
+    found = inventory.load_manifest(spark, f"{at}_manifest")
+    lines = spark.read.option("recursiveFileLookup", True).text(at).groupBy(F.regexp_extract(F.col("_metadata.file_path"), f"{at.rsplit('/', 1)[-1]}/(.*)$", 1).alias("relative_path")).agg(F.count("*").alias("n"))
+    return found.join(lines, "relative_path").groupBy("dataset", "table_name", "file_type", "partition_hint", "strategy").agg(F.count("*").alias("files"), F.sum("n").alias("lines"))
 
 
 @q("S03_csv_strings", "select c_custkey::varchar _row_idx, c_name name, c_mktsegment segment from customer", plain=True)
@@ -70,10 +97,12 @@ def _(spark, root):
     return readers.read_csv(spark, _customers(spark, root, folder(spark)))
 
 
-@q("S04_json_with_raw", "select 25 nations, true has_raw", plain=True)
+@q("S04_json_with_raw", "select n_nationkey, n_name, true in_raw, (select sum(length(n_name)) from nation)::bigint chars from nation", plain=True)
 def _(spark, root):
     found = readers.read_json(spark, _bank(spark, root, folder(spark)))
-    return found.select(F.size("nations").alias("nations"), F.col("_raw_json").contains("NATION_7").alias("has_raw"))
+    chars = F.aggregate("nations", F.lit(0).cast("long"), lambda n, x: n + F.length(x["n_name"]))
+    one = found.select(F.explode("nations").alias("x"), "_raw_json", chars.alias("chars"))
+    return one.select("x.n_nationkey", "x.n_name", F.col("_raw_json").contains(F.concat(F.lit('"'), F.col("x.n_name"), F.lit('"'))).alias("in_raw"), "chars")
 
 
 @q("S05_documents", "select lang chapter, count(*) n, sum(length(regexp_replace(text, '[\r\n]', ' ', 'g')))::bigint chars from documents group by 1", plain=True)
@@ -83,15 +112,13 @@ def _(spark, root):
     return lines.groupBy("chapter").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
-@q("S06_S07_merged_schemas", "select count(*) n, count(c_acctbal) with_balance from customer", plain=True)
+@q("S06_S07_merged_schemas", """select count(*) n, count(case when c_custkey % 2 = 1 then c_acctbal end) with_balance, round(sum(case when c_custkey % 2 = 1 then c_acctbal end), 2) balance, count(case when c_custkey % 2 = 0 then c_mktsegment end) with_segment from customer""", plain=True)
 def _(spark, root):
     at, c = folder(spark), table(spark, root, "customer")
-    c.where("c_custkey % 2 = 0 or c_acctbal is null").select("c_custkey", "c_name").write.parquet(f"{at}/batch=0")
-    c.where("c_custkey % 2 = 1 and c_acctbal is not null").write.parquet(f"{at}/batch=1")
+    c.where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_mktsegment").write.parquet(f"{at}/batch=0")
+    c.where("c_custkey % 2 = 1").select("c_acctbal", "c_custkey", "c_name").write.parquet(f"{at}/batch=1")
     found = readers.read_parquet(spark, at, merge=True)
-    # the half written without balances gets them from the source
-    whole = found.select("c_custkey", "c_acctbal").join(c.select("c_custkey", F.col("c_acctbal").alias("b")), "c_custkey")
-    return whole.agg(F.count("*").alias("n"), F.count(F.coalesce("c_acctbal", "b")).alias("with_balance"))
+    return found.agg(F.count("c_name").alias("n"), F.count("c_acctbal").alias("with_balance"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.count("c_mktsegment").alias("with_segment"))
 
 
 @q("S08_K09_compaction", "select count(*) n, count(distinct event_type) kinds, 3 files from events", plain=True)
@@ -132,19 +159,20 @@ def _(spark, root):
     return spark.read.schema("table_name string, rows long").json(f"{at}_counts")
 
 
-@q("K06_K07_serving_export", "select count(*) n from info")
+@q("K06_K07_serving_export", "select count(*) n, sum(source_key)::bigint keys, round(sum(risk), 6) risk, count(distinct region) regions from info")
 def _(spark, root):
     at = folder(spark)
     for _ in range(2):  # an export replaces the one before
         writers.write_parquet(S.info(spark, root), at, files=2)
-    return spark.read.parquet(at).agg(F.count("*").alias("n"))
+    return spark.read.parquet(at).agg(F.count("*").alias("n"), F.sum("source_key").alias("keys"), r6(F.sum("risk")).alias("risk"), F.count_distinct("region").alias("regions"))
 
 
-@q("K10_single_file_compaction", "select count(*) n from customer", plain=True)
+@q("K10_single_file_compaction", "select count(*) n, sum(c_custkey)::bigint keys, count(distinct c_mktsegment) segments, 1 files from customer", plain=True)
 def _(spark, root):
     at = folder(spark)
     writers.compact(readers.read_csv(spark, _customers(spark, root, at)), f"{at}/customers", 1)
-    return spark.read.parquet(f"{at}/customers").agg(F.count("*").alias("n"))
+    back = spark.read.parquet(f"{at}/customers")
+    return back.agg(F.count("*").alias("n"), F.sum(F.col("_row_idx").cast("long")).alias("keys"), F.count_distinct("segment").alias("segments"), F.count_distinct(F.col("_metadata.file_path")).cast("int").alias("files"))
 
 
 @q("K11_rewritten_table", "select count(*) n, count(distinct p_brand) brands from part", plain=True)
@@ -155,19 +183,22 @@ def _(spark, root):
     return spark.table(name).agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("brands"))
 
 
-@q("K12_reset_table", "select count(*) - count(*) n from nation", plain=True)
+@q("K12_reset_table", "select count(*) before, 0::bigint n, 3 columns from nation", plain=True)
 def _(spark, root):
     name = f"lectern_{uuid.uuid4().hex}"
     writers.write_table(table(spark, root, "nation"), name)
+    before = materialise(spark.table(name).agg(F.count("*").alias("before")))
     writers.reset(spark, name)
-    return spark.table(name).agg(F.count("*").alias("n"))
+    left = spark.table(name)
+    return before.crossJoin(F.broadcast(left.agg(F.count("*").alias("n"), F.lit(len(left.columns)).alias("columns"))))  # one row each
 
 
-@q("T07_repartitioned", "select count(*) n from lineitem", plain=True)
+@q("T07_repartitioned", "select count(*) n, sum(l_orderkey)::bigint keys, sum(l_linenumber)::bigint numbers, 4 files from lineitem", plain=True)
 def _(spark, root):
     at = folder(spark)
     writers.write_parquet(table(spark, root, "lineitem"), at, files=4)
-    return spark.read.parquet(at).agg(F.count("*").alias("n"))
+    back = spark.read.parquet(at)
+    return back.agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"), F.sum(F.col("l_linenumber").cast("long")).alias("numbers"), F.count_distinct(F.col("_metadata.file_path")).cast("int").alias("files"))
 
 
 def _stream(spark: SparkSession, root: str) -> tuple[str, DataFrame]:
@@ -235,9 +266,9 @@ def _(spark, root):
     return R.denoised(R.interactions(S.clicks(spark, root))).agg(F.count("*").alias("edges"), F.count_distinct("user").alias("users"), F.count_distinct("item").alias("items"))
 
 
-@q("R02_R04_effective_fields", """select user_id::varchar effective_id, count(*) n, max(ts) last_time from events where event_id % 8 = 0 group by 1""", plain=True)
+@q("R02_R04_effective_fields", """select case when event_id % 8 not in (2, 4) then user_id::varchar end effective_id, count(*) n, max(ts) last_time from events group by 1""", plain=True)
 def _(spark, root):
-    rows = E.parsed(raw(spark, root).where("event_id % 8 = 0"))
+    rows = E.parsed(raw(spark, root))
     return rows.groupBy("effective_id").agg(F.count("*").alias("n"), F.max("event_ts").alias("last_time"))
 
 
@@ -262,7 +293,91 @@ def _(spark, root):
     return rows.groupBy("_source_dataset").agg(F.count("_ingest_at").alias("n"), F.count_distinct("_source_file").cast("int").alias("files"))
 
 
-@q("U03_stacked_predictions", "select 'click_TMA' skill, count(*) n from mastery where skill_name = 'click_TMA' union all select 'view_TMA', count(*) from mastery where skill_name = 'view_TMA'")
+@q("U03_stacked_predictions", "select skill_name skill, count(*) n, round(sum(p_known_after), 6) known, sum(order_id)::bigint orders from mastery where skill_name in ('click_TMA', 'view_TMA') group by 1")
 def _(spark, root):
     m = S.mastery(spark, root)
-    return M.union_all([m.where(f"skill_name = '{s}'").agg(F.count("*").alias("n")).select(F.lit(s).alias("skill"), "n") for s in ("click_TMA", "view_TMA")])
+    stacked = M.union_all([m.where(f"skill_name = '{s}'").withColumn("skill", F.lit(s)) for s in ("click_TMA", "view_TMA")])
+    return stacked.groupBy("skill").agg(F.count("*").alias("n"), r6(F.sum("p_known_after")).alias("known"), F.sum("order_id").alias("orders"))
+
+
+@q("S12_stream_source", "select count(*) n, count(distinct ts) times, max(ts) last_time from events", plain=True)
+def _(spark, root):
+    at = folder(spark)
+    raw(spark, root).select("value", "timestamp").write.parquet(f"{at}/in")
+    sinks.append(E.source(spark, "parquet", {"path": f"{at}/in"}), f"{at}/out", f"{at}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{at}/out").agg(F.count("*").alias("n"), F.count_distinct("timestamp").alias("times"), F.max("timestamp").alias("last_time"))
+
+
+@q("S15_catalog", """select 'nation' table_name, count(*) "rows" from nation union all select 'part', count(*) from part""", plain=True)
+def _(spark, root):
+    name = f"lectern_{uuid.uuid4().hex}"
+    spark.sql(f"create database {name}")
+    for t in ("nation", "part"):
+        writers.write_table(table(spark, root, t), f"{name}.{t}")
+    listed = [r["table_name"] for r in readers.catalog_tables(spark).where(F.col("database") == name).collect()]
+    return M.union_all([spark.table(f"{name}.{t}").agg(F.count("*").alias("rows")).select(F.lit(t).alias("table_name"), "rows") for t in listed])
+
+
+@q("K14_dead_letters", """select case event_id % 8 when 1 then 'wrong_type' when 7 then 'missing_field' else 'malformed' end reason, count(*) n, count(distinct ts) times from events where event_id % 8 in (1, 2, 4, 7) group by 1""", plain=True)
+def _(spark, root):
+    at, rows = _stream(spark, root)
+    for i in (1, 2):  # a second run from an empty checkpoint repeats the batch, which overwrites itself
+        sinks.dead_letters(rows, f"{at}/rejected", f"{at}/checkpoint{i}", once=True).awaitTermination()
+    found = spark.read.parquet(f"{at}/rejected")
+    return found.groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("kafka_time").alias("times"))
+
+
+@q("T05_limited_sample", "select least(1000, count(*)) n, least(1000, count(*)) known from events", plain=True)
+def _(spark, root):
+    rows = readers.ingest_csv(spark, _small_files(spark, root, folder(spark)), "events")
+    sample = materialise(readers.audit_sample(rows, 1000))
+    return sample.agg(F.count("*").alias("n"), F.count_if((F.col("_source_dataset") == "events") & F.col("_ingest_at").isNotNull() & F.col("_source_file").contains("part-")).alias("known"))
+
+
+def _fitted(spark: SparkSession, root: str):
+    """A fitted at-risk pipeline and the features that it scores."""
+    from lectern.operators import ml
+    from lectern.plans.learning import at_risk
+
+    numbers = ["total_clicks", "active_days", "avg_score", "submission_count"]
+    f = at_risk(spark, root).where("target_class is not null").withColumns({c: F.col(c).cast("double") for c in numbers})
+    f = materialise(f.select(*F_KEYS, *numbers, "region", "target_class"))
+    return ml.classifier(numbers, ["region"]).fit(ml.class_weights(f, "target_class")), f
+
+
+F_KEYS = ["id_student", "code_module", "code_presentation"]
+_LABELLED = "f as (select * from info where final_result is not null)"
+
+
+@q("O06_rescored", f"""with {_LABELLED} select id_student, code_module, code_presentation, 1 + (source_key % 3 = 0)::int changes, true as same from f""")
+def _(spark, root):
+    from lectern.operators import ml
+
+    model, features = _fitted(spark, root)
+    keyed = features.join(S.info(spark, root).select(*F_KEYS, "source_key"), F_KEYS)
+    first = keyed.withColumn("changed_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    later = keyed.where("source_key % 3 = 0").withColumns({"changed_at": F.lit("2024-01-02 00:00:00").cast("timestamp"), "total_clicks": F.col("total_clicks") + 500.0})
+    at, changes = folder(spark), first.unionByName(later)
+    changes.write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/in")
+    sinks.rescore(stream, model, F_KEYS, f"{at}/scores", f"{at}/checkpoint", once=True).awaitTermination()
+    live = sinks.latest_scores(spark, f"{at}/scores", F_KEYS)
+    last = later.unionByName(first.join(later.select(*F_KEYS), F_KEYS, "left_anti"))
+    batch = ml.scored(model, last, F_KEYS).select(*F_KEYS, F.col("at_risk_probability").alias("p"))
+    return live.join(batch, F_KEYS).select(*F_KEYS, F.col("changes").cast("int").alias("changes"), (F.abs(F.col("p") - F.col("dropout_probability")) < 1e-9).alias("same"))
+
+
+@q("K08_model_round_trip", f"""with {_LABELLED} select 'model' metric_type, 'rows' key_name, count(*)::double "value" from f union all select 'model', 'same', count(*)::double from f union all select 'gate', 'auc', 0.6::double union all select 'absent', 'rows', 0::double""")
+def _(spark, root):
+    from lectern.operators import ml
+
+    at = folder(spark)
+    model, features = _fitted(spark, root)
+    scored = ml.scored(model, features, F_KEYS).withColumnRenamed("at_risk_probability", "p").select(*F_KEYS, "p")
+    measured = features.agg(F.count("*").cast("double").alias("value")).select(F.lit("model").alias("metric_type"), F.lit("rows").alias("key_name"), "value")
+    writers.save_model(model, measured, f"{at}/saved")
+    again = ml.scored(writers.load_model(f"{at}/saved"), features, F_KEYS)
+    same = scored.join(again, F_KEYS).where(F.abs(F.col("p") - F.col("at_risk_probability")) < 1e-12).agg(F.count("*").cast("double").alias("value"))
+    found = writers.load_metrics(spark, f"{at}/saved").unionByName(same.select(F.lit("model").alias("metric_type"), F.lit("same").alias("key_name"), "value"))
+    missing = ml.metric_table(writers.load_metrics(spark, f"{at}/nothing"), {("absent", "rows"): 0.0})
+    return ml.metric_table(found, {("model", "rows"): -1.0, ("gate", "auc"): 0.6}).unionByName(missing)
