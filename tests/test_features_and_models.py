@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import folds
-from lectern.operators import bkt, features, ml, recsys
+from lectern.operators import bkt, features, marts, ml, online, ranges, recsys
 
 CLICKS = "id_student int, code_module string, code_presentation string, date int, sum_click int"
 
@@ -82,12 +82,50 @@ def test_top_k_equals_full_sort(spark):
     rng = np.random.default_rng(0)
     users, items = rng.normal(size=(20, 4)).round(3), rng.normal(size=(50, 4)).round(3)
     frame = lambda m: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "node long, vector array<double>")
-    got = {(r["user"], r["rank"]): r["item"] for r in recsys.top_k(frame(users), frame(items), 5, item_block=7).collect()}
+    got = {(r["user"], r["rank"]): r["item"] for r in recsys.top_k(frame(users), frame(items), 5, block_bytes=7 * 32).collect()}
     scores = users @ items.T
     for u in range(20):
         assert [got[u, r] for r in range(1, 6)] == sorted(range(50), key=lambda i: (-round(float(scores[u, i]), 9), i))[:5]
 
 
+def test_ties_go_to_the_smaller_item_and_exclusions_to_their_blocks(spark):
+    users = spark.createDataFrame([(f"u{i}", [1.0, 0.1 * i]) for i in range(30)] + [("zero", [0.0, 0.0]), ("none", None)], "node string, vector array<double>")
+    items = spark.createDataFrame([(i, [0.3, 0.7]) for i in range(40)] + [(40 + i, [0.1, 0.1 * (i % 3)]) for i in range(40)], "node long, vector array<double>")
+    pairs = [(f"u{i}", j) for i in range(30) for j in range(0, 40, 1 + i % 3)] + [("u1", 999), ("nobody", 1), (None, 1)]
+    got = {}
+    for r in recsys.top_k(users, items, 4, exclude=spark.createDataFrame(pairs, "user string, item long"), block_bytes=200).collect():
+        got.setdefault(r["user"], []).append((r["rank"], r["item"]))
+    for u in range(30):
+        left = [j for j in range(80) if (f"u{u}", j) not in set(pairs)]
+        score = lambda j: 0.3 + 0.07 * u if j < 40 else 0.1 + 0.01 * u * ((j - 40) % 3)  # noqa: B023, E731
+        assert [j for _, j in sorted(got[f"u{u}"])] == sorted(left, key=lambda j: (-round(score(j), 9), j))[:4]
+    assert sorted(got["zero"]) == [(1, 0), (2, 1), (3, 2), (4, 3)] and "none" not in got
+
+
+def test_embeddings_keep_ids_beyond_ints(spark):
+    far = 10**12
+    edges = spark.createDataFrame([(far + u, far * 3 + i) for u in range(20) for i in range(12) if (u < 10) == (i < 6)], "user long, item long")
+    users, items = recsys.base_embeddings(edges, size=4, iterations=4)
+    assert {r["node"] for r in users.collect()} == {far + u for u in range(20)} and items.count() == 12
+    top = recsys.top_k(users, items, 3).collect()
+    assert all((r["user"] - far < 10) == (r["item"] - far * 3 < 6) for r in top) and len(top) == 60
+
+
+def test_column_functions_of_vectors_agree_with_top_k(spark):
+    from lectern.functions import vectors as V
+
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(6, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "node long, vector array<double>")
+    pairs = df.select(F.col("node").alias("user"), F.col("vector").alias("u")).crossJoin(df.select(F.col("node").alias("item"), F.col("vector").alias("v")))
+    for kind, f in (("dot", V.dot), ("match", V.match_percent)):
+        want = {(r["user"], r["item"]): r["s"] for r in pairs.select("user", "item", f(F.col("u"), F.col("v")).alias("s")).collect()}
+        got = recsys.top_k(df, df, 6, score=kind).collect()
+        assert len(got) == 36 and all(abs(want[r["user"], r["item"]] - r["score"]) < 1e-9 for r in got)
+    unit = pairs.select(V.norm(V.shifted(F.col("u"), F.col("v"), unit=True)).alias("n")).collect()
+    assert all(abs(r["n"] - 1) < 1e-6 for r in unit)
+
+
 def test_top_k_with_few_items_and_exclusions(spark):
     one = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.0])], "node long, vector array<double>")
     seen = spark.createDataFrame([(1, 1)], "user long, item long")
@@ -113,7 +151,7 @@ def test_every_pair_of_a_user_who_lacks_an_item_has_negatives(spark):
 
 def test_numbering_is_contiguous(spark):
     df = spark.createDataFrame([(x * 3,) for x in range(500)], "v long")
-    got = recsys.numbering(df, "v", 8).orderBy("v").collect()
+    got = recsys.numbering(df, "v").orderBy("v").collect()
     assert [r["index"] for r in got] == list(range(500))
 
 
@@ -129,3 +167,65 @@ def test_split_weights_and_classifier(spark):
     assert r[0] == pytest.approx(1) and r[1] == pytest.approx(1) and r[2] == 400
     right = out.join(df.select("id_student", "clicks"), "id_student").where("(predicted_class = 'Success') = (clicks > 25)").count()
     assert right > 380
+
+
+def test_pieces_of_a_history_give_what_the_whole_gives(spark):
+    rng = random.Random(11)
+    rows = [(u, s, i, int(rng.random() < 0.3 + 0.1 * u)) for u in range(6) for s in "ab" for i in range(1, 2 + rng.randint(0, 25) * (u + 1))]
+    graded = spark.createDataFrame(rows, "user_id int, skill_name string, order_id int, correct int")
+    parameters = spark.createDataFrame([("a", 0.3, 0.2, 0.25, 0.15)], "skill_name string, prior double, learn double, guess double, slip double")
+    key = lambda r: (r["user_id"], r["skill_name"], r["order_id"])
+    whole = {key(r): (r["answer"], r["p_known_before"], r["p_correct"], r["p_known_after"]) for r in bkt.predict(graded, parameters).collect()}
+    cut = {key(r): (r["answer"], r["p_known_before"], r["p_correct"], r["p_known_after"]) for r in bkt.predict(graded, parameters, size=4).collect()}
+    assert set(whole) == set(cut) == {r[:3] for r in rows} and all(np.allclose(whole[k], cut[k], atol=1e-12) for k in whole)
+    fitted = [{r["skill_name"]: tuple(r)[1:] for r in bkt.fit(graded, rounds=3, size=n).collect()} for n in (4096, 5)]
+    assert all(np.allclose(fitted[0][s], fitted[1][s], atol=1e-9) for s in "ab")
+
+
+def test_online_features_equal_a_fold_over_the_history(spark):
+    from lectern.streaming import state
+
+    rng = random.Random(2)
+    rows = [(u, i, float(rng.randint(0, 20)), float(rng.randint(0, 100))) for u in range(4) for i in range(1 + 30 * u)]
+    df = spark.createDataFrame(rows, "id_student int, ts int, clicks double, score double")
+    clicks = {r["id_student"]: r for r in online.online_clicks(df, order=("ts",)).collect()}
+    mastery = {r["id_student"]: r for r in online.mastery_updates(df, ["id_student"], ["ts"]).collect()}
+    for u in range(4):
+        c, s = state.START
+        for _, _, count, score in [r for r in rows if r[0] == u]:
+            c, s = state.click(c, count), state.submission(s, score)
+        r = clicks[u]
+        assert np.allclose([r["total_clicks"], r["active_days"], r["avg_daily_clicks"], r["max_clicks_day"], r["engagement_span"], r["recent_weekly_rate"]], c)
+        assert mastery[u]["submissions"] == s[0] and mastery[u]["mastery"] == pytest.approx(s[3], abs=1e-9)
+
+
+def test_vectors_move_step_by_step(spark):
+    rng = np.random.default_rng(1)
+    users, items = rng.normal(size=(3, 4)), rng.normal(size=(5, 4))
+    frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "node long, vector array<double>")
+    steps = [(u, int(rng.integers(5)), t) for u in range(2) for t in range(40)] + [(9, 1, 1)]
+    events = spark.createDataFrame([(u, i, t, t) for u, i, t in steps], "user long, item long, ts long, event_id long")
+    for unit in (False, True):
+        got = {r["user"]: r["vector"] for r in online.shifted_user(frame(users), events, frame(items), 0.3, unit).collect()}
+        assert set(got) == {0, 1}
+        for u in got:
+            v = users[u]
+            for w, i, _ in steps:
+                if w == u:
+                    v = v + 0.3 * items[i]
+                    v = v / (np.linalg.norm(v) + 1e-9) if unit else v
+            assert np.allclose(got[u], v)
+
+
+def test_quantiles_and_running_sums_are_exact(spark):
+    rng = random.Random(5)
+    rows = [(g, None if rng.random() < 0.1 else rng.choice([1.5, 2.0, 3.25, 10.0, -4.0]) if g else rng.random()) for g in (0, 1) for _ in range(300)] + [(2, 7.0), (3, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r["g"]: (r["q"], r["nearest"]) for r in ranges.quantiles(df, ["g"], "v", [0.25, 0.5, 0.99], (0.99,)).collect()}
+    for g in (0, 1, 2):
+        v = [x for h, x in rows if h == g and x is not None]
+        assert np.allclose(got[g][0], np.quantile(v, [0.25, 0.5, 0.99])) and got[g][1] == [sorted(v)[int(np.ceil(0.99 * len(v))) - 1]]
+    assert 3 not in got
+    box = {r["g"]: r for r in marts.box_statistics(df, "g", "v").collect()}
+    assert box[2]["median"] == 7.0 and box[2]["outliers"] == 0
+    assert sorted(r["place"] for r in ranges.placed(spark.range(500).withColumn("k", F.lit(1)), ["k"], ["id"]).collect()) == list(range(500))

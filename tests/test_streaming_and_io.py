@@ -49,7 +49,7 @@ def test_stream_equals_batch_and_state_folds(spark, tmp_path):
     assert spark.read.schema("sum_click string").parquet(f"{tmp_path}/out/clicks").count() == 0
 
     def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{tmp_path}/state")
+        batch.write.mode("append").parquet(f"{tmp_path}/state")  # a batch without data closes the run
 
     state.learner_state(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     got = {r["effective_id"]: r for r in spark.read.parquet(f"{tmp_path}/state").collect()}
@@ -82,5 +82,47 @@ def test_compaction_counts_rows(spark, tmp_path):
     assert len(list((tmp_path / "c").glob("part-*"))) == 2
 
 
-def test_column_count_error():
+def test_files_of_other_columns_fail_the_scan(spark, tmp_path):
+    for name, text in (("a.csv", "x,y\n1,2\n"), ("b.csv", "x,y\n3,4\n")):
+        (tmp_path / name).write_text(text)
+    assert sorted(tuple(r) for r in readers.read_csv(spark, str(tmp_path)).collect()) == [("1", "2"), ("3", "4")]
+    for other in ("x,y,z\n5,6,7\n", "x\n5\n", "y,x\n5,6\n"):
+        (tmp_path / "c.csv").write_text(other)
+        with pytest.raises(Exception, match="CSV header|header of"):
+            readers.read_csv(spark, str(tmp_path)).collect()
     assert issubclass(ColumnCountError, ValueError)
+
+
+def test_a_quoted_line_end_stays_in_its_field(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,"two\nlines"\n2,x\n')
+    got = readers.read_csv(spark, f"{tmp_path}/a.csv", multiline=True)
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "two\nlines"), ("2", "x")]
+
+
+def test_banks_below_the_root_and_strategies(spark, tmp_path):
+    root = tmp_path / "raw"
+    for name in ("EdNet/Question_Bank.json", "Question_Bank.json", "EdNet/Lecture_Bank.json", "Data/Chapter 1/Some Notes.md", "OULAD/studentVle.csv", "Data/x.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x")
+    got = {(r["table_name"], r["relative_path"].split("/")[-1], r["partition_hint"], r["strategy"]) for r in inventory.discover(spark, str(root)).collect()}
+    assert got == {
+        ("content_question_bank", "Question_Bank.json", "_ingest_date", "json"), ("ednet_lecture_bank", "Lecture_Bank.json", "_ingest_date", "json"),
+        ("content_documents", "Some Notes.md", "chapter", "markdown:some_notes"), ("oulad_studentvle", "studentVle.csv", "code_module", "csv"),
+    }
+
+
+def test_broker_options():
+    got = E.kafka_options("h:9092", "events", startingOffsets="earliest")
+    assert got == {"kafka.bootstrap.servers": "h:9092", "subscribe": "events", "startingOffsets": "earliest", "failOnDataLoss": "false"}
+    assert E.kafka_options("h:9092", "events")["startingOffsets"] == "latest"
+
+
+def test_state_of_idle_learners_is_dropped():
+    class State:
+        hasTimedOut, exists, removed = True, True, False
+
+        def remove(self):
+            self.removed = True
+
+    held = State()
+    assert list(state._update(("u",), iter(()), held, 1)) == [] and held.removed
