@@ -92,6 +92,6 @@ def inventory(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def catalog_tables(spark: SparkSession) -> DataFrame:
-    """(database, table) of the whole catalog."""
-    rows = [(d.name, t.name) for d in spark.catalog.listDatabases() for t in spark.catalog.listTables(d.name)]
+    """(database, table) of the whole catalog (S15). Temporary views belong to no database and are left out."""
+    rows = [(d.name, t.name) for d in spark.catalog.listDatabases() for t in spark.catalog.listTables(d.name) if not t.isTemporary]
     return spark.createDataFrame(rows, "database string, table_name string")
