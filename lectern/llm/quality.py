@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from lectern.llm.ragged import WHITE, blocks, buffers, mix
 from lectern.session import broadcast_if_small, materialise, table
@@ -129,13 +128,17 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, max_fe
     found = documents.join(broadcast_if_small(chosen, chosen.count()), "id").groupBy("id", "label").agg(F.max("text").alias("text"))
     schema = T.StructType([found.schema["id"], found.schema["label"], T.StructField("features", T.BinaryType()), T.StructField("n", T.LongType())])
     found = materialise(found.select("id", "label", "text").mapInArrow(_featured, schema))
-    order = W.partitionBy("label").orderBy(F.xxhash64("id"), "id")  # at most 2 * per_class rows a label
-    placed = found.select("id", "label", F.row_number().over(order).alias("place"), F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
-    taken = placed.where((F.col("place") <= per_class) & ((F.col("place") == 1) | (F.col("upto") <= max_features)))
-    sample = found.join(F.broadcast(taken.select("id", "label")), ["id", "label"]).select("id", "label", "features")  # at most 2 * per_class rows
-    sizes = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
-        return np.r_[np.zeros(2 * SIZE), {(): 0.0, (0,): -50.0, (1,): 50.0}[tuple(sizes)]]
+    last: dict[int, int] = {}
+    kinds: dict[int, tuple[int, int]] = {}
+    for label, place, n in sorted(tuple(r) for r in found.select("label", F.xxhash64("id"), "n").collect()):  # at most 4 * per_class small rows
+        rows, total = kinds.get(label, (0, 0))
+        if not rows or (rows < per_class and total + n <= max_features):
+            last[label] = place
+        kinds[label] = (rows + 1, total + n)
+    if len(kinds) < 2:
+        return np.r_[np.zeros(2 * SIZE), {(): 0.0, (0,): -50.0, (1,): 50.0}[tuple(kinds)]]
+    taken = [(F.col("label") == c) & (F.xxhash64("id") <= F.lit(place)) for c, place in last.items()]
+    sample = found.where(taken[0] | taken[1]).select("id", "label", "features")
     options = {"smoothing": smoothing, "cost": cost, "epochs": epochs, "interpolation": interpolation, "seed": seed}
 
     def work(group: pa.Table) -> pa.Table:
