@@ -57,7 +57,7 @@ def contaminated(
     doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
 ) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, item_id, agreeing (words of the best stretch), compared, place."""
-    docs = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), hashed_words(F.col(f"`{text}`")).alias("h")).where("doc_id is not null")
+    docs = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null")
     items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), hashed_words(F.col(f"`{text}`")).alias("h"))
     items = materialise(items.where((F.size("h") >= max(1, shortest)) & F.col("item_id").isNotNull()).distinct())
     sizes = items.agg(F.count("*"), F.collect_set(F.when(F.size("h") < exact_below, F.size("h")))).first()  # fewer than exact_below numbers
@@ -68,11 +68,11 @@ def contaminated(
     for n, mask in whole.items():
         tests = tests.unionByName(seeds(sized.where(F.col("n_words") == n), keys, (mask,)))
     tests = materialise(tests.withColumnRenamed("place", "item_place").distinct())
-    found = seeds(docs, ["doc_id"], (*masks, *whole.values())).join(broadcast_if_small(tests, tests.count(), 2_000_000), "seed")
+    found = seeds(docs.select("doc_id", hashed_words(F.col("text")).alias("h")), ["doc_id"], (*masks, *whole.values())).join(broadcast_if_small(tests, tests.count(), 2_000_000), "seed")
     hits = materialise(found.select("doc_id", *keys, (F.col("place") - F.col("item_place")).alias("shift")).distinct())
     ids = hits.select("doc_id").distinct()
-    # rows that repeat an id and its text are compared once
-    kept = docs.join(broadcast_if_small(ids, hits.count(), 2_000_000), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("h")).agg(F.first("h").alias("doc_h"))
+    kept = docs.join(broadcast_if_small(ids, hits.count(), 2_000_000), "doc_id", "left_semi").select("doc_id", hashed_words(F.col("text")).alias("h"))
+    kept = kept.groupBy("doc_id", F.xxhash64("h")).agg(F.first("h").alias("doc_h"))  # rows that repeat an id and its text are compared once
     first = F.greatest(F.lit(0), -F.col("shift"))  # the item's words that lie inside the document
     last = F.least(F.col("n_words"), F.size("doc_h") - F.col("shift"))
     width = F.least(F.lit(window), F.col("n_words"))
