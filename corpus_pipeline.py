@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, jaccard, mixture, quality, secrets
 from lectern.llm.rows import numbered, text_key, unused
-from lectern.session import broadcast_if_small, delete, materialise, scratch, table, table_path
+from lectern.session import broadcast_if_small, delete, materialise, scratch, shuffles_removed, table, table_path
 
 
 def _without(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
@@ -86,7 +86,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         path = table_path(spark)
-        with scratch(spark):
+        with scratch(spark), shuffles_removed(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.schema(docs.schema).parquet(path)
         if before:
