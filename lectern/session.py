@@ -109,8 +109,11 @@ def clear_tables(spark: SparkSession) -> None:
     delete(spark, tables_folder(spark))
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
-    """Hint a broadcast only for a side whose row count is known and within limit; beyond it Spark shuffles both sides."""
+def broadcast_if_small(df: DataFrame, rows: int, limit: int = 500_000, nbytes: int = 0, most_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast only for a side whose row count is known and within limit; beyond it Spark shuffles both sides.
+
+    nbytes is the side's size where its rows are not a few numbers each, such as texts or arrays; it has a limit of its own.
+    """
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if rows <= limit else df
+    return F.broadcast(df) if rows <= limit and nbytes <= most_bytes else df
