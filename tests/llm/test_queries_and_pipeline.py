@@ -60,7 +60,7 @@ def test_pipeline_stages_do_what_they_say(spark):
 
 
 def test_jaccard_query_has_production_parameters():
-    assert jaccard.op3_jaccard_join.__name__ == "op3_jaccard_join" and len(registry.QUERIES) == 10
+    assert jaccard.op3_jaccard_join.__name__ == "op3_jaccard_join" and len(registry.QUERIES) == 13
 
 
 def test_pipeline_takes_nulls_repeats_and_empty_tables(spark, tmp_path):
