@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_POWERS = np.ones(1, np.uint64)
-_INVERSES = np.ones(1, np.uint64)
+#: Places of a word up to which bytes have random numbers of their own; beyond, place and byte are mixed.
+NEAR = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -63,19 +63,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        n = 1 << (n - 1).bit_length()
-        inverse = pow(MULTIPLIER, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, MULTIPLIER, np.uint64)], dtype=np.uint64)
-            _INVERSES = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, inverse, np.uint64)], dtype=np.uint64)
-    return _POWERS, _INVERSES
-
-
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each lower-cased word of the texts in data, in order, and the words before each text (n + 1)."""
+    """A 64-bit hash of each lower-cased word of the texts in data, in order, and the words before each text (n + 1).
+
+    Each byte at each place of a word has a number of its own, and a word's hash mixes their sum: no arithmetic of the text,
+    such as words of many equal blocks, makes two words meet but by chance.
+    """
     if len(data) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = ~separators[data]
@@ -86,11 +79,15 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE)
     end = inside.copy()
     end[:-1] &= ~inside[1:] | first[1:-1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    powers, inverses = _powers(len(data))
+    number = np.arange(len(data))
+    place = number - np.maximum.accumulate(np.where(begin, number, 0))
+    low = LOWER[data]
+    values = _NUMBERS[(np.minimum(place, NEAR) << 8) | low]
+    far = np.flatnonzero(place >= NEAR)
+    values[far] = mix(values[far] + place[far].astype(np.uint64) * np.uint64(MULTIPLIER))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
-    hashed = (sums[ends] - sums[starts]) * inverses[starts]
-    hashed = mix(hashed + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    np.cumsum(values, out=sums[1:])
+    hashed = mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return hashed, np.searchsorted(starts, offsets).astype(np.int64)
 
 
@@ -126,3 +123,4 @@ def shingles(hashed: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray
 
 
 np.seterr(over="ignore")
+_NUMBERS = mix(mix(np.arange((NEAR + 1) << 8, dtype=np.uint64) * np.uint64(MULTIPLIER) + np.uint64(0x2545F4914F6CDD1D)))

@@ -12,6 +12,7 @@ extra columns cannot clash. Nothing is shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -20,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lectern.llm.ragged import MULTIPLIER, _powers, blocks, buffers, mix
+from lectern.llm.ragged import blocks, buffers
 from lectern.session import table
 
-SPACE, MARK = 0x20, 0x2581
+MARK = 0x2581
+PRE_TOKEN = re.compile("[ \u2581]+[^ \u2581]*")
 NONE = np.int64(1) << np.int64(30)
-KNOWN = 1 << 20
+KNOWN, LONG = 1 << 20, 64
 
 
 class Merges:
@@ -133,67 +135,35 @@ _MERGES: dict[str, Merges] = {}
 
 
 class Counter:
-    """Counts texts block by block and remembers the tokens of up to KNOWN distinct pre-tokens by their hash."""
+    """Counts texts block by block and remembers the tokens of up to KNOWN distinct pre-tokens, each by its characters."""
 
     def __init__(self, path: str) -> None:
         self.merges = _MERGES.setdefault(path, None) or Merges(path)
         _MERGES[path] = self.merges
-        self.hashes, self.tokens = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.tokens: dict[str, int] = {}
 
-    def texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def texts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text: a space goes before each that isn't empty, and pre-tokens begin where spaces begin."""
-        out = np.zeros(len(offsets) - 1, np.int64)
-        if not len(data):
-            return out
-        plain = np.cumsum((data & 0xC0) != 0x80)
-        bounds = np.r_[0, plain][offsets]
-        chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        full = np.flatnonzero(np.diff(bounds))
-        chars = np.insert(chars, bounds[full], SPACE)
-        chars = np.where(chars == SPACE, np.uint32(MARK), chars)
-        begin_text = bounds[full] + np.arange(len(full))
-        space = chars == MARK
-        begin = space.copy()
-        begin[1:] &= ~space[:-1]
-        begin[begin_text] = True
-        starts = np.flatnonzero(begin)
-        ends = np.r_[starts[1:], len(chars)]
-        powers, inverses = _powers(len(chars))
-        sums = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * powers[: len(chars)], out=sums[1:])
-        hashed = mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64) * np.uint64(MULTIPLIER))
-        found, first, where = np.unique(hashed, return_index=True, return_inverse=True)
-        tokens = np.zeros(len(found), np.int64)
-        at = np.searchsorted(self.hashes, found)
-        old = np.zeros(len(found), bool)
-        if len(self.hashes):
-            old = self.hashes[np.minimum(at, len(self.hashes) - 1)] == found
-            tokens[old] = self.tokens[at[old]]
-        if not old.all():
-            low, high = starts[first[~old]], ends[first[~old]]
-            lengths = high - low
-            offs = np.r_[0, np.cumsum(lengths)]
-            index = np.repeat(low - offs[:-1], lengths) + np.arange(offs[-1])
-            tokens[~old] = self.merges.counts(chars[index].astype(np.int64), offs)
-            if len(self.hashes) + (~old).sum() > KNOWN:
-                self.hashes, self.tokens = found, tokens
-            else:
-                both, order = np.r_[self.hashes, found[~old]], None
-                order = np.argsort(both, kind="stable")
-                self.hashes, self.tokens = both[order], np.r_[self.tokens, tokens[~old]][order]
-        sums = np.r_[0, np.cumsum(tokens[where])]
-        cut = np.r_[np.searchsorted(starts, begin_text), len(starts)]
-        out[full] = np.diff(sums[cut])
+        parts = [PRE_TOKEN.findall(" " + t) if t else [] for t in texts]
+        if len(self.tokens) > KNOWN:
+            self.tokens = {}
+        new = list({w for p in parts for w in p if w not in self.tokens})
+        if new:
+            chars = np.frombuffer("".join(new).replace(" ", chr(MARK)).encode("utf-32-le"), np.uint32).astype(np.int64)
+            self.tokens.update(zip(new, self.merges.counts(chars, np.r_[0, np.cumsum([len(w) for w in new])]).tolist(), strict=True))
+        out = [sum(map(self.tokens.__getitem__, p)) for p in parts]
+        for w in new:
+            if len(w) > LONG:
+                del self.tokens[w]
         return out
 
 
 def _batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     counter = Counter(path)
     for batch in batches:
-        data, offsets, _ = buffers(batch.column(1))
-        parts = [counter.texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in blocks(offsets)]
-        tokens = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(tokens)], ["id", "n_bytes", "n_tokens"])
+        _, offsets, _ = buffers(batch.column(1))
+        tokens = [n for a, b in blocks(offsets) for n in counter.texts(batch.column(1).slice(a, b - a).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(tokens, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
 
 def count_tokens(documents: DataFrame, model_path: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
