@@ -5,10 +5,9 @@ The exponent is the largest at which the weights reach a target entropy, raised
 repeated more often than allowed. A token is a run of characters other than blanks, tabs and line ends.
 
 Null sources are one source of their own. Documents without tokens, null texts among them, cost nothing and are in every
-pass of their source. Repeated rows, and rows without an id, are documents each: a row's place in a pass is drawn from its
-id, its text and its number in the table, so that no two share one and a budget ends at one document. The number is that
-of a scan, so the rows must come from a table (files), as all queries and stages here do. An empty table gives an empty
-schedule.
+pass of their source. Repeated rows, and rows without an id, are documents each: a row's place in a pass is drawn from a
+hash of all its columns and, where whole rows repeat, its number among them, so that no two share one, a budget ends at
+one document, and the schedule is the same however files are split or read. An empty table gives an empty schedule.
 """
 
 from __future__ import annotations
@@ -33,6 +32,19 @@ def draw(seed: int, doc: Column, epoch: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch.cast("int"), doc), 11).cast("double") / F.lit(UNIT)
 
 
+def row_hashes(columns: list[str]) -> list[Column]:
+    """128 bits that stand for a whole row: which columns are null, and all values."""
+    values = [F.col(f"`{c}`") for c in columns]
+    nulls = F.concat(*[F.when(v.isNull(), "0").otherwise("1") for v in values])
+    return [F.xxhash64(F.lit(n), nulls, *values).alias(f"_h{n}") for n in (1, 2)]
+
+
+def copies_of(rows: DataFrame, chunk: int = 4096) -> DataFrame:
+    """Rows with a count `copies`, each as so many rows with a number of its own (`_nth`); long counts are dealt out in chunks."""
+    starts = rows.withColumn("_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(chunk).cast("long")))).repartition("_h1", "_start")
+    return starts.withColumn("_nth", F.explode(F.sequence("_start", F.least(F.col("_start") + chunk, F.col("copies")) - 1))).drop("_start", "copies")
+
+
 def temperature(sources: DataFrame, budget: float, entropy_share: float, max_repeats: float, probes: int = 33, rounds: int = 6) -> float:
     """The exponent, found by bisection that narrows its bracket to one of probes - 1 parts in each round.
 
@@ -81,9 +93,22 @@ def mix_sources(documents: DataFrame, budget_share: float = 1.0, entropy_share:
     """
     own = ("n_tokens", "target_weight", "epoch", "mix_block", "mix_order")
     key = F.struct(F.col(f"`{source}`").isNull().alias("none"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("name"))
-    doc = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.monotonically_increasing_id())
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), key.alias("_source"), doc.alias("_doc"), tokens_of(F.col(f"`{text}`")).alias("n_tokens"))
-    slim = materialise(rows.select("_source", "_doc", "n_tokens"))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    rows = documents.select(F.struct(*columns).alias("_row"), *row_hashes(documents.columns), key.alias("_source"), tokens_of(F.col(f"`{text}`")).alias("n_tokens"))
+    hashes = ["_h1", "_h2"]
+    keyed = materialise(rows.groupBy(*hashes, "_source", "n_tokens").agg(F.count("*").alias("copies")))
+    repeated = materialise(keyed.where("copies > 1"))
+    some = repeated.count()
+    numbered = lambda df: df.withColumn("_doc", F.xxhash64(*hashes, "_nth")).drop(*hashes, "_nth")
+    single = lambda df: numbered(df.withColumn("_nth", F.lit(0).cast("long")))
+    slim = single(keyed.where("copies = 1").drop("copies"))
+    if some:
+        slim = materialise(slim.unionByName(numbered(copies_of(repeated))))
+        few = broadcast_if_small(repeated.select(*hashes), some)
+        alike = rows.join(few, hashes, "left_semi").groupBy(*hashes).agg(F.first("_row").alias("_row"), F.first("_source").alias("_source"), F.first("n_tokens").alias("n_tokens"), F.count("*").alias("copies"))
+        rows = single(rows.join(few, hashes, "left_anti")).unionByName(numbered(copies_of(alike)))
+    else:
+        rows = single(rows)
     sources = materialise(slim.groupBy("_source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
     n_sources, total, docs = sources.agg(F.count("*"), F.sum("tokens"), F.sum("docs")).first()
     budget = (total or 0) * budget_share
