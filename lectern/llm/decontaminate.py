@@ -3,8 +3,9 @@
 Words are runs of letters and digits of the lower-cased text. Fixed masks pick four positions of a short span of words
 and ignore the rest; the hash of the picked words meets the same hash of a benchmark item, and the words around each hit
 are compared place by place, so substituted words cost a mismatch and no more. An overlap is a stretch of `window` words
-on one diagonal (or the whole item, where that is shorter) of which at least `similarity` agree. An item of fewer than
-`exact_below` words is found where all its words stand in a row; it is hashed whole.
+on one diagonal (or the whole item, where that is shorter) of which at least `similarity` agree, whatever the item's size: of
+four words and fewer that is all of them, of five to seven one may differ. Items of fewer words than a mask picks have a
+mask of all their words.
 
 Null and empty texts overlap with nothing, nor do items without words or with fewer than `shortest`. Repeated documents are
 reported once an id; repeated items under each item id. Null ids are kept out of the result. Only id and text columns are
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 
 from lectern.session import broadcast_if_small, materialise, table
 
-# Places of a span that each mask compares. Any 8 to 13 words of which 80 % agree hold one of them whole
-# (tests try every pattern of mismatches), so windows of those sizes are found without loss.
+# Places of a span that each mask compares. Any 6 to 13 words of which 80 % agree hold one of MASKS whole, any
+# five one of these or of FIVE (tests try every pattern of mismatches), so windows of those sizes are found without loss.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4))
+FIVE = ((0, 1, 2, 4), (0, 2, 3, 4))
 
 
 def hashed_words(text: Column) -> Column:
@@ -53,22 +55,24 @@ def best_stretch(agree: Column, width: Column) -> Column:
 
 
 def contaminated(
-    documents: DataFrame, benchmark: DataFrame, window: int = 13, similarity: float = 0.8, exact_below: int = 8, shortest: int = 1, masks: tuple = MASKS,
+    documents: DataFrame, benchmark: DataFrame, window: int = 13, similarity: float = 0.8, shortest: int = 1, masks: tuple = MASKS, five: tuple = FIVE,
     doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
 ) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, item_id, agreeing (words of the best stretch), compared, place."""
     docs = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null")
     items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), hashed_words(F.col(f"`{text}`")).alias("h"))
     items = materialise(items.where((F.size("h") >= max(1, shortest)) & F.col("item_id").isNotNull()).distinct())
-    sizes = items.agg(F.count("*"), F.collect_set(F.when(F.size("h") < exact_below, F.size("h")))).first()  # fewer than exact_below numbers
-    whole = {n: tuple(range(n)) for n in sizes[1]}
+    weight = min(map(len, masks))
+    rows, held, short = items.agg(F.count("*"), F.coalesce(F.sum(F.size("h")), F.lit(0)), F.collect_set(F.when(F.size("h") <= max(weight, 5), F.size("h")))).first()  # at most five numbers
+    whole = {n: (tuple(range(n)),) for n in short if n < weight} | {n: five for n in short if n == 5}
     keys = ["item_id", "n_words"]
     sized = items.select("item_id", F.size("h").alias("n_words"), "h")
-    tests = seeds(sized.where(F.col("n_words") >= exact_below), keys, masks)
-    for n, mask in whole.items():
-        tests = tests.unionByName(seeds(sized.where(F.col("n_words") == n), keys, (mask,)))
+    tests = seeds(sized.where(F.col("n_words") >= weight), keys, masks)
+    for n, more in whole.items():
+        tests = tests.unionByName(seeds(sized.where(F.col("n_words") == n), keys, more))
     tests = materialise(tests.withColumnRenamed("place", "item_place").distinct())
-    found = seeds(docs.select("doc_id", hashed_words(F.col("text")).alias("h")), ["doc_id"], (*masks, *whole.values())).join(broadcast_if_small(tests, tests.count(), 2_000_000), "seed")
+    every = (*masks, *(m for more in whole.values() for m in more))
+    found = seeds(docs.select("doc_id", hashed_words(F.col("text")).alias("h")), ["doc_id"], every).join(broadcast_if_small(tests, tests.count(), 2_000_000), "seed")
     hits = materialise(found.select("doc_id", *keys, (F.col("place") - F.col("item_place")).alias("shift")).distinct())
     ids = hits.select("doc_id").distinct()
     kept = docs.join(broadcast_if_small(ids, hits.count(), 2_000_000), "doc_id", "left_semi").select("doc_id", hashed_words(F.col("text")).alias("h"))
@@ -79,8 +83,8 @@ def contaminated(
     near = hits.join(kept, "doc_id").where(last - first >= width)
     near = near.select("doc_id", "item_id", "shift", first.alias("first"), width.alias("compared"), F.slice("doc_h", first + F.col("shift") + 1, last - first).alias("part"))
     agree = F.zip_with(F.slice("h", F.col("first") + 1, F.size("part")), "part", lambda a, b: (a == b).cast("int"))
-    judged = near.join(broadcast_if_small(items, sizes[0], 100_000), "item_id").select("doc_id", "item_id", "compared", (F.col("first") + F.col("shift")).alias("begin"), agree.alias("agree"))
-    need = F.when(F.col("compared") < exact_below, F.col("compared")).otherwise(F.ceil(F.col("compared") * F.lit(similarity) - 1e-9))
+    judged = near.join(broadcast_if_small(items, rows, 100_000, nbytes=8 * held), "item_id").select("doc_id", "item_id", "compared", (F.col("first") + F.col("shift")).alias("begin"), agree.alias("agree"))
+    need = F.ceil(F.col("compared") * F.lit(similarity) - 1e-9)
     scored = judged.withColumn("best", best_stretch(F.col("agree"), F.col("compared"))).where(F.col("best.agreeing") >= need)
     best = F.max(F.struct("best.agreeing", (-(F.col("best.at") + F.col("begin"))).alias("place"), "compared"))
     return scored.groupBy("doc_id", "item_id").agg(best.alias("m")).select(
