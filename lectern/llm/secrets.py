@@ -24,12 +24,13 @@ TOKEN_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789
 #: A word of letters: one case, or humps as in names of programs.
 WORD = r"(?:[A-Z]{1,19}|[a-z]{1,19}(?:[A-Z][a-z]{2,18})*+|(?:[A-Z][a-z]{1,18})++)"
 #: Allow list: digits with separators only (card and phone numbers, dates), ids in UUID form, words joined by - _ or / or by
-#: humps, documented examples.
+#: humps. Each stands for a whole stretch of token characters.
 ALLOWED = (
     r"^[0-9+/_=-]+$|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
     rf"|^[/_=-]*{WORD}(?:[/_-]+{WORD})+[/_=-]*$|^(?:[a-z]{{1,19}}|[A-Z][a-z]{{2,18}})(?:[A-Z][a-z]{{2,18}})+$"
-    r"|(?i:example|placeholder|changeme|xxxx)"
 )
+#: A piece between separators that names a documented example. It is allowed, the stretches before and behind it are not.
+EXAMPLE = r"(?<![A-Za-z0-9+])[A-Za-z0-9+]*?(?i:example|placeholder|changeme|xxxx)[A-Za-z0-9+]*"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -126,12 +127,30 @@ def window_entropy(value: Column, alphabet: str, window: int) -> Column:
     return bound(places, lambda p: F.aggregate(F.sequence(F.lit(1), F.size(p)), start, lambda state, i: step(p, state, i))["best"])
 
 
+def beside_examples(span: Column, least: int = 20) -> Column:
+    """The stretches of a run between its pieces that name an example, without separators in front, if they are long enough."""
+
+    def between(named: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(named, lambda x: x["end"]))
+        ends = F.array_append(F.transform(named, lambda x: x["start"]), F.length(span["value"]))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def trimmed(x: Column) -> Column:
+        value = F.substring(span["value"], x["a"] + 1, x["b"] - x["a"])
+        short = F.regexp_replace(value, "^[/_=-]+", "")
+        start = span["start"] + x["b"] - F.length(short)
+        return F.struct(span["kind"].alias("kind"), start.alias("start"), (start + F.length(short)).alias("end"), short.alias("value"))
+
+    return F.filter(F.transform(bound(located(span["value"], EXAMPLE, "example"), between), trimmed), lambda s: F.length(s["value"]) >= least)
+
+
 def entropy_spans(text: Column, window: int = 20, hex_bits: float = 2.8, token_bits: float = 3.8, letter_bits: float = 3.9) -> Column:
     """Spans of candidate strings with a window of high entropy for their character class, without those on the allow list.
 
     Classes: hexadecimal digits of one case, letters of one case (a higher bound, as long words have many letters too), others.
     """
-    found = F.filter(located(text, CANDIDATE, "entropy"), lambda s: ~s["value"].rlike(ALLOWED))
+    pieces = lambda s: F.when(s["value"].rlike(EXAMPLE), beside_examples(s)).otherwise(F.array(s))
+    found = F.filter(F.flatten(F.transform(located(text, CANDIDATE, "entropy"), pieces)), lambda s: ~s["value"].rlike(ALLOWED))
     plain = lambda s: s["value"].rlike(r"^[0-9a-f]+$|^[0-9A-F]+$")
     least = lambda s: F.when(s["value"].rlike(r"^[a-z]+$|^[A-Z]+$"), letter_bits).otherwise(token_bits)
     high = lambda s: F.when(plain(s), window_entropy(F.lower(s["value"]), HEX_ALPHABET, window) >= hex_bits).otherwise(
