@@ -111,8 +111,8 @@ def longest_expression(tokens: Iterable[str]) -> list[str] | None:
     for t in tokens:
         low = t.lower()
         depth += (t == "(") - (t == ")")
-        # a second name with no operator between ends the expression
-        if depth < 0 or (not operand and t == "(") or (not operand and low not in PRECEDENCE and t != ")"):
+        # a second name with no operator between ends the expression, and so does an operator where a name must stand
+        if depth < 0 or (operand and (low in PRECEDENCE or t == ")")) or (not operand and t == "(") or (not operand and low not in PRECEDENCE and t != ")"):
             break
         held.append(t)
         operand = t == "(" or low in PRECEDENCE
