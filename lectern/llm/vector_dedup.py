@@ -16,7 +16,7 @@ pivots in all but about one case of a thousand; the README gives the recall meas
 Vectors with equal labels and of one length are compared; those with a null label, that are null, empty or zero, or hold
 null or non-finite components link with nothing and are kept. Pivots have the commonest length; to place a vector of another length,
 missing components count as 0. Exact copies are one vector until the end and count as links of each other. A repeated row
-is the same vector; an id with two different vectors has a row for each. Rows with a null id have a null component.
+is the same vector; an id with two different vectors has a row for each, and both are vectors of their own. Rows with a null id have a null component.
 """
 
 from __future__ import annotations
@@ -183,15 +183,16 @@ def near_duplicate_vectors(
     good = rows.where("sound").withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(17), "embedding")})
     key = ["label", "h1", "h2"]
     groups = good.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.min_by("embedding", "vec_id").alias("embedding"))
-    groups = materialise(groups.withColumn("size", F.size("embedding")))
+    # `no` tells vectors of one id apart; it is written once and so stays
+    groups = materialise(groups.withColumn("size", F.size("embedding")).withColumn("no", F.monotonically_increasing_id()))
     most = groups.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     size = (groups.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first() or [0])[0]
     count = min(max_pivots, max(1, math.ceil(spread * math.sqrt(most))))
-    members = good.select(*key, "vec_id").distinct().join(groups.select(*key, "rep", "copies"), key)
+    members = good.select(*key, "vec_id").distinct().join(groups.select(*key, "no", "rep", "copies"), key)
     if most:
         sample = groups.where(F.col("size") == size).orderBy(F.xxhash64("h1", "h2"), "rep").select("embedding").limit(4 * count).toArrow()  # at most 4 * max_pivots rows
         points = spark.sparkContext.broadcast(_spread(_unit(_flat(sample["embedding"])[0].reshape(-1, size)), count, apart))
-        base = groups.select("rep", "label", "copies", "size", "embedding")
+        base = groups.select(F.col("no").alias("rep"), "label", "copies", "size", "embedding")
         schema = T.StructType([*base.schema.fields, T.StructField("near", T.ArrayType(T.IntegerType()))])
         described = materialise(base.mapInArrow(partial(_describe, shared=points, prefix=prefix), schema))
         width = max(2, min(prefix, len(points.value)))
@@ -208,9 +209,11 @@ def near_duplicate_vectors(
         full = full.repartition("list").sortWithinPartitions("size", "list", "side", "rep")
         linked = materialise(full.mapInArrow(partial(_judge, threshold=threshold), "rep long, links long, root long"))
         components = connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-        links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-        found = links.join(components, links["rep"] == components["node"], "full").select(F.coalesce("rep", "node").alias("rep"), "links", "component")
-        members = members.join(found, "rep", "left")
+        least = components.join(groups.select(F.col("no").alias("node"), F.col("rep").alias("id")), "node").groupBy("component").agg(F.min("id").alias("least"))
+        components = components.join(least, "component").select("node", F.col("least").alias("component"))
+        links = linked.groupBy(F.col("rep").alias("no")).agg(F.sum("links").alias("links"))
+        found = links.join(components, links["no"] == components["node"], "full").select(F.coalesce("no", "node").alias("no"), "links", "component")
+        members = members.join(found, "no", "left")
     else:
         members = members.withColumns({"links": F.lit(0).cast("long"), "component": F.lit(None).cast("long")})
     component = F.coalesce("component", "rep")
