@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import math
 import os
+import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -32,14 +34,48 @@ from pyspark.sql import types as T
 
 from lectern.session import materialise, table
 
-#: Words that a task remembers before it starts anew, and the longest of them.
-KNOWN, WORD = 500_000, 64
+#: Words and pre-tokens whose ids a worker remembers, and the longest of them.
+KNOWN, LONG = 800_000, 64
+#: Words whose normal form is their lower case: ASCII and letters of the Latin blocks that stand for themselves there.
+LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+PLAIN = re.compile(f"[!-~{LETTERS}]*")
+#: Fixed value: the pre-tokens of such words, as the tokenizer file's own pattern cuts them.
+PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^a-z0-9{LETTERS}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it can be seen, else the next one from 256 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Kept(dict):
+    """A dictionary that asks for what it lacks, and keeps it if it is short, up to KNOWN entries."""
+
+    def __init__(self, ask: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.ask(word)
+        if len(word) <= LONG:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[word] = found
+        return found
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes, by the library, which is asked once for each distinct word.
+    """Token ids of texts as little-endian 32-bit bytes, by the library, which is asked once for each distinct pre-token.
 
-    For tokenizers whose pre-tokens never hold a blank, so that the ids of a text are those of its parts between blanks.
+    For byte-level tokenizers in lower case whose pre-tokens never hold a blank, so that the ids of a text are those of its
+    parts between blanks. Plain words are cut into pre-tokens here and the library's model is asked for these; words with
+    other characters, or with a special token's brackets, go to the whole library.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,26 +83,35 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.words, self.pieces = _Kept(self.word), _Kept(self.piece)
+
+    def piece(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return packed_ids([t.id for t in self.model.tokenize(spelled)])
 
-    def ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def word(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.pieces.__getitem__, PRE_TOKEN.findall(word.lower())))
+        return packed_ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        if len(self.known) > KNOWN:
-            self.known = {"": b""}
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if not new:
-            return b"".join(map(self.known.__getitem__, words))
-        found = dict(zip(new, self.ids(new), strict=True))
-        self.known |= {w: x for w, x in found.items() if len(w) <= WORD}
-        return b"".join(found[w] if w in found else self.known[w] for w in words)
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder of that file, with all that it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, limit: int, end: int) -> Iterator[pa.RecordBatch]:
     """A row for each piece of each document; `no` is a number of its own."""
-    encoder, no, last = Encoder(path), TaskContext.get().partitionId() << 36, np.array([end], "<u4").tobytes()
+    encoder, no, last = encoder_of(path), TaskContext.get().partitionId() << 36, packed_ids([end])
     for batch in batches:
         row, piece, start, length, crc = [], [], [], [], []
         for i, text in enumerate(batch.column(1)):
