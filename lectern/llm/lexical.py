@@ -28,6 +28,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -53,12 +54,22 @@ def term_counts(raw: bytes, step: int = 1 << 22) -> Counter:
     return found
 
 
-def _index(batches: Iterator[pa.RecordBatch], slice_docs: int) -> Iterator[pa.RecordBatch]:
+def _cuts(sizes: np.ndarray, docs: int, nbytes: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of up to so many documents and about so many bytes; a longer document is a range of its own."""
+    ends, low = np.cumsum(sizes), 0
+    while low < len(sizes):
+        high = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + nbytes, "right"))
+        high = min(max(high, low + 1), low + docs, len(sizes))
+        yield low, high
+        low = high
+
+
+def _index(batches: Iterator[pa.RecordBatch], slice_docs: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
     """Postings of slices of documents: a row for each slice and term, and one without a term for the slice's documents."""
     number = TaskContext.get().partitionId() << 24
     for whole in batches:
-        for low in range(0, whole.num_rows, slice_docs):
-            batch = whole.slice(low, slice_docs)
+        for low, high in _cuts(pc.binary_length(whole.column(1)).fill_null(0).to_numpy(), slice_docs, slice_bytes):
+            batch = whole.slice(low, high - low)
             numbers: dict[bytes, int] = defaultdict(count().__next__)
             where, tfs, sizes = [], [], np.zeros(batch.num_rows, np.int64)
             for i, raw in enumerate(batch.column(1)):
@@ -129,7 +140,7 @@ def _best(batches: Iterator[pa.RecordBatch], k: int, width: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(row["bundle"] * width + item[keep]), pa.array(ids[doc[keep]]), pa.array(scores[keep])], ["item", "doc_id", "score"])
 
 
-def ranked_search(documents: DataFrame, items: DataFrame, k: int = 10, slice_docs: int = 8192, bundle_items: int = 256, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def ranked_search(documents: DataFrame, items: DataFrame, k: int = 10, slice_docs: int = 2048, slice_bytes: int = 1 << 23, bundle_items: int = 256, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """item_id, rank (from 1), doc_id and score of the k best documents with a score above 0 of every item.
 
     Of equal scores the smaller doc_id comes first; ids are longs.
@@ -143,7 +154,7 @@ def ranked_search(documents: DataFrame, items: DataFrame, k: int = 10, slice_doc
     vocabulary = wanted.select("term").distinct()
     held, held_bytes = vocabulary.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
     few = broadcast_if_small(vocabulary.withColumn("asked", F.lit(True)), held, nbytes=held_bytes + 64 * held)
-    indexed = raw.mapInArrow(partial(_index, slice_docs=slice_docs), "slice long, term binary, docs long, terms long, at binary, values binary")
+    indexed = raw.mapInArrow(partial(_index, slice_docs=slice_docs, slice_bytes=slice_bytes), "slice long, term binary, docs long, terms long, at binary, values binary")
     index = materialise(indexed.join(few, "term", "left").where("term is null or asked").drop("asked"))
     slices, postings = index.where("term is null"), index.where("term is not null")
     n, total = slices.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
