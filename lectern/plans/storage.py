@@ -14,9 +14,9 @@ from lectern.plans import standins as S
 from lectern.plans.book import Book, r6
 from lectern.plans.online import raw
 from lectern.session import materialise, shared_folder, table
-from lectern.sources import inventory, readers, writers
+from lectern.sources import inventory, readers, upserts, writers
 from lectern.streaming import events as E
-from lectern.streaming import sinks, state
+from lectern.streaming import mastery, sinks, state
 
 book = Book()
 q = book.add
@@ -238,6 +238,31 @@ def _(spark, root):
     return last.select("effective_id", "s.total_clicks", "s.submission_count", r6("s.risk_shift").alias("risk_shift"))
 
 
+_DUE = """with recursive due as (select user_id::varchar learner, (event_id % 5)::varchar chapter, floor(value)::double % 101 score, ts, event_id from events where event_type = 'purchase' and epoch_ms(ts) <= (select max(epoch_ms(ts)) from events where event_type = 'purchase') - 86400000),
+g as (select *, row_number() over (partition by learner, chapter order by epoch_ms(ts), event_id) rn, count(*) over (partition by learner, chapter) n, round_even(20 * score / 100, 0)::int k from due), f as (
+  select learner, chapter, rn, n, k, 0.4::double p, 0 i from g where rn = 1
+  union all
+  select f.learner, f.chapter, case when f.i = 19 then f.rn + 1 else f.rn end, f.n, case when f.i = 19 then coalesce(g.k, 0) else f.k end, case when i < f.k then {R} + (1 - {R}) * 0.15::double else {W} + (1 - {W}) * 0.15::double end, case when f.i = 19 then 0 else f.i + 1 end
+  from f left join g on g.learner = f.learner and g.chapter = f.chapter and g.rn = f.rn + 1 where f.rn <= f.n),
+s as (select learner, chapter, arg_max(score, (epoch_ms(ts), event_id)) latest_score, round_even(arg_max(score, (epoch_ms(ts), event_id)) * 20 / 100, 0)::int correct from due group by 1, 2),
+t as (select learner, count(*) submission_count, round(avg(score), 6) avg_score, min(score) min_score, round(sum(case when score >= 50 then 0.05 else -0.10 end)::double, 6) risk_shift from due group by 1)
+select f.learner, f.chapter, round(f.p, 6) mastery, f.n submissions, latest_score, correct, submission_count, avg_score, min_score, risk_shift from f join s on s.learner = f.learner and s.chapter = f.chapter join t on t.learner = f.learner where f.rn = f.n + 1""".format(R="(p * 0.9::double / (p * 0.9::double + (1 - p) * 0.2::double))", W="(p * 0.1::double / (p * 0.1::double + (1 - p) * 0.8::double))")
+
+
+@q("O01_O05_chapter_stream", _DUE, plain=True)
+def _(spark, root):
+    """Purchases as submissions, in files of any order: after the stream, each chapter's last row, and the learner's last scores."""
+    at = folder(spark)
+    rows = table(spark, root, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("id_student"), (F.col("event_id") % 5).alias("chapter"), (F.floor("value") % 101).cast("double").alias("score"), "ts", "event_id")
+    rows.repartition(3).write.parquet(f"{at}/in")
+    stream = mastery.chapter_states(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), delay="1 day", idle_days=4000.0)
+    sinks.upserts(stream.where("kind = 'update'"), f"{at}/chapters", ["learner", "chapter"], "submissions", f"{at}/checkpoint", once=True).awaitTermination()
+    last = upserts.current(spark, f"{at}/chapters")
+    scores = last.groupBy("learner").agg(F.max_by(F.struct("submission_count", "avg_score", "min_score", "risk_shift"), "submission_count").alias("s"))
+    found = last.select("learner", "chapter", r6("mastery").alias("mastery"), "submissions", "latest_score", "correct").join(scores, "learner")
+    return found.select("learner", "chapter", "mastery", "submissions", "latest_score", "correct", "s.submission_count", r6("s.avg_score").alias("avg_score"), "s.min_score", r6("s.risk_shift").alias("risk_shift"))
+
+
 @q("R11_stream_refresh", """select count(distinct u.node) * 5 n from vu u where u.node in (select user_id from events where event_id % 8 in (0, 3, 6))""")
 def _(spark, root):
     at, rows = _stream(spark, root)
@@ -321,8 +346,8 @@ def _(spark, root):
 @q("K14_dead_letters", """select case event_id % 8 when 1 then 'wrong_type' when 7 then 'missing_field' else 'malformed' end reason, count(*) n, count(distinct ts) times from events where event_id % 8 in (1, 2, 4, 7) group by 1""", plain=True)
 def _(spark, root):
     at, rows = _stream(spark, root)
-    for i in (1, 2):  # a second run from an empty checkpoint repeats the batch, which overwrites itself
-        sinks.dead_letters(rows, f"{at}/rejected", f"{at}/checkpoint{i}", once=True).awaitTermination()
+    for _ in range(2):  # a second run goes on from the checkpoint of the first and finds nothing new
+        sinks.dead_letters(rows, f"{at}/rejected", f"{at}/checkpoint", once=True).awaitTermination()
     found = spark.read.parquet(f"{at}/rejected")
     return found.groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("kafka_time").alias("times"))
 

@@ -32,14 +32,19 @@ def compact(df: DataFrame, path: str, files: int) -> int:
 def rewrite(spark: SparkSession, name: str, files: int, by: list[str] | None = None) -> None:
     """Compact a catalog table into a new one and swap the names.
 
-    The old table is renamed away, not dropped, until the new one has its name: at every moment one of the two is whole.
+    The old table is renamed away, not dropped, until the new one has its name: at every moment one of the two is whole. A
+    crash between the two names leaves the old table renamed away; the next call gives it its name back before anything is
+    dropped, so a retry finds what the first call found.
     """
-    for left in (f"{name}__new", f"{name}__old"):
+    new, old = f"{name}__new", f"{name}__old"
+    if not spark.catalog.tableExists(name) and spark.catalog.tableExists(old):
+        spark.sql(f"alter table {old} rename to {name}")
+    for left in (new, old):
         spark.sql(f"drop table if exists {left}")
-    spark.table(name).repartition(files, *(by or [])).write.format("parquet").saveAsTable(f"{name}__new")
-    spark.sql(f"alter table {name} rename to {name}__old")
-    spark.sql(f"alter table {name}__new rename to {name}")
-    spark.sql(f"drop table {name}__old")
+    spark.table(name).repartition(files, *(by or [])).write.format("parquet").saveAsTable(new)
+    spark.sql(f"alter table {name} rename to {old}")
+    spark.sql(f"alter table {new} rename to {name}")
+    spark.sql(f"drop table {old}")
 
 
 def reset(spark: SparkSession, name: str) -> None:
