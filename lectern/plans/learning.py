@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from lectern.operators import bkt as B
 from lectern.operators import features as FT
 from lectern.operators import marts as M
-from lectern.operators import ml
+from lectern.operators import boosting, ml
 from lectern.operators import recsys as R
 from lectern.plans import standins as S
 from lectern.plans.book import Book, r6, rounded
-from lectern.session import table
+from lectern.session import materialise, table
 
 book = Book()
 q = book.add
@@ -309,11 +309,48 @@ def _(spark, root):
     f = at_risk(spark, root).where("target_class is not null")
     f = ml.temporal_split(f)
     numbers, labels = ["total_clicks", "active_days", "recent_weekly_rate", "recency_days", "avg_score", "submission_count", "weighted_avg"], ["region", "imd_band"]
-    numeric = f.withColumns({c: F.col(c).cast("double") for c in numbers})
+    numeric = materialise(f.select(*FT.KEYS, *labels, *[F.col(c).cast("double").alias(c) for c in numbers], "target_class", "is_test"))  # read many times by the fit
     model = ml.classifier(numbers, labels).fit(ml.class_weights(numeric.where("not is_test"), "target_class"))
     return ml.scored(model, numeric, FT.KEYS)
 
 
+_NUMBERS, _LABELS = ["total_clicks", "active_days", "recent_weekly_rate", "recency_days", "avg_score", "submission_count", "weighted_avg"], ["region", "imd_band"]
+
+
+def _boosted(spark, root, rounds):
+    """Boosted trees of the years before the test year, and all rows with features."""
+    f = ml.temporal_split(at_risk(spark, root).where("target_class is not null"))
+    rows = materialise(f.select(*FT.KEYS, *_LABELS, *[F.col(c).cast("double").alias(c) for c in _NUMBERS], "target_class", "is_test"))
+    return boosting.fit(rows.where("not is_test"), _NUMBERS, _LABELS, rounds=rounds), rows
+
+
+@q("M06_boosted", "select id_student, code_module, code_presentation, true as whole, true as named, true as stopped from info where final_result is not null")
+def _(spark, root):
+    """Rounds are stopped by a held-out fifth; every row gets probabilities that sum to 1 and the likeliest class."""
+    model, rows = _boosted(spark, root, 12)
+    out = boosting.scored(model, rows, FT.KEYS)
+    p = [F.col(f"prob_{c}") for c in model.classes]
+    likeliest = F.array(*[F.lit(c) for c in model.classes])[F.array_position(F.array(*p), F.greatest(*p)).cast("int") - 1]
+    stopped = F.lit(len(model.rounds) == max(1, int(model.losses.index(min(model.losses)) * 1.15)))
+    return out.select(*FT.KEYS, (F.abs(sum(p[1:], p[0]) - 1) < 1e-9).alias("whole"), (F.col("predicted_class") == likeliest).alias("named"), stopped.alias("stopped"))
+
+
+@q("M11_path_contributions", "select id_student, code_module, code_presentation, 9::bigint features, 0::double gap from info where final_result is not null")
+def _(spark, root):
+    """A row's contributions sum to its score less the score at the trees' roots."""
+    model, rows = _boosted(spark, root, 3)
+    parts = boosting.path_contributions(model, rows, FT.KEYS, "Withdrawn")
+    gap = F.max("score") - F.max("base") - F.sum("contribution")
+    return parts.groupBy(*FT.KEYS).agg(F.count("*").alias("features"), (F.round(gap, 6) + 0.0).alias("gap"))
+
+
+@q("M11_permutation_importance", f"select unnest({_NUMBERS + _LABELS}) feature, true as measured")
+def _(spark, root):
+    model, rows = _boosted(spark, root, 3)
+    found = boosting.permutation_importance(model, rows, FT.KEYS)
+    return found.select("feature", F.col("importance").between(-10, 10).alias("measured"))
+
+
 _SCORES = "s as (select user_id % 5 g, value score, (event_type in ('click', 'view'))::int label from events)"
 
 
