@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.operators import bkt as B
 from lectern.operators import features as FT
 from lectern.operators import marts as M
-from lectern.operators import boosting, ml
+from lectern.operators import boosting, ml, ranking
 from lectern.operators import recsys as R
 from lectern.plans import standins as S
 from lectern.plans.book import Book, r6, rounded
@@ -196,6 +196,45 @@ def _(spark, root):
     return count("user", users).unionByName(count("item", items))
 
 
+# vectors, and an item as the negative of each pair, that SQL can state too
+_START = """du as (select u, count(*) d from e group by 1), di as (select i, count(*) d from e group by 1), w as (select u, i, 1 / sqrt(du.d * di.d) w from e join du using (u) join di using (i)),
+dims as (select unnest([0, 1, 2]) k), u0 as (select u node, k, ((u * (k + 2)) % 7 - 3)::double / 10 x from du, dims), i0 as (select i node, k, ((i * (k + 3)) % 5 - 2)::double / 10 x from di, dims),
+t as (select e.u, e.i, n.i neg from e join di n on n.i = (select max(i) from di) - (e.i % 4) union all select e.u, e.i, n.i from e join di n on n.i = (select min(i) from di) + (e.u % 3))"""
+_LAYER = """{a}1 as (select node, k, (x + coalesce(y, 0)) / 2 x from {a}0 left join (select w.u node, k, sum(w * x) y from w join {b}0 on {b}0.node = w.i group by 1, 2) using (node, k)), {b}1 as (select node, k, (x + coalesce(y, 0)) / 2 x from {b}0 left join (select w.i node, k, sum(w * x) y from w join {a}0 on {a}0.node = w.u group by 1, 2) using (node, k))"""
+
+
+@q("M18_ranking_gradients", f"""with {_EDGES}, {_START}, {_LAYER.format(a="u", b="i")},
+s as (select t.u, t.i, neg, sum(a.x * (p.x - n.x)) x from t join u1 a on a.node = t.u join i1 p on p.node = t.i and p.k = a.k join i1 n on n.node = neg and n.k = a.k group by 1, 2, 3),
+c as (select *, -1 / (1 + exp(x)) / (select count(*) from s) c from s),
+gu0 as (select node, k, coalesce(y, 0) x from u0 left join (select c.u node, p.k, sum(c * (p.x - n.x)) y from c join i1 p on p.node = c.i join i1 n on n.node = neg and n.k = p.k group by 1, 2) using (node, k)),
+gi0 as (select node, k, coalesce(y, 0) x from i0 left join (select node, k, sum(y) y from (select c.i node, a.k, c * a.x y from c join u1 a on a.node = c.u union all select neg, a.k, -c * a.x from c join u1 a on a.node = c.u) group by 1, 2) using (node, k)),
+{_LAYER.format(a="gu", b="gi")}
+select 'loss' kind, 0::bigint node, 0 k, round(avg(ln(1 + exp(-x))), 6) "value" from s union all select 'user', node, k, round(x, 6) + 0 from gu1 union all select 'item', node, k, round(x, 6) + 0 from gi1""")
+def _(spark, root):
+    """Loss and gradients of one step from stated vectors and negatives, carried back through one layer."""
+    e = materialise(edges(spark, root))
+    side = lambda c, shift, m, mid: e.select(F.col(c).alias("node")).distinct().withColumn("vector", F.array(*[((F.col("node") * (k + shift)) % m - mid) / F.lit(10.0) for k in range(3)]))
+    users, items = side("user", 2, 7, 3), side("item", 3, 5, 2)
+    low, high = e.agg(F.min("item"), F.max("item")).first()
+    known = items.select(F.col("node").alias("negative"))
+    drawn = e.withColumn("negative", F.lit(high) - F.col("item") % 4).unionByName(e.withColumn("negative", F.lit(low) + F.col("user") % 3)).join(known, "negative", "left_semi")
+    # triples that repeat count once, as in SQL
+    loss, to_users, to_items = ranking.gradients(R.normalised(e), users, items, drawn.distinct(), 3, 1)
+    long = lambda kind, g: g.select(F.lit(kind).alias("kind"), F.col("node").cast("long").alias("node"), F.posexplode("vector").alias("k", "value"))
+    first = e.limit(1).select(F.lit("loss").alias("kind"), F.lit(0).cast("long").alias("node"), F.lit(0).alias("k"), F.lit(loss).alias("value"))
+    return M.union_all([first, long("user", to_users), long("item", to_items)]).withColumn("value", F.round("value", 6) + 0.0)
+
+
+@q("M18_M19_trained_recall", f"""with {_EDGES} select count(*) pairs, true as fell from (select u from e group by 1 having count(*) > 1)""")
+def _(spark, root):
+    """Vectors trained on all pairs but one a user; that one is looked for among the user's ten best items. The loss falls."""
+    split = materialise(R.hold_out(edges(spark, root)))
+    train, held = split.where("not held_out"), split.where("held_out")
+    users, items, losses = ranking.trained(train, size=8, layers=2, epochs=3, rate=0.05)
+    fell = F.lit(all(b < a for a, b in zip(losses, losses[1:], strict=False)))
+    return ranking.recall_gate(users, items, train, held).select("pairs", fell.alias("fell"))
+
+
 @q("W03_hold_out", f"""with {_EDGES} select u "user", (count(*) > 1)::int held_out, count(*) pairs from e group by 1""")
 def _(spark, root):
     h = R.hold_out(edges(spark, root))
