@@ -6,10 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lectern.functions.folds import GUESS, LEARN, PRIOR, SLIP, bkt_trace, moved, trellis
-from lectern.operators.ranges import pieces
+from lectern.operators.ranges import pieces, placed
 from lectern.session import materialise
 
 #: Answers of a learner's sequence in one row; longer ones are cut, and a state is carried from piece to piece.
@@ -21,11 +20,12 @@ def answers(submissions: DataFrame, definitions: DataFrame, pass_mark: float = 5
     """Graded answers in order: no exams, known assessments, scored; a skill is module and assessment type."""
     defined = definitions.where("assessment_type <> 'Exam'").select("id_assessment", "code_module", "assessment_type")
     joined = submissions.dropna(subset=[student, "id_assessment", "score", "date_submitted"]).join(defined, "id_assessment")
-    order = W.partitionBy("user_id", "skill_name").orderBy("date_submitted", "id_assessment", "score")
-    return joined.select(
+    rows = joined.select(
         F.col(student).alias("user_id"), F.concat_ws("_", "code_module", "assessment_type").alias("skill_name"),
         (F.col("score") >= pass_mark).cast("int").alias("correct"), "date_submitted", "id_assessment", "score",
-    ).withColumn("order_id", F.row_number().over(order))
+    )
+    # numbered by ranges and offsets, so that a learner with half of all answers is many tasks
+    return placed(rows, KEYS, ["date_submitted", "id_assessment", "score"]).withColumn("order_id", (F.col("place") + 1).cast("int")).drop("place", "n")
 
 
 def sequences(graded: DataFrame, size: int = PIECE) -> DataFrame:
@@ -75,37 +75,67 @@ def predict(graded: DataFrame, parameters: DataFrame | None = None, size: int =
 STATISTICS = ("learner_n", "prior_k", "learn_k", "learn_n", "guess_k", "guess_n", "slip_k", "slip_n")
 
 
-def expected(answers_: np.ndarray, prior: float, learn: float, guess: float, slip: float, end: list[float] | None = None, first: bool = True) -> np.ndarray:
-    """Expected counts of one piece of a learner's sequence by forward and backward passes, in the order of STATISTICS.
+def expected(values: np.ndarray, bounds: np.ndarray, prior: np.ndarray, learn: np.ndarray, guess: np.ndarray, slip: np.ndarray, end: np.ndarray, first: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Expected counts of pieces of learners' sequences by forward and backward passes, in the order of STATISTICS, a row a piece.
 
-    prior is P(known) before the piece; end, where a piece follows, is what is behind it says of (unknown, known) then.
+    values holds the answers of all pieces, bounds where each begins and the last one ends. prior is P(known) before the
+    piece; end, where a piece follows, is what is behind it says of (unknown, known) then, else NaN. Pieces step through
+    time together, longest first, so that at each time those that still run stand in front; so many answers at once as
+    `most` says.
     """
-    n = len(answers_)
-    emit = np.where(answers_[:, None] == 1, [guess, 1 - slip], [1 - guess, slip])
-    move = np.array([[1 - learn, learn], [0.0, 1.0]])
-    ahead, back = np.empty((n, 2)), np.ones((n, 2))
-    state = np.array([1 - prior, prior])
-    for t in range(n):
-        ahead[t] = state * emit[t]
-        ahead[t] /= ahead[t].sum()
-        state = ahead[t] @ move
-    crossed = np.zeros((2, 2))
-    if end is not None:
-        back[-1] = move @ np.array(end)
-        crossed = ahead[-1][:, None] * move * np.array(end)
-        crossed /= crossed.sum()
-    for t in range(n - 2, -1, -1):
-        back[t] = move @ (emit[t + 1] * back[t + 1])
-        back[t] /= back[t].sum()
+    sizes = np.diff(bounds)
+    out = np.zeros((len(sizes), len(STATISTICS)))
+    order = np.argsort(-sizes, kind="stable")
+    low = 0
+    while low < len(order) and sizes[order[low]]:
+        rows = order[low : low + max(1, most // int(sizes[order[low]]))]
+        rows = rows[sizes[rows] > 0]
+        out[rows] = _together(values, bounds[rows], sizes[rows], *(x[rows] for x in (prior, learn, guess, slip, end, first)))
+        low += len(rows)
+    return out
+
+
+def _together(values: np.ndarray, starts: np.ndarray, n: np.ndarray, prior: np.ndarray, learn: np.ndarray, guess: np.ndarray, slip: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
+    count, most = len(n), int(n[0])
+    time = np.arange(most)
+    inside = time[:, None] < n
+    right = np.zeros((most, count), bool)
+    right[inside] = values[(starts + time[:, None])[inside]] == 1
+    emit = np.stack([np.where(right, guess, 1 - guess), np.where(right, 1 - slip, slip)], 2)
+    running = inside.sum(1)
+    ahead, back = np.zeros((most, count, 2)), np.ones((most, count, 2))
+    state = np.stack([1 - prior, prior], 1)
+    for t in range(most):
+        c = running[t]
+        x = state[:c] * emit[t, :c]
+        x /= x.sum(1, keepdims=True)
+        ahead[t, :c] = x
+        state[:c, 0], state[:c, 1] = x[:, 0] * (1 - learn[:c]), x[:, 0] * learn[:c] + x[:, 1]
+    last, row = n - 1, np.arange(count)
+    follows = ~np.isnan(end[:, 0])
+    e0, e1 = np.where(follows, end[:, 0], 1.0), np.where(follows, end[:, 1], 1.0)
+    back[last, row, 0], back[last, row, 1] = np.where(follows, (1 - learn) * e0 + learn * e1, 1.0), e1
+    learned, unknown = np.zeros(count), np.zeros(count)
+    for t in range(most - 2, -1, -1):
+        c = running[t + 1]
+        y = emit[t + 1, :c] * back[t + 1, :c]
+        b = np.stack([(1 - learn[:c]) * y[:, 0] + learn[:c] * y[:, 1], y[:, 1]], 1)
+        whole = (ahead[t, :c] * b).sum(1)
+        learned[:c] += ahead[t, :c, 0] * learn[:c] * y[:, 1] / whole
+        unknown[:c] += ahead[t, :c, 0] * b[:, 0] / whole
+        back[t, :c] = b / b.sum(1, keepdims=True)
     posterior = ahead * back
-    posterior /= posterior.sum(1, keepdims=True)
-    both = ahead[:-1, :, None] * move * (emit[1:] * back[1:])[:, None, :]
-    both /= both.sum((1, 2), keepdims=True) if n > 1 else 1.0
-    right = answers_ == 1
-    return np.array([
-        1.0 if first else 0.0, posterior[0, 1] if first else 0.0, both[:, 0, 1].sum() + crossed[0, 1], posterior[:-1, 0].sum() + crossed[0].sum(),
-        posterior[right, 0].sum(), posterior[:, 0].sum(), posterior[~right, 1].sum(), posterior[:, 1].sum(),
-    ])
+    posterior /= np.maximum(posterior.sum(2, keepdims=True), 1e-300)
+    x = ahead[last, row]
+    over = x[:, 0] * ((1 - learn) * e0 + learn * e1)
+    whole = over + x[:, 1] * e1
+    learned += np.where(follows, x[:, 0] * learn * e1 / whole, 0.0)
+    unknown += np.where(follows, over / whole, 0.0)
+    wrong = inside & ~right
+    return np.stack([
+        first.astype(float), np.where(first, posterior[0, :, 1], 0.0), learned, unknown,
+        (posterior[..., 0] * right).sum(0), (posterior[..., 0] * inside).sum(0), (posterior[..., 1] * wrong).sum(0), (posterior[..., 1] * inside).sum(0),
+    ], 1)
 
 
 def fit(graded: DataFrame, rounds: int = 10, size: int = PIECE) -> DataFrame:
@@ -121,11 +151,14 @@ def fit(graded: DataFrame, rounds: int = 10, size: int = PIECE) -> DataFrame:
 
     def expect(batches):
         for batch in batches:
-            sums: dict[str, np.ndarray] = {}
-            for skill, row, *values in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
-                sums[skill] = sums.get(skill, 0.0) + expected(np.array(row), *values)
-            rows = np.array([*sums.values()]).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.string()), *(pa.array(rows[:, i], pa.float64()) for i in range(rows.shape[1]))], ["skill_name", *STATISTICS])
+            answers_ = batch["answers"]
+            bounds = np.r_[0, np.cumsum(answers_.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+            end = np.array([x or (np.nan, np.nan) for x in batch["end"].to_pylist()], float).reshape(-1, 2)
+            numbers = [batch[c].to_numpy(zero_copy_only=False) for c in start]
+            counts = expected(answers_.flatten().to_numpy(zero_copy_only=False), bounds, *numbers, end, batch["first"].to_numpy(zero_copy_only=False).astype(bool))
+            skills, at = np.unique(np.array(batch["skill_name"].to_pylist(), object).astype(str), return_inverse=True)
+            sums = [np.bincount(at, counts[:, i], len(skills)) for i in range(len(STATISTICS))]
+            yield pa.RecordBatch.from_arrays([pa.array(skills.tolist(), pa.string()), *(pa.array(x, pa.float64()) for x in sums)], ["skill_name", *STATISTICS])
 
     schema = "skill_name string, " + ", ".join(f"{s} double" for s in STATISTICS)
     clamp = lambda k, n, high: F.least(F.greatest(F.coalesce(F.try_divide(k, n), F.lit(0.0)), F.lit(1e-3)), F.lit(high))

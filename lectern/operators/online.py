@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from lectern.functions.folds import PRIOR, after_submission
 from lectern.functions.text import clip
-from lectern.operators.ranges import placed
+from lectern.operators.ranges import placed, running
 
 
 def online_clicks(clicks: DataFrame, student: str = "id_student", order: tuple[str, ...] = ("ts", "event_id"), value: str = "clicks") -> DataFrame:
@@ -35,10 +35,14 @@ def online_clicks(clicks: DataFrame, student: str = "id_student", order: tuple[s
 
 
 def online_scores(submissions: DataFrame, student: str = "id_student", order: tuple[str, ...] = ("ts", "event_id"), score: str = "score") -> DataFrame:
-    """Each submission with the running count, mean and minimum (W07, O03). The windows run over rows as they come sorted
-    and spill; they hold no history."""
-    upto = W.partitionBy(student).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return submissions.withColumns({"submission_count": F.count("*").over(upto), "avg_score": F.avg(score).over(upto), "min_score": F.min(score).over(upto)}).withColumn("weighted_avg", F.col("avg_score"))
+    """Each submission with the running count, mean and minimum (W07, O03), by ranges and offsets, so that a learner with half
+    of all submissions is many tasks. Those without a learner have nothing to run over and are left out; a submission without a score counts and changes nothing else."""
+    rows = submissions.where(F.col(student).isNotNull())
+    value = F.col(score).cast("double")
+    rows = rows.withColumns({"_one": F.lit(1).cast("long"), "_some": value.isNotNull().cast("long"), "_sum": F.coalesce(value, F.lit(0.0)), "_least": value})
+    found = running(rows, [student], [*order], ["_one", "_some", "_sum"], ["_least"])
+    mean = F.try_divide("_sum_upto", "_some_upto")
+    return found.select(*submissions.columns, F.col("_one_upto").alias("submission_count"), mean.alias("avg_score"), F.col("_least_least").alias("min_score"), mean.alias("weighted_avg"))
 
 
 def mastery_updates(submissions: DataFrame, keys: list[str], order: list[str], score: str = "score", prior: float = PRIOR) -> DataFrame:

@@ -13,19 +13,23 @@ from pyspark.sql import Window as W
 from lectern.session import materialise
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column | str], sums: list[str]) -> DataFrame:
-    """df with <c>_upto, the sum of c over the rows of the key up to this one in order, and <c>_all, over the whole key.
+def running(df: DataFrame, keys: list[str], order: list[Column | str], sums: list[str], least: list[str] | None = None) -> DataFrame:
+    """df with <c>_upto, the sum of c over the rows of the key up to this one in order, and <c>_all, over the whole key;
+    for each c of least also <c>_least, the smallest up to this row.
 
     Rows that are equal in order stand in any order; have none, or sum them up before.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialise(df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()))
-    totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"{c}_t") for c in sums])  # a row a key and range
+    least = least or []
+    totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"{c}_t") for c in sums], *[F.min(c).alias(f"{c}_m") for c in least])  # a row a key and range
     before, whole = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
-    offsets = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"{c}_t").over(before), F.lit(0)).alias(f"{c}_o") for c in sums], *[F.sum(f"{c}_t").over(whole).alias(f"{c}_all") for c in sums])
+    smallest = [F.min(f"{c}_m").over(before).alias(f"{c}_om") for c in least]
+    offsets = totals.select(*keys, "_range", *smallest, *[F.coalesce(F.sum(f"{c}_t").over(before), F.lit(0)).alias(f"{c}_o") for c in sums], *[F.sum(f"{c}_t").over(whole).alias(f"{c}_all") for c in sums])
     up = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     joined = ranged.join(offsets, [*keys, "_range"]) if keys else ranged.join(F.broadcast(offsets), "_range")
-    return joined.withColumns({f"{c}_upto": F.col(f"{c}_o") + F.sum(c).over(up) for c in sums}).drop("_range", *[f"{c}_o" for c in sums])
+    found = {f"{c}_upto": F.col(f"{c}_o") + F.sum(c).over(up) for c in sums} | {f"{c}_least": F.least(f"{c}_om", F.min(c).over(up)) for c in least}
+    return joined.withColumns(found).drop("_range", *[f"{c}_o" for c in sums], *[f"{c}_om" for c in least])
 
 
 def placed(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

@@ -9,6 +9,7 @@ from lectern.operators import features as FT
 from lectern.operators import marts as M
 from lectern.operators import boosting, ml, ranking
 from lectern.operators import recsys as R
+from lectern.operators.ranges import placed
 from lectern.plans import standins as S
 from lectern.plans.book import Book, r6, rounded
 from lectern.session import materialise, table
@@ -84,11 +85,8 @@ _GRADED = """g as (select user_id, event_type skill_name, (value >= 40)::int cor
 
 
 def graded(spark, root):
-    from pyspark.sql import Window as W
-
-    e = table(spark, root, "events")
-    order = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    return e.select("user_id", F.col("event_type").alias("skill_name"), (F.col("value") >= 40).cast("int").alias("correct"), order.alias("order_id"))
+    e = table(spark, root, "events").select("user_id", F.col("event_type").alias("skill_name"), (F.col("value") >= 40).cast("int").alias("correct"), "ts", "event_id")
+    return placed(e, B.KEYS, ["ts", "event_id"]).select(*B.KEYS, "correct", (F.col("place") + 1).cast("int").alias("order_id"))
 
 
 _TRACE = f"""{_GRADED}, t as (
