@@ -116,8 +116,14 @@ def weekly_minutes(clicks: Column, submissions: Column) -> Column:
 
 def activity_levels(events: DataFrame, last_day, days: int = 182, student: str = "user_id", time: str = "ts") -> DataFrame:
     """A level of 1 to 5 for each learner and UTC day of the calendar, by the learner's busiest day."""
+    daily = events.withColumn("day", F.to_date(time)).groupBy(student, "day").agg(F.count("*").alias("events"))
+    return levels_of(daily, last_day, days, student)
+
+
+def levels_of(daily: DataFrame, last_day, days: int = 182, student: str = "user_id") -> DataFrame:
+    """activity_levels() from counts by day, such as a stream keeps them."""
     end = F.to_date(F.lit(last_day))
-    daily = events.withColumn("day", F.to_date(time)).where((F.col("day") <= end) & (F.col("day") > F.date_sub(end, days))).groupBy(student, "day").agg(F.count("*").alias("events"))
+    daily = daily.where((F.col("day") <= end) & (F.col("day") > F.date_sub(end, days))).select(student, "day", "events")
     most = daily.groupBy(student).agg(F.max("events").alias("most"))
     calendar = most.withColumn("day", F.explode(F.sequence(F.date_sub(end, days - 1), end)))
     filled = calendar.join(daily, [student, "day"], "left").withColumn("events", F.coalesce("events", F.lit(0)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import marts as M
+from lectern.operators import online as O
 from lectern.operators import quality as Q
 from lectern.operators import recsys as R
 from lectern.plans import standins as S
@@ -16,7 +17,7 @@ from lectern.plans.online import raw
 from lectern.session import materialise, shared_folder, table
 from lectern.sources import inventory, readers, upserts, writers
 from lectern.streaming import events as E
-from lectern.streaming import mastery, sinks, state
+from lectern.streaming import mastery, sinks, state, watch, windows
 
 book = Book()
 q = book.add
@@ -263,6 +264,59 @@ def _(spark, root):
     return found.select("learner", "chapter", "mastery", "submissions", "latest_score", "correct", "s.submission_count", r6("s.avg_score").alias("avg_score"), "s.min_score", r6("s.risk_shift").alias("risk_shift"))
 
 
+def _event_stream(spark: SparkSession, root: str) -> tuple[str, DataFrame]:
+    """Events as files of any order, and a stream of them."""
+    at = folder(spark)
+    rows = table(spark, root, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    rows.repartition(4).write.parquet(f"{at}/in")
+    return at, spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+
+
+@q("R12_stream_levels", """with e as (select user_id, ts::date d, count(*) n from events where ts::date <= date '2024-01-30' group by 1, 2), m as (select user_id, max(n) m from e group by 1), c as (select user_id, m, unnest(generate_series(date '2024-01-30' - 181, date '2024-01-30', interval 1 day))::date d from m)
+select c.user_id, c.d "day", coalesce(n, 0) events, least(greatest(round_even(coalesce(n, 0) * 4.0::double / m, 0)::int + 1, 1), 5) "level" from c left join e on e.user_id = c.user_id and e.d = c.d""", plain=True)
+def _(spark, root):
+    """Levels of the calendar from a stream's tumbling windows; the batch query is R12_activity_levels."""
+    at, stream = _event_stream(spark, root)
+    windows.keep(windows.daily_counts(stream, delay="400 days"), f"{at}/days", f"{at}/checkpoint", once=True).awaitTermination()
+    daily = upserts.current(spark, f"{at}/days").select(F.col("user").alias("user_id"), F.to_date("start").alias("day"), "events")
+    return O.levels_of(daily, "2024-01-30")
+
+
+@q("R10_stream_active", """select distinct user_id "user" from events where ts >= timestamp '2024-01-30 22:00:00' - interval 2000 minute and ts < timestamp '2024-01-30 22:00:00'""", plain=True)
+def _(spark, root):
+    """Users of the sliding window of 2,000 minutes, anew every 40, that ends at a time; windows stand on whole steps since 1970."""
+    at, stream = _event_stream(spark, root)
+    windows.keep(windows.recent_counts(stream, 2000, 40, delay="400 days"), f"{at}/recent", f"{at}/checkpoint", once=True).awaitTermination()
+    return windows.active_at(upserts.current(spark, f"{at}/recent"), "2024-01-30 22:00:00")
+
+
+@q("DQ02_observed_write", "select 'score' column_name, count(*) filter (where score > 90) failed, count(*) n from subs")
+def _(spark, root):
+    """The report of DQ02_full_audit, counted by the write; n are the rows that were written."""
+    at = folder(spark)
+    report = watch.write_observed(S.submissions(spark, root), at, "submissions", [Q.between("score", 0, 90)])
+    return report.select("column_name", "failed").crossJoin(F.broadcast(spark.read.parquet(at).agg(F.count("*").alias("n"))))  # one row
+
+
+@q("DQ08_observed_stream", """select case event_id % 8 when 5 then 'assessment' when 0 then 'clicks' when 3 then 'clicks' when 6 then 'clicks' else 'rejected' end route, count(*) n from events group by 1""", plain=True)
+def _(spark, root):
+    """Routes counted while a stream writes them, from the table that a listener saves; the rows are as many."""
+    at, rows = _stream(spark, root)
+    listener = watch.Watch()
+    spark.streams.addListener(listener)
+    try:
+        query = sinks.append(watch.observed(rows, "routes").select("route", "json_payload"), f"{at}/out", f"{at}/checkpoint", once=True)
+        query.awaitTermination()
+        watch.drained(spark)
+    finally:
+        spark.streams.removeListener(listener)
+    listener.save(spark, f"{at}/report")
+    seen = spark.read.parquet(f"{at}/report").where(F.col("query") == query.id).groupBy("metric").agg(F.sum("value").cast("long").alias("n"))
+    seen = seen.where(F.col("metric").startswith("routes.") & (F.col("metric") != "routes.rows")).select(F.substring_index("metric", ".", -1).alias("route"), "n")
+    written = spark.read.parquet(f"{at}/out").groupBy("route").agg(F.count("*").alias("n"))
+    return seen.join(written, ["route", "n"])
+
+
 @q("R11_stream_refresh", """select count(distinct u.node) * 5 n from vu u where u.node in (select user_id from events where event_id % 8 in (0, 3, 6))""")
 def _(spark, root):
     at, rows = _stream(spark, root)
