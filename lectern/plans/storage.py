@@ -15,12 +15,13 @@ from lectern.plans import standins as S
 from lectern.plans.book import Book, r6
 from lectern.plans.online import raw
 from lectern.session import materialise, shared_folder, table
-from lectern.sources import inventory, readers, upserts, writers
+from lectern.sources import inventory, readers, upserts, versions, writers
 from lectern.streaming import events as E
 from lectern.streaming import mastery, sinks, state, watch, windows
 
 book = Book()
 q = book.add
+F_KEYS = ["id_student", "code_module", "code_presentation"]
 
 
 def folder(spark: SparkSession) -> str:
@@ -184,6 +185,39 @@ def _(spark, root):
     return spark.table(name).agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("brands"))
 
 
+@q("J01_bucketed_features", """with c as (select id_student, code_module, code_presentation, sum(sum_click)::bigint total_clicks, count(distinct "date") active_days from clicks where "date" <= 15 group by 1, 2, 3)
+select i.id_student, i.code_module, i.code_presentation, date_registration, coalesce(total_clicks, 0) total_clicks, coalesce(active_days, 0) active_days from info i left join reg using (id_student, code_module, code_presentation) left join c using (id_student, code_module, code_presentation)""")
+def _(spark, root):
+    """Learners, registrations and click features of tables in the same buckets: no rows are exchanged."""
+    name = f"lectern_{uuid.uuid4().hex}"
+    for kind, rows in (("info", S.info(spark, root)), ("reg", S.registration(spark, root)), ("clicks", S.clicks(spark, root))):
+        writers.write_bucketed(rows.where(" and ".join(f"{k} is not null" for k in F_KEYS)), f"{name}_{kind}", F_KEYS, 8)
+    return bucketed_features(spark, name)
+
+
+def bucketed_features(spark: SparkSession, name: str) -> DataFrame:
+    from lectern.operators.features import vle_features
+
+    clicked = vle_features(spark.table(f"{name}_clicks"), 15).select(*F_KEYS, "total_clicks", "active_days")
+    out = spark.table(f"{name}_info").select(*F_KEYS).join(spark.table(f"{name}_reg").select(*F_KEYS, "date_registration"), F_KEYS, "left").join(clicked, F_KEYS, "left")
+    return out.fillna(0, ["total_clicks", "active_days"])
+
+
+@q("K09_K11_versions", "select count(*) n, sum(l_orderkey)::bigint keys, count(*) filter (where l_linenumber = 1) firsts, true as fewer from lineitem", plain=True)
+def _(spark, root):
+    """Many small files and a large one, added in two versions, then packed; the large one stays."""
+    at, rows = folder(spark), table(spark, root, "lineitem")
+    versions.add(rows.where("l_linenumber = 1").repartition(12), at)
+    versions.add(rows.where("l_linenumber <> 1 or l_linenumber is null").coalesce(1), at)
+    before = materialise(versions.file_list(spark, at))
+    large = versions.sizes(spark, f"{at}/data").agg(F.max("length")).first()[0]
+    versions.compact(spark, at, small=large, target=large)
+    versions.vacuum(spark, at)
+    fewer = F.lit(versions.file_list(spark, at).count() < before.count())
+    found = versions.read(spark, at).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"), F.count_if(F.col("l_linenumber") == 1).alias("firsts"))
+    return found.select("n", "keys", "firsts", fewer.alias("fewer"))
+
+
 @q("K12_reset_table", "select count(*) before, 0::bigint n, 3 columns from nation", plain=True)
 def _(spark, root):
     name = f"lectern_{uuid.uuid4().hex}"
@@ -424,7 +458,6 @@ def _fitted(spark: SparkSession, root: str):
     return ml.classifier(numbers, ["region"]).fit(ml.class_weights(f, "target_class")), f
 
 
-F_KEYS = ["id_student", "code_module", "code_presentation"]
 _LABELLED = "f as (select * from info where final_result is not null)"
 
 

@@ -20,6 +20,12 @@ def write_table(df: DataFrame, name: str, partition: str | None = None) -> None:
     (writer.partitionBy(partition) if partition and partition in df.columns else writer).saveAsTable(name)
 
 
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int = 64) -> None:
+    """Create or replace a catalog table in buckets of its keys, one sorted file each: tables of the same keys and buckets are
+    joined and aggregated by them without an exchange (J01-J03)."""
+    df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+
+
 def compact(df: DataFrame, path: str, files: int) -> int:
     """Many small inputs as so many files; returns the rows written, observed during the write."""
     from pyspark.sql import Observation
