@@ -313,6 +313,17 @@ def _(spark, root):
     return ml.temporal_split(S.info(spark, root), label="final_result").groupBy("is_test").agg(F.count("*").alias("n"))
 
 
+@q("M01_stratified_fallback", "select final_result, count(*) n, true as \"near\", true as \"same\" from info group by 1")
+def _(spark, root):
+    """Without a presentation of the test year about a fifth of each class is held out, the same rows each time."""
+    rows = S.info(spark, root)
+    split = lambda df: ml.temporal_split(df, test="1999", label="final_result", key="source_key").select("source_key", "final_result", "is_test")
+    again = split(rows.repartition(5)).select("source_key", F.col("is_test").alias("again"))
+    by = split(rows).join(again, "source_key").groupBy("final_result").agg(F.count("*").alias("n"), F.avg(F.col("is_test").cast("int")).alias("share"), F.min(F.col("is_test") == F.col("again")).alias("same"))
+    # five standard deviations of a fifth
+    return by.select("final_result", "n", (F.abs(F.col("share") - 0.2) <= 5 * F.sqrt(0.16 / F.col("n"))).alias("near"), "same")
+
+
 @q("M02_group_split")
 def _(spark, root):
     return ml.group_split(S.info(spark, root).select(F.col("id_student").alias("user_id"), F.col("code_module").alias("course"))).groupBy("course", "is_train").agg(F.count_distinct("user_id").alias("users"))

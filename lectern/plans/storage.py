@@ -169,6 +169,35 @@ def _(spark, root):
     return spark.read.parquet(at).agg(F.count("*").alias("n"), F.sum("source_key").alias("keys"), r6(F.sum("risk")).alias("risk"), F.count_distinct("region").alias("regions"))
 
 
+@q("S17_preview_rows", """select 'rows' part, count(*) "value", null::varchar name from part union all (select 'shown', p_partkey, p_name from part order by p_partkey limit 50)""", plain=True)
+def _(spark, root):
+    """A table's row count and its first rows."""
+    count, rows = readers.preview(table(spark, root, "part").orderBy("p_partkey"))
+    shown = rows.select(F.lit("shown").alias("part"), F.col("p_partkey").cast("long").alias("value"), F.col("p_name").alias("name"))
+    return count.select(F.lit("rows").alias("part"), F.col("rows").alias("value"), F.lit(None).cast("string").alias("name")).unionByName(shown)
+
+
+@q("DQ07_column_counts", """select 'alike' files, count(*) "rows", false refused from customer union all select 'one more column', 0::bigint, true union all select 'other names', 0::bigint, true""", plain=True)
+def _(spark, root):
+    """CSV folders whose files agree on their header are read whole; those with a file of other columns are refused."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    at, out = folder(spark), []
+    base = table(spark, root, "customer").select(F.col("c_custkey").cast("string").alias("key"), "c_name")
+    odd = {"alike": base.limit(0), "one more column": base.limit(3).withColumn("more", F.lit("x")), "other names": base.limit(3).toDF("key", "title")}
+    for kind, rows in odd.items():
+        path = f"{at}/{kind.replace(' ', '_')}"
+        base.coalesce(2).write.option("header", True).csv(path)
+        rows.coalesce(1).write.mode("append").option("header", True).csv(path)
+        try:
+            n, refused = readers.read_csv(spark, path).agg(F.count("key")).first()[0], False  # reads every file
+        except (Py4JJavaError, PySparkException, Q.ColumnCountError):
+            n, refused = 0, True
+        out.append((kind, n, refused))
+    return spark.createDataFrame(out, "files string, rows long, refused boolean")
+
+
 @q("K10_single_file_compaction", "select count(*) n, sum(c_custkey)::bigint keys, count(distinct c_mktsegment) segments, 1 files from customer", plain=True)
 def _(spark, root):
     at = folder(spark)

@@ -20,7 +20,8 @@ def read_csv(spark: SparkSession, paths: str | list[str], multiline: bool = Fals
     """All columns as strings under the cleaned header of the first line (S03, S08, DQ07).
 
     One path, glob or list is one scan; Spark packs small files into partitions. Every file must have the header of the
-    first one: a file with other columns, more, fewer or other names, fails the scan when it is read. A record is one line,
+    first one: a file with other columns, more, fewer or other names, fails the scan when it is read, whichever columns are
+    asked for, so all columns are parsed. A record is one line,
     so large files are split; with multiline, quoted line ends belong to their field and a file is one task.
     """
     options = {"multiLine": multiline, "inferSchema": False}
@@ -37,7 +38,7 @@ def read_csv(spark: SparkSession, paths: str | list[str], multiline: bool = Fals
     if len({n.lower() for n in written.names}) < len(written) or any(not n.strip() for n in names):  # names that a header check cannot tell apart
         return spark.read.options(header=True, **options).schema(fields).csv(paths).toDF(*header)
     trim = {"ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True} if any(n != n.strip() for n in names) else {}
-    return spark.read.options(header=True, enforceSchema=False, **trim, **options).schema(written).csv(paths).toDF(*header)
+    return spark.read.options(header=True, enforceSchema=False, columnPruning=False, **trim, **options).schema(written).csv(paths).toDF(*header)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
