@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import marts as M
+from lectern.operators import sketches as SK
 from lectern.plans import standins as S
 from lectern.plans.book import Book, r6, rounded
-from lectern.session import table
+from lectern.session import materialise, table
 
 book = Book()
 q = book.add
@@ -88,6 +89,26 @@ def _(spark, root):
     return rounded(M.box_statistics(table(spark, root, "events"), "event_type", "value"), "q1", "median", "q3")
 
 
+@q("A18_A26_A27_sketched", """with p as (select * from events where ts::date between date '2024-01-08' and date '2024-01-21') select event_type, count(*) "rows", min(value) low, max(value) high, count(distinct user_id) users, true as users_near, true as quantiles_near from p group by 1""", plain=True)
+def _(spark, root):
+    """Two weeks merged from daily sketches: counts are exact, learners within 3 %, and the share of values up to each estimated
+    quantile within 3 % of its own (small groups have a value's share besides)."""
+    events = table(spark, root, "events")
+    mart = materialise(SK.daily(events, ["event_type"], "ts", "value", "user_id"))
+    period = SK.merged(mart, ["event_type"], "2024-01-08", "2024-01-21")
+    shares = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+    found = materialise(period.select("event_type", "rows", "low", "high", SK.distinct().alias("about"), *[SK.quantile(s).alias(f"q{i}") for i, s in enumerate(shares)]))
+    rows = events.where(F.to_date("ts").between("2024-01-08", "2024-01-21")).join(F.broadcast(found), "event_type")  # a row a kind of event
+    upto = lambda c: F.avg(c.cast("int"))
+    near = [(F.count("*") < 100) | ((upto(F.col("value") < F.col(f"q{i}")) <= s + 0.03) & (upto(F.col("value") <= F.col(f"q{i}")) >= s - 0.03)) for i, s in enumerate(shares)]
+    exact = F.count_distinct("user_id")
+    out = rows.groupBy("event_type", "rows", "low", "high", "about").agg(exact.alias("users"), (F.abs(F.col("about") - exact) <= F.greatest(F.lit(1.0), exact * 0.03)).alias("users_near"), *[n.alias(f"n{i}") for i, n in enumerate(near)])
+    every = F.col("n0")
+    for i in range(1, len(shares)):
+        every = every & F.col(f"n{i}")
+    return out.select("event_type", "rows", "low", "high", "users", "users_near", every.alias("quantiles_near"))
+
+
 @q("A19_value_counts", "select case p_type when 'ECONOMY' then 'Cheap' when 'SMALL' then 'Cheap' when 'LARGE' then 'Big' else 'Other' end category, count(*) \"count\" from part group by 1", plain=True)
 def _(spark, root):
     return M.value_counts(table(spark, root, "part"), "p_type", {"ECONOMY": "Cheap", "SMALL": "Cheap", "LARGE": "Big"})
