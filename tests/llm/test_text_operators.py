@@ -401,10 +401,33 @@ def test_contamination_matches_brute_force(spark):
     long = {k for k, s in items if len(plain(s)) >= 5}
     some = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), shortest=5)
     assert {(r["doc_id"], r["item_id"]) for r in some.collect()} == {x for x in best if x[1] in long}
+    for common in (0, 1, 3):  # seeds of so few places are refined by the words around them already
+        again = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), common=common).collect()
+        assert {(r["doc_id"], r["item_id"]): (r["agreeing"], -r["place"]) for r in again} == best and len(again) == len(best)
     none = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], "item_id long, text string"))
     assert none.count() == 0 and decontaminate.contaminated(spark.createDataFrame([], DOCS), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_a_passage_that_items_and_documents_share(spark):
+    import time
+
+    template = "read the question and choose the best"  # seven words, no overlap by itself
+    own = lambda kind, i, n: " ".join(f"{kind}{i}x{j}" for j in range(n))
+    items = [(i, f"{own('a', i, 8)} {template} {own('b', i, 8)}") for i in range(800)]
+    docs = [(i, f"{own('c', i, 20)} {template} {own('d', i, 20)}") for i in range(2000)]
+    docs += [(5000, f"intro {own('a', 7, 8)} {template} other"), (5001, f"{template} b9x0 z b9x2 zz b9x4 b9x5"), (5002, f"q {template} b11x0 b11x1 b11x2 zz b11x4 q")]
+    took = []
+    for n in (20, 800):
+        began = time.perf_counter()
+        got = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items[:n], "item_id long, text string")).collect()
+        took.append(time.perf_counter() - began)
+        assert {(r["doc_id"], r["item_id"], r["agreeing"]) for r in got} == {(5000, 7, 13), (5001, 9, 11), (5002, 11, 11)}
+    assert took[1] < 3 * took[0] + 5, took
+    whole = "read the question and choose the best answer of these four below"  # twelve words, an overlap of every pair
+    got = decontaminate.contaminated(spark.createDataFrame([(i, f"{own('c', i, 5)} {whole}") for i in range(30)], DOCS), spark.createDataFrame([(i, f"{own('a', i, 9)} {whole}") for i in range(40)], "item_id long, text string"))
+    assert got.count() == got.select("doc_id", "item_id").distinct().count() == 30 * 40
+
+
 def test_a_text_of_one_word_repeated(spark):
     import time
 
