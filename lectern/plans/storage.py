@@ -320,7 +320,7 @@ def _(spark, root):
     rows = table(spark, root, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("id_student"), (F.col("event_id") % 5).alias("chapter"), (F.floor("value") % 101).cast("double").alias("score"), "ts", "event_id")
     rows.repartition(3).write.parquet(f"{at}/in")
     stream = mastery.chapter_states(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), delay="1 day", idle_days=4000.0)
-    sinks.upserts(stream.where("kind = 'update'"), f"{at}/chapters", ["learner", "chapter"], "submissions", f"{at}/checkpoint", once=True).awaitTermination()
+    mastery.keep(stream, f"{at}/chapters", f"{at}/checkpoint", once=True).awaitTermination()
     last = upserts.current(spark, f"{at}/chapters")
     scores = last.groupBy("learner").agg(F.max_by(F.struct("submission_count", "avg_score", "min_score", "risk_shift"), "submission_count").alias("s"))
     found = last.select("learner", "chapter", r6("mastery").alias("mastery"), "submissions", "latest_score", "correct").join(scores, "learner")

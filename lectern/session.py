@@ -9,6 +9,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A session for tests and benchmarks; on a cluster the submitted session is used as it is."""
@@ -21,7 +23,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -78,17 +80,29 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """A job run inside removes its shuffle files when it is done, and not only once the driver collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """A job run inside removes its shuffle files when it is done, and not only once the driver collects garbage."""
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+@contextmanager
+def rocksdb_states(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep state in RocksDB, whatever store the session names: a stream takes the settings of its start."""
+    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+        yield
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables materialised inside are deleted at the end: write what must outlive them to a path taken before."""

@@ -8,9 +8,12 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from lectern.functions.folds import PRIOR, after_submission
+from lectern.session import rocksdb_states
+from lectern.streaming.sinks import upserts
 
 OUTPUT = (
     "learner string, chapter string, kind string, mastery double, submissions long, latest_score double, correct int, total int, updated_at timestamp, "
@@ -107,8 +110,9 @@ def chapter_states(submissions: DataFrame, delay: str = "10 minutes", idle_days:
     """A row for each learner and chapter whose submissions the watermark has passed, and one for each learner that expires.
 
     Submissions later than the watermark are dropped by Spark and counted in the query's progress. Those without learner,
-    chapter or time take no part. Needs the RocksDB state store; run in update mode. initial(learner, chapter, mastery,
-    submissions, latest_score, updated_at), such as a batch result, is where the first run begins.
+    chapter or time take no part. Run in update mode, started inside rocksdb_states(), as keep() does: Spark's usual state
+    store has no room for several states of a key. initial(learner, chapter, mastery, submissions, latest_score, updated_at),
+    such as a batch result, is where the first run begins.
     """
     known = submissions.where(F.col(learner).isNotNull() & F.col(chapter).isNotNull() & F.col(time).isNotNull())
     rows = known.select(
@@ -118,3 +122,13 @@ def chapter_states(submissions: DataFrame, delay: str = "10 minutes", idle_days:
     start = None if initial is None else initial.select(F.col("learner").cast("string").alias("learner"), F.col("chapter").cast("string").alias("chapter"), *INITIAL).groupBy("learner")
     processor = ChapterMastery(max(1, int(idle_days * 86_400_000)))
     return rows.withWatermark("at", delay).groupBy("learner").transformWithState(processor, OUTPUT, "Update", "EventTime", initialState=start)
+
+
+def keep(states: DataFrame, path: str, checkpoint: str, once: bool = False, seconds: int = 10, buckets: int = 64) -> StreamingQuery:
+    """Rows of chapter_states() into a table by learner and chapter, in a session of any state store.
+
+    A chapter's number of submissions only grows while its learner stays, so the largest is the latest; rows of learners
+    that expired stay as they were.
+    """
+    with rocksdb_states(states.sparkSession):
+        return upserts(states.where("kind = 'update'"), path, ["learner", "chapter"], "submissions", checkpoint, once, seconds, buckets)

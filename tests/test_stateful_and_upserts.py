@@ -92,6 +92,27 @@ def test_a_learner_expires_and_an_initial_state_is_where_the_stream_begins(spark
     assert [c.split()[0] for c in OUTPUT.split(", ")] == list(a.asDict())
 
 
+def test_the_chapter_stream_runs_in_a_session_of_the_usual_state_store(spark, tmp_path):
+    import duckdb
+
+    from lectern.plans import ORACLES, QUERIES
+
+    rows = [(i, i % 3, "purchase" if i % 4 else "click", float(i * 37 % 150), at(i % 9, i)) for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before, usual = spark.conf.get(store), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(store, usual)
+    try:
+        df = QUERIES["O01_O05_chapter_stream"](spark, str(tmp_path))
+        got = sorted(tuple(r) for r in df.collect())
+        assert spark.conf.get(store) == usual
+    finally:
+        spark.conf.set(store, before)
+    with duckdb.connect() as sql:
+        sql.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+        assert got == sorted(sql.sql(f"select {', '.join(df.columns)} from ({ORACLES['O01_O05_chapter_stream']})").fetchall())
+
+
 def files(path):
     return {f: os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
 
