@@ -113,6 +113,16 @@ def test_components_of_chains_and_hubs(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_that_are_stars_take_one_round_and_no_links_none(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialise", lambda df, kept=components.materialise: written.append(df) or kept(df))
+    top = 2**63 - 1
+    stars = [(i, i % 4) for i in range(4, 60)] + [(0, 8), (top, top - 2), (top - 2, top - 1)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {i: i % 4 for i in range(60)} | {top: top - 2, top - 1: top - 2, top - 2: top - 2} and len(written) == 2
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0 and len(written) == 3
+
+
 def vectors(seed, n=300, size=16):
     rng = np.random.default_rng(seed)
     out = []
