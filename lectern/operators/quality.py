@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def not_null(column: str) -> tuple[str, str, Column]:
@@ -49,8 +50,11 @@ def conformance(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def freshness(df: DataFrame, column: str) -> DataFrame:
-    """Epoch seconds of the newest row (DQ06)."""
-    return df.agg(F.unix_timestamp(F.max(column)).alias("fresh_at"))
+    """Epoch seconds of the newest row, to the nearest second, halves to the even one (DQ06). A time without a zone is UTC, whatever the session's."""
+    newest = F.max(column)
+    if isinstance(df.select(column).schema[0].dataType, T.TimestampNTZType):
+        newest = F.concat(newest.cast("string"), F.lit("Z"))
+    return df.agg(F.rint(F.unix_micros(newest.cast("timestamp")) / F.lit(1e6)).cast("long").alias("fresh_at"))
 
 
 class ColumnCountError(ValueError):

@@ -73,3 +73,27 @@ def test_reconcile_counts_missing_tables(spark):
     s = spark.createDataFrame([("a", 3), ("b", 1)], "table_name string, rows long")
     t = spark.createDataFrame([("a", 3), ("c", 2)], "table_name string, rows long")
     assert rows(Q.reconcile(s, t)) == [("a", 3, 3, True), ("b", 1, 0, False), ("c", 0, 2, False)]
+
+
+def test_freshness_rounds_to_the_nearest_second_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from lectern.plans import ORACLES, QUERIES
+
+    times = ["2024-01-30 23:59:25.261702", "2024-01-30 23:59:25.7", "2024-01-30 23:59:24.5", "2024-01-30 23:59:25.5", "1969-12-31 23:59:58.4", "1969-12-31 23:59:59.7", "2024-03-10 02:30:00.9", "9999-12-31 23:59:57.499999", None]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    with duckdb.connect() as sql:
+        for i, t in enumerate(times):
+            at = str(tmp_path / str(i))
+            for kind in ("timestamp_ntz", "timestamp"):
+                older = spark.sql(f"select cast(v as {kind}) ts from values ('1900-01-01 00:00:00.1'), ({t and repr(t) or 'null'}) as t(v)")
+                older.where("ts > '1950-01-01'" if t else "ts is null").write.mode("overwrite").parquet(f"{at}/events.parquet")
+                sql.sql(f"create or replace view events as select * from '{at}/events.parquet/*.parquet'")
+                want = sql.sql(ORACLES["DQ06_freshness"]).fetchall()
+                try:
+                    for other in (zone, "America/New_York"):
+                        spark.conf.set("spark.sql.session.timeZone", other)
+                        got = QUERIES["DQ06_freshness"](spark, at)
+                        assert got.columns == ["fresh_at"] and rows(got) == want, (t, kind, other)
+                finally:
+                    spark.conf.set("spark.sql.session.timeZone", zone)
