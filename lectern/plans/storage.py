@@ -14,7 +14,7 @@ from lectern.operators import recsys as R
 from lectern.plans import standins as S
 from lectern.plans.book import Book, r6
 from lectern.plans.online import raw
-from lectern.session import materialise, shared_folder, table
+from lectern.session import materialise, rocksdb_states, shared_folder, table
 from lectern.sources import inventory, readers, upserts, versions, writers
 from lectern.streaming import events as E
 from lectern.streaming import mastery, sinks, state, watch, windows
@@ -349,8 +349,10 @@ def _(spark, root):
 def _(spark, root):
     """Users of the sliding window of 2,000 minutes, anew every 40, that ends at a time; windows stand on whole steps since 1970."""
     at, stream = _event_stream(spark, root)
-    windows.keep(windows.recent_counts(stream, 2000, 40, delay="400 days"), f"{at}/recent", f"{at}/checkpoint", once=True).awaitTermination()
-    return windows.active_at(upserts.current(spark, f"{at}/recent"), "2024-01-30 22:00:00")
+    with rocksdb_states(spark):  # a row of state for each event and no end in sight
+        query = windows.keep(windows.pane_counts(stream, 2000, 40, delay="400 days"), f"{at}/panes", f"{at}/checkpoint", once=True)
+    query.awaitTermination()
+    return windows.active_in(upserts.current(spark, f"{at}/panes"), "2024-01-30 22:00:00", 2000, 40)
 
 
 @q("DQ02_observed_write", "select 'score' column_name, count(*) filter (where score > 90) failed, count(*) n from subs")

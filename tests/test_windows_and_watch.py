@@ -39,6 +39,48 @@ def test_windows_equal_batch_counts_and_late_rows_are_counted(spark, tmp_path):
     assert {r["user"] for r in windows.active_at(upserts.current(spark, f"{folder}/recent"), now).collect()} == {r["user_id"] for r in want.where((F.col("ts") >= now - timedelta(minutes=60)) & (F.col("ts") < now)).collect()} == {1}
 
 
+def test_panes_hold_the_users_of_every_sliding_window(spark, tmp_path):
+    folder, schema, minutes, every = str(tmp_path), "user_id long, ts timestamp", 50, 20  # panes of 10 minutes
+    first = [(u, DAY + timedelta(minutes=m)) for u in range(7) for m in range(13 * u, 300, 61)] + [(8, DAY + timedelta(hours=9)), (8, DAY + timedelta(hours=10))]
+    second = [(9, DAY + timedelta(hours=8, minutes=21)), (10, DAY + timedelta(hours=8, minutes=15))]  # no window of the second is open
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        windows.keep(windows.pane_counts(stream, minutes, every, delay="1 hour"), f"{folder}/panes", f"{folder}/c1", once=True, buckets=4).awaitTermination()
+        windows.keep(windows.recent_counts(stream, minutes, every, delay="1 hour"), f"{folder}/recent", f"{folder}/c2", once=True, buckets=4).awaitTermination()
+    panes, recent = upserts.current(spark, f"{folder}/panes"), upserts.current(spark, f"{folder}/recent")
+    kept = first + second[:1]
+    assert panes.agg(F.sum("events")).first()[0] == len(kept) and recent.where("user = 9").count() > 0 and recent.where("user = 10").count() == 0
+    users = lambda df: {r["user"] for r in df.collect()}
+    for m in (10, 15, 29, 30, 49, 50, 131, 350, 370, 400, 510, 540, 541, 590, 610, 649, 650, 651, 670, 2000):
+        now = DAY + timedelta(minutes=m)
+        end = now - (now - datetime(1970, 1, 1) - timedelta(minutes=minutes)) % timedelta(minutes=every)
+        want = {u for u, t in kept if end - timedelta(minutes=minutes) <= t < end}
+        assert users(windows.active_in(panes, now, minutes, every)) == want, m
+        assert users(windows.active_in(panes, str(now), minutes, every)) == want, m
+        if end in {r["end"] for r in recent.select("end").distinct().collect()}:
+            assert users(windows.active_at(recent, now)) <= want, m
+
+
+def test_the_stream_of_active_users_keeps_an_event_once(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from lectern.plans import ORACLES, QUERIES
+
+    end = datetime(2024, 1, 30, 22)
+    edges = [end - timedelta(minutes=2000), end - timedelta(minutes=2000, microseconds=1), end - timedelta(microseconds=1), end, end + timedelta(days=1)]
+    rows = [(i, i, t) for i, t in enumerate(edges)] + [(i, 100 + i % 40, end - timedelta(minutes=97 * i)) for i in range(100)]
+    queries, keep = [], windows.keep
+    monkeypatch.setattr(windows, "keep", lambda *a, **b: queries.append(keep(*a, **b)) or queries[-1])
+    with duckdb.connect() as sql:
+        for name, some in (("all", rows), ("old", rows[50:])):  # of the second no event is in the window
+            spark.createDataFrame(some, "event_id long, user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/{name}/events.parquet")
+            sql.sql(f"create or replace view events as select * from '{tmp_path}/{name}/events.parquet/*.parquet'")
+            got = sorted(r["user"] for r in QUERIES["R10_stream_active"](spark, f"{tmp_path}/{name}").collect())
+            assert got == sorted(r[0] for r in sql.sql(ORACLES["R10_stream_active"]).fetchall())
+            assert 0 < queries[-1].lastProgress["stateOperators"][0]["numRowsTotal"] <= len(some)
+
+
 def test_an_observed_write_reports_what_an_audit_finds(spark, tmp_path):
     df = spark.createDataFrame([(1, 5.0), (None, 99.0), (3, None), (4, -1.0)], "k long, score double")
     rules = [Q.not_null("k"), Q.between("score", 0, 90)]
